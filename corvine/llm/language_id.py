@@ -140,7 +140,8 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 def fit(documents: DataFrame, mod: int = 4, held: int = 2) -> LanguageModel:
     """Learn from documents with a language whose crc32(doc_id) mod ``mod`` is not ``held``."""
     own = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
-    return train(labelled_sample(own, "lang", PER_LANG), inverse_frequencies(own))
+    sample = labelled_sample(own, own, "lang", PER_LANG)
+    return train(list(zip(*sample.to_pydict().values(), strict=True)), inverse_frequencies(own))
 
 
 def _predict_batches(model: LanguageModel):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +16,21 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % m
 
 
-def labelled_sample(labelled: DataFrame, label: str, per_class: int | dict, seed: int = 7) -> list[tuple]:
-    """(label, text) of at most ``per_class`` rows for each of at most ``MAX_CLASSES`` labels.
+def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_class: dict | int, seed: int = 7) -> pa.Table:
+    """Table (label, text) of at most ``per_class`` rows for each of at most ``MAX_CLASSES`` labels.
 
-    ``labelled`` holds doc_id, text and the label. Rows are ranked by a seeded hash of their id; only
-    ids are ranked, and texts are fetched for the winners, whose number is bounded by the parameters.
+    ``marks`` holds doc_id and a label that is not null. Only ids are ranked, by a seeded hash; then the
+    texts of the winners are fetched, whose number is bounded by the parameters.
     """
-    spark = labelled.sparkSession
-    usable = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    ranked = usable.select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
-    order = Window.partitionBy(label).orderBy("_h", "doc_id")
+    spark = documents.sparkSession
     most = max(per_class.values()) if isinstance(per_class, dict) else per_class
-    ids = [tuple(r) for r in ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
-           .select("doc_id", label, "_r").orderBy(F.col("_r"), label).limit(MAX_CLASSES * most).collect()]
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    ranked = marks.select("doc_id", label).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     if isinstance(per_class, dict):
-        ids = [x for x in ids if x[2] <= per_class.get(x[1], 0)]
-    if not ids:
-        return []
-    kinds = [labelled.schema[c] for c in ("doc_id", label)]
-    from pyspark.sql.types import StructType
-
-    won = spark.createDataFrame(sorted({x[:2] for x in ids}, key=str), StructType(kinds))
-    rows = usable.join(F.broadcast(won), ["doc_id", label], "left_semi").select("doc_id", label, "text")
+        ranked = ranked.where(F.col("_r") <= F.coalesce(*[F.when(F.col(label) == k, v) for k, v in per_class.items()], F.lit(0)))
+    ids = ranked.orderBy("_r", label).limit(MAX_CLASSES * most).select("doc_id", label).distinct().toArrow()
+    won = spark.createDataFrame(ids, ranked.select("doc_id", label).schema)
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
+    rows = rows.join(F.broadcast(won), "doc_id").select(label, "text", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
     # repeated ids could bring more rows than were ranked
-    got = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(len(ids)).collect()
-    return [(r[label], r["text"]) for r in got]
+    return rows.orderBy("_h", "text").limit(max(1, ids.num_rows)).select(label, "text").toArrow()

@@ -17,7 +17,7 @@ repeat for a document count as 1 if any is 1; an empty table gives no rows; extr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvine.llm.sampling import crc_mod, labelled_sample
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 12, 5, (3, 4, 5)
-TRAIN_ROWS = {1: 3000, 0: 6000}
+TRAIN_ROWS = {1: 2000, 0: 4000}
 CACHE, CHUNK_CHARS = 400_000, 1 << 20
 _WORD = re.compile(r"\w+")
 
@@ -79,20 +79,27 @@ class ToxicModel:
         return float(sums.max()) / WINDOW + self.bias
 
 
-def train(rows: list[tuple[int, str]], seed: int = 11, rate: float = 1.0) -> ToxicModel | None:
+def train(rows: Iterable[tuple], seed: int = 11, rate: float = 1.0) -> ToxicModel | None:
     rng = np.random.default_rng(seed)
-    docs = [(int(y), w) for y, t in rows if len(w := words_of(t))]
-    labels = np.array([y for y, _ in docs])
-    if not len(docs) or labels.min() == labels.max():
-        return None
     vocab: dict[str, int] = {}
-    ids = [np.fromiter((vocab.setdefault(x, len(vocab)) for x in w), np.int32, len(w)) for _, w in docs]
-    del docs
-    buckets, owners = subwords(list(vocab))
-    order = np.argsort(owners, kind="stable")
-    buckets, per_word = buckets[order].astype(np.int32), np.bincount(owners, minlength=len(vocab))
+    ids, ys = [], []
+    for y, t in rows:
+        w = words_of(t if isinstance(t, str) else t.as_py())
+        if w:
+            ids.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in w), np.int32, len(w)))
+            ys.append(int(y if isinstance(y, int) else y.as_py()))
+    labels = np.array(ys)
+    if not ids or labels.min() == labels.max():
+        return None
+    names, parts, sizes = list(vocab), [], []
+    for k in range(0, len(names), 20_000):  # in parts, for the hashes need room
+        b, o = subwords(names[k : k + 20_000])
+        parts.append(b[np.argsort(o, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(o, minlength=len(names[k : k + 20_000])))
+    buckets, per_word = np.concatenate(parts), np.concatenate(sizes).astype(np.int32)
     first = np.concatenate(([0], np.cumsum(per_word)))
-    del owners, order
+    n_words = len(vocab)
+    del parts, sizes, names, vocab
     vectors = np.zeros((BUCKETS, DIM), np.float32)
     weights = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     weights[:, 1] = -weights[:, 0]
@@ -130,10 +137,11 @@ def train(rows: list[tuple[int, str]], seed: int = 11, rate: float = 1.0) -> Tox
         each = balanced()
         for part in np.array_split(each, max(1, len(each) // 64)):
             learn([passage(i, int(rng.integers(0, max(1, len(ids[i]) - WINDOW + 1)))) for i in part], labels[part], rate)
-    everything = np.repeat(np.arange(len(vocab)), per_word)
     for _ in range(16):  # each document's highest passage under the model so far
         gain = vectors @ (weights[:, 1] - weights[:, 0])
-        score = np.bincount(everything, gain[buckets], len(vocab)) / np.maximum(per_word, 1)
+        score = np.zeros(n_words, np.float32)
+        some = np.flatnonzero(per_word)
+        score[some] = np.add.reduceat(gain[buckets], first[some]) / per_word[some]
         top = np.zeros(len(ids), np.int64)
         for i, w in enumerate(ids):
             if len(w) > WINDOW:
@@ -148,8 +156,9 @@ def train(rows: list[tuple[int, str]], seed: int = 11, rate: float = 1.0) -> Tox
 def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> ToxicModel | None:
     """Learn from labelled documents whose crc32(doc_id) mod ``held_out_mod`` is not 0."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    both = documents.select("doc_id", "text").join(marks.where(crc_mod(F.col("doc_id"), held_out_mod) != 0), "doc_id")
-    return train(labelled_sample(both, "toxic", TRAIN_ROWS))
+    marks = marks.where(crc_mod(F.col("doc_id"), held_out_mod) != 0)
+    there = documents.select("doc_id").distinct().join(marks, "doc_id")
+    return train(zip(*labelled_sample(documents, there, "toxic", TRAIN_ROWS).columns, strict=True))
 
 
 def _score_batches(model: ToxicModel | None):
