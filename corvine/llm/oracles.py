@@ -51,4 +51,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(n)::BIGINT AS formatted_chars, bool_and(fine) AND arg_max(role, i) = 'assistant' AS valid, min(i) FILTER (NOT fine)::BIGINT AS first_bad_turn
 FROM ok GROUP BY conv_id"""
 
-ORACLES = {"op4_url_filters": _op4(), "op10_chat_formatting": _OP10}
+_OP5 = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM ok),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sized a JOIN sized b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id)::BIGINT AS n_links,
+  least(e.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = e.vec_id), e.vec_id))::BIGINT AS component_id,
+  e.vec_id = least(e.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e"""
+
+ORACLES = {"op4_url_filters": _op4(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}

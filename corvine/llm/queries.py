@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, toxicity, url_filters
+from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, toxicity, url_filters
 from corvine.runtime import table
 
 
@@ -21,6 +21,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -52,5 +56,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_jaccard_join, op4_url_filters, op6_license_scan, op8_language_id, op9_toxicity, op10_chat_formatting,
+    op1_decontamination, op2_jaccard_join, op4_url_filters, op5_embedding_dedup, op6_license_scan, op8_language_id, op9_toxicity, op10_chat_formatting,
 )}

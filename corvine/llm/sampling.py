@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: A training text is a whole text of at most so many characters; longer ones are left to prediction.
 MAX_TRAIN_CHARS = 50_000
-MAX_CLASSES = 64
+MAX_CLASSES, SALTS = 64, 64
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:
@@ -24,8 +24,11 @@ def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_clas
     """
     spark = documents.sparkSession
     most = max(per_class.values()) if isinstance(per_class, dict) else per_class
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ranked = marks.select("doc_id", label).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    keyed = marks.select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
+    # a label may hold most rows: the best of each salted part first, then the best of those
+    for by in ([label, "_s"], [label]):
+        keyed = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= most)
+    ranked = keyed.select("doc_id", label, "_r")
     if isinstance(per_class, dict):
         ranked = ranked.where(F.col("_r") <= F.coalesce(*[F.when(F.col(label) == k, v) for k, v in per_class.items()], F.lit(0)))
     ids = ranked.orderBy("_r", label).limit(MAX_CLASSES * most).select("doc_id", label).distinct().toArrow()
