@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvine.llm.mixing import MixPlan
 from corvine.llm.url_filters import PATTERNS
 
 
@@ -65,4 +66,43 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id)::BIGINT AS
   e.vec_id = least(e.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = e.vec_id), e.vec_id)) AS kept
 FROM embeddings e"""
 
-ORACLES = {"op4_url_filters": _op4(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}
+def mixing_sql(docs: str = "documents", columns: str = "doc_id, lang, source") -> str:
+    """The mixing operator without its slices: each leaf's seeded order is summed as a whole."""
+    plan = MixPlan()
+    names = ["domain", "language", "origin"]
+
+    def choose(col: str, of: dict, other) -> str:
+        return f"CASE {' '.join(f'WHEN {col} = {_q(k)} THEN {v}' for k, v in of.items())} ELSE {other} END"
+
+    domain = f"CASE {' '.join(f'WHEN source IN ({', '.join(map(_q, v))}) THEN {_q(k)}' for k, v in plan.domains.items())} ELSE 'other' END"
+    sql = f"""
+WITH keyed AS (
+  SELECT *, {domain} AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+'))::BIGINT AS tokens FROM {docs}),
+leaves AS (SELECT domain, language, origin, sum(tokens)::BIGINT AS tokens, sum(tokens) * {float(plan.max_epochs)}::DOUBLE AS capacity FROM keyed GROUP BY ALL)"""
+    for level, child in enumerate(names):
+        above = names[:level]
+        cols, part = ", ".join([*above, child]), f"PARTITION BY {', '.join(above)}" if above else ""
+        budget = f"JOIN fill{level - 1} USING ({', '.join(above)})" if above else f"CROSS JOIN (SELECT sum(capacity) * {plan.share / plan.max_epochs!r}::DOUBLE AS budget FROM leaves)"
+        sql += f""",
+nodes{level} AS (
+  SELECT n.*, budget, {choose(child, plan.weights[level], plan.other[level])}::DOUBLE AS w, capacity / ({choose(child, plan.weights[level], plan.other[level])})::DOUBLE AS ratio
+  FROM (SELECT {cols}, sum(capacity)::DOUBLE AS capacity FROM leaves GROUP BY ALL) n {budget}),
+level{level} AS (
+  SELECT *, (budget - coalesce(sum(capacity) OVER b, 0)) / (sum(w) OVER ({part}) - coalesce(sum(w) OVER b, 0)) AS level
+  FROM nodes{level} WINDOW b AS ({part} ORDER BY ratio, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fill{level} AS (
+  SELECT {cols}, CASE WHEN ratio <= level THEN capacity ELSE greatest(w * max(level) FILTER (ratio > level) OVER ({part}), 0) END AS budget FROM level{level})"""
+    return sql + f""",
+taken AS (
+  SELECT domain, language, origin, tokens, CASE WHEN tokens > 0 THEN least(floor(floor(budget + 1e-6) / tokens), {plan.max_epochs}) ELSE 0 END::INT AS epochs,
+    floor(budget + 1e-6)::BIGINT AS whole FROM leaves JOIN fill2 USING (domain, language, origin)),
+placed AS (
+  SELECT k.*, t.epochs, t.whole - t.epochs * t.tokens AS rest, md5('{plan.seed}:' || (t.epochs + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM keyed k JOIN taken t USING (domain, language, origin)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY place) AS cum FROM placed)
+SELECT {columns}, (epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM summed
+WHERE epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest THEN 1 ELSE 0 END > 0"""
+
+
+ORACLES = {"op4_url_filters": _op4(), "op3_mixing": mixing_sql(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}

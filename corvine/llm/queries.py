@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, toxicity, url_filters
+from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, toxicity, url_filters
 from corvine.runtime import table
 
 
@@ -17,6 +17,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "copies")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
@@ -56,5 +60,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_jaccard_join, op4_url_filters, op5_embedding_dedup, op6_license_scan, op8_language_id, op9_toxicity, op10_chat_formatting,
+    op1_decontamination, op2_jaccard_join, op3_mixing, op4_url_filters, op5_embedding_dedup, op6_license_scan, op8_language_id, op9_toxicity, op10_chat_formatting,
 )}
