@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, toxicity, url_filters
+from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, quality, toxicity, url_filters
 from corvine.runtime import table
 
 
@@ -33,6 +33,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict_languages(docs, language_id.fit(docs))
@@ -60,5 +65,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_jaccard_join, op3_mixing, op4_url_filters, op5_embedding_dedup, op6_license_scan, op8_language_id, op9_toxicity, op10_chat_formatting,
+    op1_decontamination, op2_jaccard_join, op3_mixing, op4_url_filters, op5_embedding_dedup, op6_license_scan, op7_quality, op8_language_id, op9_toxicity, op10_chat_formatting,
 )}
