@@ -111,7 +111,15 @@ def shingle_counters(texts: DataFrame, spec: JoinSpec) -> np.ndarray:
     return out
 
 
+def order_keys(tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Shingles as integers that sort in the global order: the rank of their counter, then their low bits."""
+    low = np.uint64((1 << (63 - SLOT_BITS)) - 1)
+    return (ranks[_slots(tokens)] << np.uint64(63 - SLOT_BITS) | tokens & low).astype(np.int64)
+
+
 def _prefix_batches(spec: JoinSpec, counters: np.ndarray):
+    ranks = np.empty(len(counters), np.uint64)
+    ranks[np.argsort(counters, kind="stable")] = np.arange(len(counters), dtype=np.uint64)
     base = float(np.median(counters))
     floor = base + 3 * base**0.5 + 1
 
@@ -122,12 +130,12 @@ def _prefix_batches(spec: JoinSpec, counters: np.ndarray):
                 s = shingle_set(t.as_py(), spec.words)
                 n = len(s)
                 m = n - spec.least_own(n) + 1
-                est = counters[_slots(s)]
-                head = s[np.lexsort((s, est))[: m + 1]] if n > 1 else s
+                keys = order_keys(s, ranks)
+                head = np.argsort(keys)[: m + 1]
                 sizes.append(n)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                prefix.append(head.view(np.int64))
-                cost.append(float(np.maximum(counters[_slots(head[:m])] - floor, 0).sum()) if n else 0.0)
+                prefix.append(keys[head])
+                cost.append(float(np.maximum(counters[_slots(s[head[:m]])] - floor, 0).sum()) if n else 0.0)
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -160,20 +168,37 @@ def light_boundary(spec: JoinSpec, histogram: list[tuple[int, int, float]]) -> i
     return at
 
 
+def _need(spec: JoinSpec, a: Column, b: Column) -> Column:
+    return F.ceil(F.lit(spec.percent) * (a + b) / F.lit(100.0 + spec.percent) - 1e-9)
+
+
 def _candidate(spec: JoinSpec, a: Column, i: Column, b: Column, j: Column) -> Column:
     """Sizes a, b can reach the threshold when their first common shingle stands at i and j (from 0)."""
-    need = F.ceil(F.lit(spec.percent) * (a + b) / F.lit(100.0 + spec.percent) - 1e-9)
-    return (F.least(a - i, b - j) >= need) & (F.lit(spec.percent) * F.greatest(a, b) <= 100 * F.least(a, b))
+    return (F.least(a - i, b - j) >= _need(spec, a, b)) & (F.lit(spec.percent) * F.greatest(a, b) <= 100 * F.least(a, b))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The pairs (u, v) that their prefixes do not rule out.
+
+    Up to the smaller of their last keys both prefixes are complete, so beyond the shingles they share there
+    the sets can share no more than what either has left.
+    """
+    left = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("prefix").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("prefix").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").withColumn("cut", F.least(F.element_at("a", -1), F.element_at("b", -1)))
+    rest = F.least(*[F.col(n) - F.size(F.filter(p, lambda x: x <= F.col("cut"))) for n, p in (("nu", "a"), ("nv", "b"))])
+    return both.where(F.size(F.array_intersect("a", "b")) + rest >= _need(spec, F.col("nu"), F.col("nv"))).select("u", "v")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, spec: JoinSpec, link_kind: str) -> DataFrame:
-    """The pairs (u, v) that link. Sets are rebuilt from the texts of the documents in question only."""
+def _verify(pairs: DataFrame, documents: DataFrame, sets: DataFrame, spec: JoinSpec, link_kind: str) -> DataFrame:
+    """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only."""
+    pairs = materialize(_possible(pairs, sets, spec), "possible")
     ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
     wanted = broadcast_if_small(ids, ids.count(), 16)
     texts = documents.join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
-    left = sets.select(F.col("id").alias("u"), F.col("items").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("items").alias("b"))
+    whole = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
+    left = whole.select(F.col("id").alias("u"), F.col("items").alias("a"))
+    right = whole.select(F.col("id").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(left, "u").join(right, "v").where(100 * both >= spec.percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
 
@@ -219,7 +244,7 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
 
     first = lists.where((F.col("id") != F.col("c.id")) & meets(n, F.col("pos"), F.col("c.n"), F.col("c.pos")))
     first = materialize(first.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct(), "pairs")
-    links = materialize(_verify(first, docs, spec, kind), "links")
+    links = materialize(_verify(first, docs, classes, spec, kind), "links")
     label = materialize(connected_components(links), "labels")
 
     own = lists.drop("c").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -231,7 +256,7 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
                   & F.when(col("a.kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True))
                   & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")))
     rest = rest.select(col("a.id").alias("u"), col("b.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = _verify(materialize(rest, "pairs"), docs, spec, kind)
+    more = _verify(materialize(rest, "pairs"), docs, classes, spec, kind)
     label = materialize(connected_components(links.unionByName(more)), "labels")
 
     copies = classes.where("copies > 1").select("print", F.col("id").alias("rep"))
