@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,9 +51,14 @@ def term_index(term: Column) -> Column:
 def hash_vector(text: Column, dim: int = HASH_DIM) -> Column:
     """Deterministic unit vector of a text: words of SHA-256 digests of a counter and the text, scaled to [-1, 1)."""
     blocks = [F.sha2(F.concat(F.unhex(F.lit(f"{i:08x}")), _bytes(text)), 256) for i in range(-(-dim // 8))]
-    digits = F.concat(*blocks)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(digits, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2147483648.0) - 1.0)
-    return unit(raw)
+    words = F.sequence(F.lit(0), F.lit(dim - 1))
+    word = lambda digits, i: F.conv(F.substr(digits, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2147483648.0) - 1.0
+    return unit(let(F.concat(*blocks), lambda digits: F.transform(words, lambda i: word(digits, i))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though ``body`` may use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,8 +66,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+    scaled = lambda w, norm: F.transform(w, lambda x: x / norm)
+    return let(v, lambda w: let(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: scaled(w, norm)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -91,7 +91,7 @@ def judge(question: Column, answer: Column, contexts: Column, refused: Column) -
 
 def clamp_score(c: Column) -> Column:
     """A judge's number held within 0 and 1; null for anything else."""
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c.cast("double"))), 4)
+    return F.when(c.isNotNull() & ~F.isnan(c), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 4))
 
 
 def parse_judge_reply(reply: Column) -> tuple[Column, Column]:
