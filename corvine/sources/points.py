@@ -27,17 +27,17 @@ class PointsTable:
         return self._hadoop.Path(f"{self.path}/{name}")
 
     def exists(self) -> bool:
-        return self._fs.exists(self._p("_schema.json"))
+        return self._fs.exists(self._p("table.json"))
 
     def _meta(self) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/_schema.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/table.json", wholetext=True).first()[0])
 
     def _save(self, meta: dict) -> None:
-        out = self._fs.create(self._p("_schema.json.new"), True)
+        out = self._fs.create(self._p("table.json.new"), True)
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._p("_schema.json"), False)
-        self._fs.rename(self._p("_schema.json.new"), self._p("_schema.json"))
+        self._fs.delete(self._p("table.json"), False)
+        self._fs.rename(self._p("table.json.new"), self._p("table.json"))
 
     def ensure(self, dim: int, sparse: bool = True, distance: str = "cosine", recreate: bool = False) -> bool:
         """True if the table was made; an existing one must have this shape."""
