@@ -36,9 +36,14 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays; rows that repeat it stay with it."""
+    """The smallest doc_id of each group stays, once."""
     groups = jaccard_join.jaccard_components(docs, NEAR)
-    return _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.count():
+        return kept
+    # only the rows whose id repeats move
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
