@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
-Each item is cut into blocks of ``BLOCK`` words; in each block the pair and the triple of words that the
-fewest documents hold (document frequencies are counted over the whole corpus) become the item's seeds.
-So a seed is rare for its item, however often the item itself was copied, and an edited copy keeps some.
+Seeds are an item's pairs and triples of words that few documents hold, or no more than there may be copies of
+the item, and the rarest of every ``BLOCK`` words; document frequencies are counted over the whole corpus. So
+a seed is rare for its item, however often the item itself was copied, and an edited copy keeps some.
 A document passage in which seeds cover ``COVER`` words of an item is aligned with it word by word
 (match 2, mismatch -1, gap -1). A pair is contaminated when the local alignment scores at least
-``SHARE`` of a perfect copy, or at least ``RUN``, a dozen words in a row.
+``SHARE`` of a perfect copy, or at least ``RUN``, a dozen words in a row. For short items, where chance
+alone reaches half, at least ``SHORT`` or four fifths of a perfect copy is needed.
 
 The benchmark is the query set: items go to the executors in blocks of at most ``BLOCK_CHARS`` characters,
 one pass over the documents for each block, so what is broadcast is bounded however large it is.
@@ -26,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from corvine.runtime import slices
 
-MIN_WORDS, BLOCK, COVER, SHARE, RUN = 5, 4, 4, 0.5, 24
+MIN_WORDS, BLOCK, COVER, SHARE, RUN, SHORT = 5, 4, 4, 0.5, 24, 14
+RARE, TIMES = 20, 4
 MATCH, MISS, GAP = 2, -1, -1
 BLOCK_CHARS = 400_000
 _WORD, _BITS = re.compile(r"\w+"), 20
@@ -37,6 +40,12 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def needed(size: int) -> float:
+    """The score from which an item of so many words counts as copied."""
+    perfect = MATCH * size
+    return min(max(SHARE * perfect, min(0.8 * perfect, SHORT)), max(RUN, SHORT))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two id arrays, and the passage position behind its end."""
     if not len(item) or not len(passage):
@@ -100,7 +109,7 @@ class Grams:
 def _count_batches(grams: Grams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, number = Counter(), {g: k for k, g in enumerate(grams.places)}
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0):
                 total.update({number[g] for _, g in grams.hits(grams.ids(t.as_py()))})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
@@ -109,14 +118,22 @@ def _count_batches(grams: Grams):
 
 
 def choose_seeds(grams: Grams, frequency: dict[tuple, int]) -> set[tuple[int, int, int]]:
-    """(item, position, length) of the rarest pair and triple of every block of every item."""
+    """(item, position, length) of the rare pairs and triples of every item, and of each block's rarest.
+
+    Rare is what no more than ``RARE`` documents hold, or ``TIMES`` as many as the item's middle triple: that many
+    copies of the item itself there may be. What no document holds finds nothing.
+    """
     seeds = set()
     for k, (_, w) in enumerate(grams.items):
-        for n in (2, 3):
-            starts = range(len(w) - n + 1)
-            for b in range(0, len(starts), BLOCK):
-                p = min(starts[b : b + BLOCK], key=lambda p: (frequency.get(tuple(w[p : p + n].tolist()), 0), p))
-                seeds.add((k, p, n))
+        held = {n: [(f, p) for p in range(len(w) - n + 1) if (f := frequency.get(tuple(w[p : p + n].tolist()), 0))] for n in (2, 3)}
+        triples = sorted(f for f, _ in held[3])
+        most = max(RARE, TIMES * triples[len(triples) // 2] if triples else 0)
+        for n, found in held.items():
+            seeds |= {(k, p, n) for f, p in found if f <= most}
+            for b in range(0, len(w), BLOCK):
+                block = [x for x in found if b <= x[1] < b + BLOCK]
+                if block:
+                    seeds.add((k, min(block)[1], n))
     return seeds
 
 
@@ -143,13 +160,13 @@ def matches(grams: Grams, text: str | None) -> Iterator[tuple]:
                 score, end = align(w, ids[low:high])
                 best = max(best, (score, low + end))
             cluster = [h] if h is not None else []
-        if best[0] >= min(RUN, MATCH * size) or best[0] >= SHARE * MATCH * size:
+        if best[0] >= needed(size):
             yield item_id, best[0], best[0] / (MATCH * size), best[1]
 
 
 def _match_batches(grams: Grams, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             where, rows = [], []
             for i, t in enumerate(batch.column("text")):
                 for m in matches(grams, t.as_py()):
