@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many estimated bytes may be broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Size of a file of a table that is written compactly.
+FILE_BYTES = 64 << 20
 
 
 def build_session(app: str = "corvine", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -38,14 +40,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", row_bytes: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The files survive lost executors, unlike cached blocks, and are columnar, unlike checkpointed RDDs.
+    With ``row_bytes``, the rows are counted first and written to as few files as their size asks for; a small
+    table that comes out of many tasks would else be many tiny files.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/corvine/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if row_bytes is None:
+        df.write.parquet(path)
+    else:
+        held = df.persist()
+        held.coalesce(max(1, -(-held.count() * row_bytes // FILE_BYTES))).write.parquet(path)
+        held.unpersist()
     out = spark.read.schema(df.schema).parquet(path)
     out._corvine_path = path
     return out
