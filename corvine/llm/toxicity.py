@@ -3,9 +3,9 @@
 A word is the average of the vectors of its character 3- to 5-grams (with word edges), a passage of
 ``WINDOW`` consecutive words is the average of its words, and a linear softmax over that average gives
 the passage's log-odds. A document scores as its most toxic passage, so a long clean text does not
-hide a toxic line. Training is multiple-instance: first on random passages that take their document's
-label, then on each document's currently highest passage. Vectors and softmax weights are updated
-together. A misspelt or never seen word shares n-grams with known ones and so their vectors.
+hide a toxic line. Training is multiple-instance: vectors start from how much oftener toxic documents
+hold an n-gram, and in each round every document's currently highest passage takes its document's label,
+and vectors and softmax weights are updated together. A misspelt or never seen word shares n-grams with known ones and so their vectors.
 
 Training rows are bounded: ``TRAIN_ROWS`` of each label, whole texts of at most ``MAX_TRAIN_CHARS``.
 
@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import crc_mod, labelled_sample
+from corvine.runtime import slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 12, 5, (3, 4, 5)
 TRAIN_ROWS = {1: 2000, 0: 4000}
-CACHE, CHUNK_CHARS = 400_000, 1 << 20
+#: Strength of the prior on an n-gram's odds, in documents, and training rounds.
+PRIOR, ROUNDS = 3.0, 16
+CACHE, CHUNK_CHARS = 120_000, 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -128,16 +131,19 @@ def train(rows: Iterable[tuple], seed: int = 11, rate: float = 1.0) -> ToxicMode
     def passage(i: int, at: int) -> np.ndarray:
         return ids[i][at : at + WINDOW]
 
-    def balanced() -> np.ndarray:
-        pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-        k = max(len(pos), min(len(neg), 2 * len(pos)))
-        return rng.permutation(np.concatenate([rng.choice(pos, k // 2 + 1), rng.choice(neg, k)]))
-
-    for _ in range(12):  # random passages with their document's label
-        each = balanced()
-        for part in np.array_split(each, max(1, len(each) // 64)):
-            learn([passage(i, int(rng.integers(0, max(1, len(ids[i]) - WINDOW + 1)))) for i in part], labels[part], rate)
-    for _ in range(16):  # each document's highest passage under the model so far
+    # start from how much oftener toxic documents hold an n-gram; rare ones start near zero
+    held = np.zeros((2, BUCKETS))
+    for y, w in zip(labels, ids, strict=True):
+        u = np.unique(w)
+        n = per_word[u]
+        held[y, np.unique(buckets[np.repeat(first[u] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])] += 1
+    rate1 = labels.mean()
+    odds = np.log((held[1] + PRIOR * rate1) / (held[0] + PRIOR * (1 - rate1)) * (1 - rate1) / rate1)
+    way = weights[:, 1] - weights[:, 0]
+    vectors += (WINDOW * odds[:, None] * way / (way @ way)).astype(np.float32)
+    bias[1] = -WINDOW / 2
+    pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    for _ in range(ROUNDS):  # each document's highest passage under the model so far
         gain = vectors @ (weights[:, 1] - weights[:, 0])
         score = np.zeros(n_words, np.float32)
         some = np.flatnonzero(per_word)
@@ -147,7 +153,7 @@ def train(rows: Iterable[tuple], seed: int = 11, rate: float = 1.0) -> ToxicMode
             if len(w) > WINDOW:
                 c = np.concatenate(([0.0], np.cumsum(score[w])))
                 top[i] = np.argmax(c[WINDOW:] - c[:-WINDOW])
-        each = balanced()
+        each = rng.permutation(np.concatenate([rng.choice(pos, max(len(pos), len(neg) // 2)), neg]))
         for part in np.array_split(each, max(1, len(each) // 64)):
             learn([passage(i, top[i]) for i in part], labels[part], rate)
     return ToxicModel((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
@@ -164,7 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Toxic
 def _score_batches(model: ToxicModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, out, at = batch.column("text"), np.zeros(batch.num_rows), 0
             while at < batch.num_rows and model is not None:
                 group, chars = [], 0
