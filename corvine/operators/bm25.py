@@ -1,8 +1,8 @@
 """BM25 as relations: corpus statistics, document weights and batch search. Inventory 49, 54, 62-64, 79, 99-101, 103.
 
-A search tokenises each document once, keeps only the terms that some query asks for (the query side is
-broadcast when its checked size allows, else joined by shuffle), and counts them within the document, so what is
-shuffled grows with matches and not with the corpus's words.
+A search reads and tokenises each document once and keeps of it only its length and the terms that some query
+asks for (a set in the scan up to ``INLINE_TERMS``, else a join); that is written, and statistics, document
+frequencies and scores come from it. What is shuffled grows with matches and not with the corpus's words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from corvine.functions.identity import term_index
 from corvine.functions.text import search_terms
-from corvine.runtime import broadcast_if_small
+from corvine.runtime import broadcast_if_small, materialize
+
+INLINE_TERMS = 20_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ def document_weights(tokenised: DataFrame, key: str, model: Bm25 | None = None,
     """key, term, weight of every (wanted) term of every document."""
     counts = term_counts(tokenised, key, wanted)
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(F.broadcast(df) if wanted is not None and getattr(wanted, "_bounded", False) else df, "term")
+    rows = counts.join(df, "term")
     rows = rows.crossJoin(F.broadcast(corpus_stats(tokenised)))
     return rows.select(key, "term", _weight(model or Bm25()).alias("weight"))
 
@@ -73,19 +75,29 @@ def sparse_search(tokenised: DataFrame, key: str, queries: DataFrame, query_key:
     """query key, key, score, rank of each query's k best documents by BM25; ties by key.
 
     Statistics are those of all of ``tokenised``. ``restrict`` (a column ``key``) is applied before scoring.
-    Products are summed in term index order, so equal documents get equal sums.
+    Sums do not depend on their order, so equal documents get equal scores.
     """
-    asked = query_terms(queries, query_key)
-    n = asked.count()
-    wanted = broadcast_if_small(asked.select("term").distinct(), n, 64)
-    wanted._bounded = n * 64 <= 8 << 20
-    weights = document_weights(tokenised, key, model, wanted)
+    model = model or Bm25()
+    asked = materialize(query_terms(queries, query_key), "asked", 64)
+    terms = [r["term"] for r in asked.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
+    if len(terms) > INLINE_TERMS:
+        weights = document_weights(tokenised, key, model, asked.select("term").distinct())
+    else:
+        # terms are letters, digits and -_. only, so they need no quoting; the test is a hash set in the scan itself
+        quoted = ", ".join(f"'{t}'" for t in terms)
+        some = F.expr(f"filter(terms, t -> t in ({quoted}))") if terms else F.array().cast("array<string>")
+        matched = materialize(tokenised.select(key, "length", some.alias("terms")), "matched")
+        df = matched.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        # dealt by key once: counts within documents and sums by query and document need no other exchange
+        counts = term_counts(matched.where(F.size("terms") > 0).repartition(key), key)
+        rows = counts.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_stats(matched)))
+        weights = rows.select(key, "term", _weight(model).alias("weight"))
     if restrict is not None:
         weights = weights.join(restrict, key, "left_semi")
-    pairs = weights.join(broadcast_if_small(asked, n, 96), "term")
-    parts = F.array_sort(F.collect_list(F.struct("term_idx", "weight")))
-    scores = pairs.groupBy(query_key, key).agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["weight"]).alias("score"))
-    return top_k(scores.where("score > 0"), query_key, key, k)
+    pairs = weights.join(broadcast_if_small(asked, asked.count(), 96), "term")
+    # whole multiples of 2^-40 add up to the same sum in any order
+    exact = F.sum(F.round(F.col("weight") * F.lit(float(1 << 40))).cast("long")) / F.lit(float(1 << 40))
+    return top_k(pairs.groupBy(query_key, key).agg(exact.alias("score")).where("score > 0"), query_key, key, k)
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
