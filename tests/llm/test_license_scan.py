@@ -27,7 +27,7 @@ CASES = [
     "This work is licensed under the GNU General Public License, version 3 or (at your option) any later version.",
     "CC BY-NC 4.0 and CC-BY-SA 3.0; Creative Commons Attribution 4.0 International License", "All rights reserved. (c) Copyright 2011 2012 X",
     "ümit license accordée sous the mit licensé", "under the mit\x00license cc by nc", "SPDX-License-Identifier: MIT\n" * 3,
-    "under the mit license " * 400, "wörter " * 3000 + "under the mit license", "3-clause BSD license", "may not be used to train AI models",
+    "under the mit license " * 400, "wörter " * 3000 + "under the mit license", "3-clause BSD license", "GPLv2", "(LGPLv3)", "asl 2.0", "BSD-2-Clause", "epl v2.0 or MPL 1.1", "aslant basl", "same terms as Perl itself", "cc by", "x.cc-by-nd 2.0 y", "CC0", "\x00", "...", "a", "é", "...a!b...", "may not be used to train AI models",
 ]
 
 
