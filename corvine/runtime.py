@@ -74,6 +74,13 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BR
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def few_rows_per_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of long texts: so few rows that a batch stays small on either side of the Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of few rows, for long texts; what Arrow holds goes back to the system at the end."""
     try:
