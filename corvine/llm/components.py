@@ -25,14 +25,14 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, max_passes: int = 64) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge. ``edges`` has u and v."""
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", 16)
     seen = None
     for _ in range(max_passes):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        after = materialize(_stars(now), "edges")
+        after = materialize(_stars(now), "edges", 16)
         drop_materialized(now)
         now = after
     else:

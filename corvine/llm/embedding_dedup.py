@@ -2,7 +2,7 @@
 
 Vectors of one label are compared by cosine; on unit vectors that is a Euclidean range join of radius
 r = sqrt(2 - 2 c). Equal vectors collapse first, with their number, so exact copies never meet. Each
-label gets pivots (the vectors that a hash puts first); a vector's home is its nearest pivot's cell. By
+label with more vectors than one cell takes gets pivots (the vectors that a hash puts first); a vector's home is its nearest pivot's cell. By
 the triangle inequality, a vector x can have a partner at home in the cell of q only if
 d(x, q) - d(x, home) <= 2 r and d(x, q) <= (radius of q's cell) + r; exactly those cells get a
 replica of x. Cells then join independently: every home vector of a cell meets all vectors of the cell.
@@ -56,6 +56,12 @@ def _assign_batches(pivots: dict[tuple, np.ndarray], radii: dict[tuple, np.ndarr
             for i, k in enumerate(keys):
                 by.setdefault(k, []).append(i)
             for k, own in by.items():
+                if k not in pivots:  # a label of one cell
+                    take += own
+                    cell += [0] * len(own)
+                    home += [True] * len(own)
+                    dist += [0.0] * len(own)
+                    continue
                 m = unit(_matrix(batch.column("vec").take(pa.array(own))))
                 d = np.sqrt(np.maximum(2 - 2 * (m @ pivots[k].T), 0))
                 at = d.argmin(1)
@@ -133,8 +139,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, per_pivot: i
     reps = rows.where("grp is not null").groupBy("print", "grp").agg(F.min("vec_id").alias("id"), F.count("*").alias("number"), F.first("vec").alias("vec"))
     reps = materialize(reps, "reps")
 
-    sizes = {x["grp"]: x["c"] for x in reps.groupBy("grp").agg(F.count("*").alias("c")).collect()}
-    ranked = reps.select("grp", "vec", F.xxhash64("id").alias("h"), "id")
+    # labels with more vectors than one cell takes; the others need no pivots
+    large = reps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > per_pivot)
+    sizes = {x["grp"]: x["c"] for x in large.collect()}
+    ranked = reps.where(F.col("grp").isin(list(sizes))).select("grp", "vec", F.xxhash64("id").alias("h"), "id")
     salted = Window.partitionBy("grp", F.pmod("h", F.lit(32))).orderBy("h", "id")
     ranked = ranked.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= MAX_PIVOTS)
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("h", "id"))).where(F.col("k") <= MAX_PIVOTS)
@@ -147,20 +155,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, per_pivot: i
     id_kind = reps.schema["id"].dataType.simpleString()
     schema = f"id {id_kind}, grp string, number long, vec array<double>, cell int, home boolean, dist double"
     source = reps.select("id", "grp", "number", "vec")
-    homes = source.mapInArrow(_assign_batches(pivots, None, r), schema)
+    homes = source.where(F.col("grp").isin(list(sizes))).mapInArrow(_assign_batches(pivots, None, r), schema)
     radii = {k: np.zeros(len(p)) - 3 for k, p in pivots.items()}
     for x in homes.groupBy("grp", "cell").agg(F.max("dist").alias("d")).collect():
         radii[x["grp"]][x["cell"]] = x["d"]
     members = materialize(source.mapInArrow(_assign_batches(pivots, radii, r), schema).drop("dist"), "cells")
 
     cells = members.groupBy("grp", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("blocks"))
-    cut = members.join(F.broadcast(cells) if len(radii) * MAX_PIVOTS <= 100_000 else cells, ["grp", "cell"])
+    cut = members.join(cells, ["grp", "cell"])
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_left = F.when(F.col("home"), F.transform(others, lambda j: F.struct(F.col("block").alias("bi"), j.alias("bj")))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>"))
     as_right = F.transform(others, lambda i: F.struct(i.alias("bi"), F.col("block").alias("bj")))
     dealt = cut.withColumn("pair", F.explode(F.array_union(as_left, as_right))).select("id", "number", "vec", "home", "block", "grp", "cell", "pair.bi", "pair.bj")
-    found = materialize(dealt.groupBy("grp", "cell", "bi", "bj").applyInPandas(_join_blocks(threshold), f"id {id_kind}, n long, root {id_kind}"), "found")
+    found = materialize(dealt.groupBy("grp", "cell", "bi", "bj").applyInPandas(_join_blocks(threshold), f"id {id_kind}, n long, root {id_kind}"), "found", 24)
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     label = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
-from corvine.runtime import broadcast_if_small, materialize
+from corvine.runtime import broadcast_if_small, materialize, slices
 
 #: Width of the counter table, and the largest size that may count as light.
 SLOT_BITS, MAX_LIGHT = 18, 64
-WORD_CACHE = 300_000
+WORD_CACHE = 120_000
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 def _count_batches(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             part, held = [], 0
             for t in batch.column(0):
                 s = _slots(shingle_set(t.as_py(), spec.words))
@@ -124,7 +124,7 @@ def _prefix_batches(spec: JoinSpec, counters: np.ndarray):
     floor = base + 3 * base**0.5 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, prints, prefix, cost = [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), spec.words)
@@ -148,7 +148,7 @@ def _prefix_batches(spec: JoinSpec, counters: np.ndarray):
 
 def _set_batches(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_py(), spec.words).view(np.int64) for t in batch.column("text")]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -192,8 +192,8 @@ def _possible(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
 
 def _verify(pairs: DataFrame, documents: DataFrame, sets: DataFrame, spec: JoinSpec, link_kind: str) -> DataFrame:
     """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only."""
-    pairs = materialize(_possible(pairs, sets, spec), "possible")
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
+    pairs = materialize(_possible(pairs, sets, spec), "possible", 16)
+    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids", 8)
     wanted = broadcast_if_small(ids, ids.count(), 16)
     texts = documents.join(wanted, "doc_id", "left_semi")
     whole = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
@@ -243,9 +243,9 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
         return split & _candidate(spec, a, i, b, j)
 
     first = lists.where((F.col("id") != F.col("c.id")) & meets(n, F.col("pos"), F.col("c.n"), F.col("c.pos")))
-    first = materialize(first.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct(), "pairs")
-    links = materialize(_verify(first, docs, classes, spec, kind), "links")
-    label = materialize(connected_components(links), "labels")
+    first = materialize(first.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct(), "pairs", 16)
+    links = materialize(_verify(first, docs, classes, spec, kind), "links", 16)
+    label = materialize(connected_components(links), "labels", 16)
 
     own = lists.drop("c").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     own = own.withColumn("l", F.min("comp").over(w)).withColumn("h", F.max("comp").over(w)).where("l <> h").drop("l", "h")
@@ -256,8 +256,8 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
                   & F.when(col("a.kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True))
                   & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")))
     rest = rest.select(col("a.id").alias("u"), col("b.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = _verify(materialize(rest, "pairs"), docs, classes, spec, kind)
-    label = materialize(connected_components(links.unionByName(more)), "labels")
+    more = _verify(materialize(rest, "pairs", 16), docs, classes, spec, kind)
+    label = materialize(connected_components(links.unionByName(more)), "labels", 16)
 
     copies = classes.where("copies > 1").select("print", F.col("id").alias("rep"))
     out = made.select("doc_id", "n", "print").join(copies, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))

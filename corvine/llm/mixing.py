@@ -31,6 +31,8 @@ TOKEN = r"[^ \t\n\r\f\x0B]+"
 HEX = 3
 SLICES = 16**HEX
 TREE = ("domain", "language", "origin")
+#: What the names of added columns start with, beside those of the input.
+OWN = "__mix_"
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def _fill(children: DataFrame, parent: list[str], child: str, weight: Column) ->
 def leaf_budgets(light: DataFrame, plan: MixPlan) -> DataFrame:
     """domain, language, origin, tokens, budget (whole tokens) of every leaf. ``light`` has the keys and tokens."""
     leaves = light.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"))
-    leaves = materialize(leaves.withColumn("capacity", F.col("tokens") * F.lit(float(plan.max_epochs))), "leaves")
+    leaves = materialize(leaves.withColumn("capacity", F.col("tokens") * F.lit(float(plan.max_epochs))), "leaves", 100)
     budget = leaves
     for level, child in enumerate(TREE):
         above = list(TREE[:level])
@@ -104,7 +106,7 @@ def leaf_cutoffs(documents: DataFrame, plan: MixPlan) -> DataFrame:
     leaves = leaf_budgets(light, plan)
     epochs = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(plan.max_epochs))).otherwise(0)
     leaves = leaves.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    leaves = materialize(leaves.select(*TREE, "tokens", "budget", "epochs", "rest"), "budgets")
+    leaves = materialize(leaves.select(*TREE, "tokens", "budget", "epochs", "rest"), "budgets", 100)
     n = leaves.count()
 
     open_ = leaves.where(F.col("epochs") < plan.max_epochs).drop("tokens", "budget")
@@ -118,21 +120,21 @@ def leaf_cutoffs(documents: DataFrame, plan: MixPlan) -> DataFrame:
         F.min(F.when(F.col("cum") > F.col("rest"), F.struct("slice", (F.col("cum") - F.col("t")).alias("before")))).alias("end"),
         F.max(F.when(F.col("cum") <= F.col("rest"), F.col("last"))).alias("whole"),
     )
-    ends = materialize(ends, "ends")
+    ends = materialize(ends, "ends", 200)
     edge = placed.join(broadcast_if_small(ends.where("end is not null").select(*TREE, "end"), n, 120), list(TREE)).where(F.col("slice") == F.col("end.slice"))
     edge = edge.withColumn("cum", F.col("end.before") + F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("place").rangeBetween(Window.unboundedPreceding, 0)))
     edge = edge.where(F.col("cum") <= F.col("rest")).groupBy(*TREE).agg(F.max("place").alias("part"))
     out = leaves.join(ends.select(*TREE, "whole"), list(TREE), "left").join(edge, list(TREE), "left")
     cutoff = F.when(F.col("epochs") < plan.max_epochs, F.coalesce("part", "whole")).otherwise(F.lit(None))
-    return materialize(out.select(*TREE, "tokens", "budget", "epochs", F.coalesce(cutoff, F.lit("")).alias("cutoff")), "cutoffs")
+    return materialize(out.select(*TREE, "tokens", "budget", "epochs", F.coalesce(cutoff, F.lit("")).alias("cutoff")), "cutoffs", 200)
 
 
 def mix(documents: DataFrame, plan: MixPlan | None = None) -> DataFrame:
     """The documents taken at least once, with all their columns and ``copies``, the number of epochs that take them."""
     plan = plan or MixPlan()
-    leaves = leaf_cutoffs(documents, plan).select(*[F.col(c).alias(f"_{c}") for c in TREE], F.col("epochs").alias("_epochs"), F.col("cutoff").alias("_cutoff"))
+    leaves = leaf_cutoffs(documents, plan).select(*[F.col(c).alias(OWN + c) for c in TREE], F.col("epochs").alias(OWN + "epochs"), F.col("cutoff").alias(OWN + "cutoff"))
     names = [c for c in documents.columns if c != "copies"]
-    keyed = documents.select(*names, *[k.alias(f"_{c}") for k, c in zip(plan.keys(), TREE, strict=True)])
-    joined = keyed.join(broadcast_if_small(leaves, leaves.count(), 120), [f"_{c}" for c in TREE])
-    copies = F.col("_epochs") + (plan.order(F.col("_epochs") + 1) <= F.col("_cutoff")).cast("int")
+    keyed = documents.select(*names, *[k.alias(OWN + c) for k, c in zip(plan.keys(), TREE, strict=True)])
+    joined = keyed.join(broadcast_if_small(leaves, leaves.count(), 120), [OWN + c for c in TREE])
+    copies = F.col(OWN + "epochs") + (plan.order(F.col(OWN + "epochs") + 1) <= F.col(OWN + "cutoff")).cast("int")
     return joined.withColumn("copies", copies.cast("long")).where("copies > 0").select(*names, "copies")

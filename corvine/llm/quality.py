@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import labelled_sample
+from corvine.runtime import materialize, slices
 
-BITS, EPOCHS, RATE, PENALTY, CACHE = 18, 6, 4.0, 1e-6, 300_000
+BITS, EPOCHS, RATE, PENALTY, CACHE = 18, 6, 4.0, 1e-6, 120_000
 TRAIN_ROWS = {1: 2000, 0: 2000}
 SYMBOLS = b"#*%$&|<>{}[]=~^\\_@"
 STOP = frozenset(
@@ -167,13 +168,11 @@ def train_scorer(labels: LabelModel, rows: Iterable[tuple[float, str]], seed: in
 
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "votes"])
 
 
 def fit(documents: DataFrame) -> QualityModel:
-    from corvine.runtime import materialize
-
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     voted = materialize(docs.mapInArrow(_vote_batches, f"doc_id {kind}, votes string"), "votes")
@@ -187,7 +186,7 @@ def fit(documents: DataFrame) -> QualityModel:
 
 def _score_batches(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
 
