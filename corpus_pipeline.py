@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, jaccard_join, language_id, mixing, toxicity
-from corvine.runtime import broadcast_if_small, materialize, table
+from corvine.runtime import broadcast_if_small, few_rows_per_batch, materialize, table
 
 #: Language ID rejects texts without letters, and those where no language gets this probability.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -21,25 +21,28 @@ NEAR = jaccard_join.JoinSpec(words=5, percent=80)
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the ids in ``gone``, which is written first so that its size is known."""
-    gone = materialize(gone.where("doc_id is not null").distinct(), "gone")
+    gone = materialize(gone.where("doc_id is not null").distinct(), "gone", 8)
     return docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_per_batch(spark)
     scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return _without(docs, scored.where("predicted = 1").select("doc_id"))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_per_batch(spark)
     found = language_id.predict_languages(docs, language_id.fit(docs))
     return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays, once."""
+    few_rows_per_batch(spark)
     groups = jaccard_join.jaccard_components(docs, NEAR)
     kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", 8)
     if not again.count():
         return kept
     # only the rows whose id repeats move
@@ -47,6 +50,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_per_batch(spark)
     return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, quality, toxicity, url_filters
-from corvine.runtime import table
+from corvine.runtime import few_rows_per_batch, table
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_per_batch(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(_texts(spark, sf_dir))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +39,17 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return quality.score_documents(docs, quality.fit(docs))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return language_id.predict_languages(docs, language_id.fit(docs))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
