@@ -167,8 +167,20 @@ def _uuid5(name: str) -> str:
     variant = f"lower(to_hex((('0x' || substr({h}, 17, 2))::INT & 63) | 128))"
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 19, 2) || '-' || substr({h}, 21, 12)"
 
+TIER2 = ONE.replace("WITH ", "WITH RECURSIVE ", 1) + "," + answers("one") + f""", {CASES},
+cit AS (
+  SELECT a.query_id, count(*) AS n, count(*) FILTER (list_contains(l.expected, p.doc_id)) AS good, list_distinct(flatten(list({judged_words('p.text')}))) AS seen
+  FROM answered a JOIN picked p ON p.query_id = a.query_id AND list_contains(a.cited, p.marker) JOIN labelled l ON l.id = a.query_id WHERE a.reason IS NULL GROUP BY a.query_id),
+tier2 AS (
+  SELECT l.id, CASE WHEN len(expected) > 0 THEN round(good::DOUBLE / cit.n, 4) END AS citation_precision, coalesce(cit.n, 0) AS citations, reason IS NOT NULL AS refused, len(expected) = 0 AS unanswerable,
+    CASE WHEN reason IS NULL THEN round({share(judged_words('a.answer'), 'seen')}, 4) END AS faithfulness, CASE WHEN reason IS NULL THEN round({share(judged_words('l.text'), judged_words('a.answer'))}, 4) END AS relevance
+  FROM labelled l JOIN answered a ON a.query_id = l.id LEFT JOIN cit ON cit.query_id = l.id)"""
+
 
 ORACLES: dict[str, str] = {
+    "tier2_per_case": TIER2 + " SELECT id, citation_precision, citations::INT AS citations, refused, refused = unanswerable AS refusal_correct, faithfulness, relevance FROM tier2",
+    "tier2_aggregates": TIER2 + """ SELECT count(*)::BIGINT AS cases, count(*) FILTER (unanswerable)::BIGINT AS unanswerable_cases, count(*) FILTER (refused)::BIGINT AS refusals, round(coalesce(avg(citation_precision), 0), 4) AS citation_precision,
+  0.0::DOUBLE AS invalid_marker_rate, round(avg((refused = unanswerable)::INT), 4) AS refusal_accuracy, round(avg(faithfulness), 4) AS faithfulness, round(avg(relevance), 4) AS relevance FROM tier2""",
     "tokenize_terms": f"WITH {DOCS}, {TOK} SELECT doc_id, len(terms)::INT AS n_terms, len(list_distinct(terms))::INT AS n_distinct, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM tok",
     "term_hash": f"WITH {ASKED} SELECT DISTINCT term, {INDEX}::INT AS term_idx FROM (SELECT unnest({terms('text')}) AS term FROM questions)",
     "bm25_corpus_stats": f"WITH {DOCS}, {TOK} SELECT count(*)::BIGINT AS document_count, round(sum(len(terms)) / count(*), 6) AS average_length, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM tok))::BIGINT AS vocabulary_size FROM tok",
