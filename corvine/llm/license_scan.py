@@ -12,6 +12,9 @@ by one; an empty table gives no rows; extra columns are ignored; whole texts are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-#: Every pattern holds one of these, so a text without any of them needs no further look.
+#: Every pattern holds one of these stems, or one of the short words below, so a text without any needs no further look.
 STEMS = (
-    "licen", "apache", "gpl", "gfdl", "bsd", "mozilla", "mpl", "epl", "cddl", "eupl", "cecill", "asl", "ofl", "unlicense",
-    "wtfpl", "beerware", "cc0", "commons", "domain", "permission", "redistribution", "altered", "rights", "proprietary",
-    "unauthorized", "reproduced", "commercial", "research", "train", "copyright", "perl",
+    "licen", "apache", "mozilla", "cecill", "wtfpl", "beerware", "commons", "domain", "permission", "redistribution", "altered", "rights", "proprietary",
+    "unauthorized", "reproduced", "commercial", "research", "copyright",
 )
+#: Short words that other words often hold; they count only as whole words.
+SHORT = ("gpl", "gfdl", "bsd", "mpl", "epl", "cddl", "eupl", "asl", "ofl", "cc0", "train", "perl", "cc")
+SHORT_WORDS = rf"(?<!{WORD})(?:[al]?gplv?[0-9]?|gfdl|bsd|mpl|epl|cddl|eupl|asl|ofl|cc0|train(?:ing)?|perl|cc{NOT_WORD}+by)(?!{WORD})"
 
+KEYWORDS = tuple(dict.fromkeys(r.keyword for r in RULES))
 
 #: Detections are ordered by where they start, and each is compared with so many before and after it;
 #: intervals are a few dozen words long, so those that overlap lie within that.
@@ -38,6 +44,11 @@ def _count(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[^ ]+"))
 
 
+def _word_count(raw: Column) -> Column:
+    """Number of words: each with what surrounds it becomes one character, and no word is made into a string."""
+    return F.when(raw.rlike(WORD), F.length(F.regexp_replace(raw, f"{NOT_WORD}*+{WORD}++{NOT_WORD}*+", "x"))).otherwise(0)
+
+
 def _places(norm: Column, pattern: Column) -> Column:
     """array<struct<s, e>> of word positions [s, e) where the pattern matches, in order."""
     gaps = F.transform(F.split(norm, pattern, -1), _count)
@@ -56,18 +67,16 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low = F.lower(raw)
-    gate = F.lit(False)
-    for stem in STEMS:
-        gate = gate | F.contains(F.col("_low"), F.lit(stem))
-    gate = gate | (F.contains(F.col("_low"), F.lit("cc")) & F.col("_low").rlike(rf"(?<!{WORD})cc{NOT_WORD}+by(?!{WORD})"))
+    holds = lambda stems: reduce(or_, (F.contains(F.col("_low"), F.lit(x)) for x in stems))
+    gate = holds(STEMS) | (holds(SHORT) & F.col("_low").rlike(SHORT_WORDS))
     docs = documents.select("doc_id", raw.alias("_raw"), low.alias("_low")).withColumn("_gate", gate)
     words = F.regexp_replace(F.translate("_raw", UPPER, LOWER), f"{NOT_WORD}+", " ")
     docs = docs.select(
-        "doc_id", F.regexp_count("_raw", F.lit(f"{WORD}+")).cast("long").alias("n_words"),
+        "doc_id", _word_count(F.col("_raw")).cast("long").alias("n_words"),
         F.when(F.col("_gate"), F.concat(F.lit(" "), F.trim(words), F.lit(" "))).alias("norm"),
     )
     rules = F.array(*[F.struct(
-        F.lit(r.label).alias("label"), F.lit(r.priority).alias("p"), F.lit(" " + r.keyword).alias("k"), F.lit(f"(?<= ){r.pattern}(?= )").alias("re"),
+        F.lit(r.label).alias("label"), F.lit(r.priority).alias("p"), F.lit(KEYWORDS.index(r.keyword)).alias("k"), F.lit(f"(?<= ){r.pattern}(?= )").alias("re"),
     ) for r in RULES])
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?<= ){phrase}(?= )").alias("re"), F.lit(f" {phrase} ").alias("k")) for label, phrase in BASE])
 
@@ -76,8 +85,10 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
 
     run = docs.withColumn("base", F.when(F.col("norm").isNotNull(), F.flatten(F.transform(
         F.filter(base, lambda r: F.contains(F.col("norm"), r["k"])), lambda r: spans(r, F.lit(99))))))
-    run = run.withColumn("found", F.when(F.col("norm").isNotNull(), F.flatten(F.transform(
-        F.filter(rules, lambda r: F.contains(F.col("norm"), r["k"])), lambda r: spans(r, r["p"]))))).drop("norm")
+    # each keyword is looked for once, whatever the number of its rules; bound by a lambda, else it would be done for every rule
+    there = F.transform(F.array(*[F.lit(" " + k) for k in KEYWORDS]), lambda k: F.contains(F.col("norm"), k))
+    due = F.get(F.transform(F.array(there), lambda t: F.filter(rules, lambda r: F.get(t, r["k"]))), F.lit(0))
+    run = run.withColumn("found", F.when(F.col("norm").isNotNull(), F.flatten(F.transform(due, lambda r: spans(r, r["p"]))))).drop("norm")
     everything = F.transform(
         F.array_sort(F.array_distinct(F.transform(F.concat("base", "found"), lambda d: F.struct(d["s"].alias("s"), d["e"].alias("e"), d["label"].alias("label"), d["p"].alias("p"))))),
         lambda d: F.struct(d["label"].alias("label"), d["p"].alias("p"), d["s"].alias("s"), d["e"].alias("e")))
