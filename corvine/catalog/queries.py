@@ -290,16 +290,16 @@ def reportability(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap(_pairs(spark, sf), ["lang"], "doc_id", 1000)
+    return stats.bootstrap(_pairs(spark, sf), ["lang"], "doc_id")
 
 
 def scorecard_comparisons(spark, sf):
-    return evaluate.comparisons(_ablation(spark, sf), resamples=1000)
+    return evaluate.comparisons(_ablation(spark, sf))
 
 
 def mde(spark, sf):
     rates = _pairs(spark, sf).groupBy("lang").agg(F.avg(F.col("a").cast("double")).alias("rate")).orderBy("lang").limit(4).collect()
-    return spark.createDataFrame([(r["lang"], stats.minimum_detectable_effect(spark, 60, r["rate"], simulations=200)) for r in rates], "lang string, mde double")
+    return spark.createDataFrame([(r["lang"], stats.minimum_detectable_effect(spark, 60, r["rate"])) for r in rates], "lang string, mde double")
 
 
 def _chunks(spark, sf):

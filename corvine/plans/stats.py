@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the published figures.
 RESAMPLES, SEED = 10_000, 20260811
+#: So many draws are made at once, or one resample if that is more.
+BLOCK = 1 << 20
 
 
 def binomial_tail_p(k: Column, n: Column) -> Column:
@@ -47,16 +49,30 @@ def reportable(n: Column, low: Column, high: Column) -> tuple[Column, Column]:
     return reason == "", reason
 
 
+def picks(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """What ``random.Random(seed).randrange(n)`` draws, as blocks of whole resamples of n indexes each."""
+    state, bits = random.Random(seed).getstate()[1], np.uint64(32 - n.bit_length())
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    most, rest = max(1, BLOCK // n), np.empty(0, np.uint32)
+    for at in range(0, resamples, most):
+        due = min(most, resamples - at) * n
+        while len(rest) < due:
+            drawn = (words.random_raw(max(BLOCK, due - len(rest))) >> bits).astype(np.uint32)
+            rest = np.concatenate((rest, drawn[drawn < n]))
+        yield rest[:due].reshape(-1, n)
+        rest = rest[due:]
+
+
 def bootstrap_interval(differences: Sequence[int], resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
     """Percentile interval of the mean, resampling with the seeded stream of the standard library."""
     if not len(differences):
         raise ValueError("no outcomes")
     if resamples <= 0:
         raise ValueError("resamples must be positive")
-    d, n = np.asarray(differences), len(differences)
-    draw = random.Random(seed).randrange
-    picks = np.fromiter((draw(n) for _ in range(n * resamples)), np.int32, n * resamples)
-    low, high = np.percentile(d[picks].reshape(resamples, n).sum(1) / n, [2.5, 97.5])
+    d, n = np.asarray(differences, np.int8), len(differences)
+    sums = np.concatenate([d[p].sum(1) for p in picks(n, resamples, seed)])
+    low, high = np.percentile(sums / n, [2.5, 97.5])
     return float(low), float(high)
 
 

@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvine.catalog import queries
 from corvine.config import Settings, load_settings
 from corvine.plans import checks, evaluate, stats
 
@@ -137,3 +139,29 @@ def test_settings(tmp_path):
     s = load_settings(str(p), {"CORVINE_RETRIEVAL__RRF_K": "30", "CORVINE_API_KEY": "secret"})
     assert (s.retrieval.top_k, s.chunking.size, s.retrieval.rrf_k) == (7, 500, 30) and s.safe_dump()["api_key"] == "***"
     assert load_settings(str(tmp_path / "none.yaml"), {}) == Settings()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
+def test_block_draws_are_those_of_the_standard_library(n, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 500)
+    draw = random.Random(5).randrange
+    assert [x for p in stats.picks(n, 9, 5) for x in p.ravel()] == [draw(n) for _ in range(9 * n)]
+
+
+def test_queries_run_all_resamples_and_simulations(spark, monkeypatch):
+    """The registered queries give what the published numbers of resamples and simulations give."""
+    pairs = spark.createDataFrame([(i, "en", i % 3 > 0, i % 5 > 0) for i in range(90)], "doc_id long, lang string, a boolean, b boolean")
+    cases = spark.createDataFrame([(c, i, "one", i % k > 0) for c, k in (("sparse", 3), ("dense", 5)) for i in range(90)], "config string, id long, category string, hit boolean")
+    monkeypatch.setattr(queries, "_pairs", lambda *a: pairs)
+    monkeypatch.setattr(queries, "_ablation", lambda *a: cases)
+    draw = random.Random(20260811).randrange
+    d = [(i % 3 > 0) - (i % 5 > 0) for i in range(90)]
+    means = sorted(sum(d[draw(90)] for _ in d) / 90 for _ in range(10_000))
+    at = lambda p: (lambda x, i: means[i] * (1 - x % 1) + means[i + 1] * (x % 1))(9_999 * p, int(9_999 * p))
+    r = queries.bootstrap_ci(spark, "").first()
+    assert (r.ci_low, r.ci_high) == pytest.approx((at(0.025), at(0.975)), abs=1e-12)
+    rate = sum(i % 3 > 0 for i in range(90)) / 90
+    assert queries.mde(spark, "").first().mde == stats.minimum_detectable_effect(spark, 60, rate, simulations=2000)
+    seen = []
+    monkeypatch.setattr(stats, "bootstrap", lambda o, scope, order, resamples, seed: seen.append((resamples, seed)) or o.groupBy(*scope).agg(F.lit(0.0).alias("ci_low"), F.lit(0.0).alias("ci_high")))
+    assert queries.scorecard_comparisons(spark, "").count() == 2 and set(seen) == {(10_000, 20260811)}
