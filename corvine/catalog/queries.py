@@ -20,6 +20,8 @@ from corvine.runtime import broadcast_if_small, materialize, table
 from corvine.sources import points as pt
 
 PAYLOAD = ["source_path", "title", "heading_path", "text"]
+#: Languages for which an effect is simulated; more raise an error.
+MAX_GROUPS = 1000
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,7 +300,10 @@ def scorecard_comparisons(spark, sf):
 
 
 def mde(spark, sf):
-    rates = _pairs(spark, sf).groupBy("lang").agg(F.avg(F.col("a").cast("double")).alias("rate")).orderBy("lang").limit(4).collect()
+    """The effect for every language, null included; each is a simulation of its own, so too many of them are an error."""
+    rates = _pairs(spark, sf).groupBy("lang").agg(F.avg(F.col("a").cast("double")).alias("rate")).orderBy("lang").limit(MAX_GROUPS + 1).collect()
+    if len(rates) > MAX_GROUPS:
+        raise ValueError(f"mde: more than {MAX_GROUPS} languages")
     return spark.createDataFrame([(r["lang"], stats.minimum_detectable_effect(spark, 60, r["rate"])) for r in rates], "lang string, mde double")
 
 

@@ -165,3 +165,14 @@ def test_queries_run_all_resamples_and_simulations(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(stats, "bootstrap", lambda o, scope, order, resamples, seed: seen.append((resamples, seed)) or o.groupBy(*scope).agg(F.lit(0.0).alias("ci_low"), F.lit(0.0).alias("ci_high")))
     assert queries.scorecard_comparisons(spark, "").count() == 2 and set(seen) == {(10_000, 20260811)}
+
+
+def test_mde_has_a_row_for_every_language(spark, monkeypatch):
+    langs = [None, "de", "en", "es", "fr", "it"]
+    pairs = spark.createDataFrame([(i, lang, i % 3 > 0, True) for i in range(30) for lang in langs], "doc_id long, lang string, a boolean, b boolean")
+    monkeypatch.setattr(queries, "_pairs", lambda *a: pairs)
+    monkeypatch.setattr(stats, "minimum_detectable_effect", lambda spark, n, rate: round(rate, 2))
+    assert {(r.lang, r.mde) for r in queries.mde(spark, "").collect()} == {(lang, 0.67) for lang in langs}
+    monkeypatch.setattr(queries, "MAX_GROUPS", 5)
+    with pytest.raises(ValueError):
+        queries.mde(spark, "")
