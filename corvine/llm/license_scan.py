@@ -30,8 +30,8 @@ STEMS = (
     "unauthorized", "reproduced", "commercial", "research", "copyright",
 )
 #: Short words that other words often hold; they count only as whole words.
-SHORT = ("gpl", "gfdl", "bsd", "mpl", "epl", "cddl", "eupl", "asl", "ofl", "cc0", "train", "perl", "cc")
-SHORT_WORDS = rf"(?<!{WORD})(?:[al]?gplv?[0-9]?|gfdl|bsd|mpl|epl|cddl|eupl|asl|ofl|cc0|train(?:ing)?|perl|cc{NOT_WORD}+by)(?!{WORD})"
+SHORT = ("gpl", "gfdl", "bsd", "mpl", "epl", "cddl", "eupl", "asl", "ofl", "cc0", "train", "perl", "cc", "mit")
+SHORT_WORDS = rf"(?<!{WORD})(?:[al]?gplv?[0-9]?|gfdl|bsd|mpl|epl|cddl|eupl|asl|ofl|cc0|train(?:ing)?|perl|cc{NOT_WORD}+by|mit{NOT_WORD}+(?:0|no{NOT_WORD}+attribution))(?!{WORD})"
 
 KEYWORDS = tuple(dict.fromkeys(r.keyword for r in RULES))
 

@@ -1,7 +1,9 @@
 import re
+from itertools import product
+from re import _parser
 
 from corvine.llm.license_rules import BASE, RULES
-from corvine.llm.license_scan import scan_licenses
+from corvine.llm.license_scan import SHORT, SHORT_WORDS, STEMS, scan_licenses
 
 
 def brute(text):
@@ -54,3 +56,36 @@ def test_every_pattern_holds_its_keyword_and_a_stem():
     assert len(RULES) >= 200
     for r in RULES:
         re.compile(r.pattern)
+
+
+def shortest(parsed):
+    """Texts of a pattern, one for each choice of alternatives, without what is optional."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append([chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "1"])
+        elif name == "BRANCH":
+            parts.append([x for b in arg[1] for x in shortest(b)])
+        elif name == "SUBPATTERN":
+            parts.append(shortest(arg[3]))
+        elif name == "MAX_REPEAT":
+            parts.append([x * arg[0] for x in shortest(arg[2])] if arg[0] else [""])
+        else:
+            assert name == "ASSERT_NOT", name
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_every_pattern_passes_the_gate():
+    for r in RULES:
+        for t in shortest(_parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, t) and f" {r.keyword}" in f" {t}", (r, t)
+            assert any(x in t for x in STEMS) or (any(x in t for x in SHORT) and re.search(SHORT_WORDS, t)), (r, t)
+
+
+def test_mit_0_without_any_other_stem(spark):
+    texts = ["MIT-0", "MIT No Attribution", "(mit  no-attribution)", "x MIT 0", "mit 01", "mit no", "limit 0", "mit 0x", "mit not attribution"]
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute(t)[5:] for i, t in enumerate(texts)} and [got[i] for i in range(4)] == [("mit-0", 0.7)] * 4
