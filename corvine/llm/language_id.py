@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.sampling import crc_mod, labelled_sample
+from corvine.llm.sampling import crc_mod, labelled_sample, trainable
 from corvine.runtime import slices
 
 BUCKETS, PER_LANG, EPOCHS = 1 << 15, 600, 3
@@ -141,7 +141,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 def fit(documents: DataFrame, mod: int = 4, held: int = 2) -> LanguageModel:
     """Learn from documents with a language whose crc32(doc_id) mod ``mod`` is not ``held``."""
     own = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
-    sample = labelled_sample(own, own, "lang", PER_LANG)
+    sample = labelled_sample(own, own.where(trainable(F.col("text"))), "lang", PER_LANG)
     return train(list(zip(*sample.to_pydict().values(), strict=True)), inverse_frequencies(own))
 
 

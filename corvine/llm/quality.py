@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.sampling import labelled_sample
+from corvine.llm.sampling import labelled_sample, trainable
 from corvine.runtime import materialize, slices
 
 BITS, EPOCHS, RATE, PENALTY, CACHE = 18, 6, 4.0, 1e-6, 120_000
@@ -169,18 +169,18 @@ def train_scorer(labels: LabelModel, rows: Iterable[tuple[float, str]], seed: in
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "votes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trainable"), pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "trainable", "votes"])
 
 
 def fit(documents: DataFrame) -> QualityModel:
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    voted = materialize(docs.mapInArrow(_vote_batches, f"doc_id {kind}, votes string"), "votes")
+    voted = materialize(docs.withColumn("trainable", trainable(F.col("text"))).mapInArrow(_vote_batches, f"doc_id {kind}, trainable boolean, votes string"), "votes")
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     labels = fit_labellers(counts)
     good = [p for p in counts if labels.posterior(p) >= 0.5]
     marks = voted.withColumn("likely", F.col("votes").isin(good).cast("int")) if good else voted.withColumn("likely", F.lit(0))
-    sample = labelled_sample(docs, marks.where("doc_id is not null").select("doc_id", "likely"), "likely", TRAIN_ROWS)
+    sample = labelled_sample(docs, marks.where("trainable").select("doc_id", "likely"), "likely", TRAIN_ROWS)
     return train_scorer(labels, [(labels.posterior(votes(t)), t) for t in sample["text"].to_pylist()])
 
 

@@ -16,15 +16,21 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % m
 
 
+def trainable(text: Column) -> Column:
+    """Whether a text can be trained on: it is not null, nor over-long."""
+    return F.coalesce(F.length(text.cast("string")) <= MAX_TRAIN_CHARS, F.lit(False))
+
+
 def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_class: dict | int, seed: int = 7) -> pa.Table:
     """Table (label, text) of at most ``per_class`` rows for each of at most ``MAX_CLASSES`` labels.
 
-    ``marks`` holds doc_id and a label that is not null. Only ids are ranked, by a seeded hash; then the
-    texts of the winners are fetched, whose number is bounded by the parameters.
+    ``marks`` holds doc_id and a label that is not null, of :func:`trainable` texts only, else a winner without
+    one would leave its place empty. Only ids are ranked, by a seeded hash; then the texts of the winners are
+    fetched, whose number is bounded by the parameters.
     """
     spark = documents.sparkSession
     most = max(per_class.values()) if isinstance(per_class, dict) else per_class
-    keyed = marks.select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
+    keyed = marks.where("doc_id is not null").select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
     # a label may hold most rows: the best of each salted part first, then the best of those
     for by in ([label, "_s"], [label]):
         keyed = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= most)
@@ -33,7 +39,7 @@ def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_clas
         ranked = ranked.where(F.col("_r") <= F.coalesce(*[F.when(F.col(label) == k, v) for k, v in per_class.items()], F.lit(0)))
     ids = ranked.orderBy("_r", label).limit(MAX_CLASSES * most).select("doc_id", label).distinct().toArrow()
     won = spark.createDataFrame(ids, ranked.select("doc_id", label).schema)
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(trainable(F.col("text")))
     rows = rows.join(F.broadcast(won), "doc_id").select(label, "text", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
     # repeated ids could bring more rows than were ranked
     return rows.orderBy("_h", "text").limit(max(1, ids.num_rows)).select(label, "text").toArrow()

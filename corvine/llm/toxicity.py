@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.sampling import crc_mod, labelled_sample
+from corvine.llm.sampling import crc_mod, labelled_sample, trainable
 from corvine.runtime import slices
 
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 12, 5, (3, 4, 5)
@@ -163,7 +163,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Toxic
     """Learn from labelled documents whose crc32(doc_id) mod ``held_out_mod`` is not 0."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(crc_mod(F.col("doc_id"), held_out_mod) != 0)
-    there = documents.select("doc_id").distinct().join(marks, "doc_id")
+    there = documents.where(trainable(F.col("text"))).select("doc_id").distinct().join(marks, "doc_id")
     return train(zip(*labelled_sample(documents, there, "toxic", TRAIN_ROWS).columns, strict=True))
 
 

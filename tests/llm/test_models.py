@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from corvine.llm import language_id, quality, toxicity
+from corvine.llm import language_id, quality, sampling, toxicity
 
 SF = "/root/testdata/sf0.1"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "123 ... !!!"), (5, "x"), (6, "wort " * 30000), (7, "same text"), (7, "same text"), (None, "idless"), (8, "\ud83d\ude00 é")]
@@ -103,3 +103,25 @@ def test_label_model_finds_accuracies():
 def test_quality_empty(spark):
     none = odd(spark).limit(0)
     assert quality.score_documents(none, quality.fit(none)).count() == 0
+
+
+def test_samples_are_filled_from_usable_texts(spark, monkeypatch):
+    """Null and over-long texts, and rows without an id, take no places in a bounded sample."""
+    usable = [(i, f"text {i} of the {'bad' if i % 2 else 'fine'} kind", "en" if i % 2 else "de") for i in range(40)]
+    rows = usable + [(i, None if i % 3 else "long " * 20_000, "en" if i % 2 else "de") for i in range(100, 400)] + [(None, "no id", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows) if r[0] is not None], "doc_id long, toxic int")
+    seen = []
+
+    def sample(*a):
+        seen.append(sampling.labelled_sample(*a))
+        return seen[-1]
+
+    for module, name in ((language_id, "PER_LANG"), (toxicity, "TRAIN_ROWS"), (quality, "TRAIN_ROWS")):
+        monkeypatch.setattr(module, name, 10)
+        monkeypatch.setattr(module, "labelled_sample", sample)
+    language_id.fit(docs)
+    assert toxicity.fit(docs, labels) is not None
+    quality.fit(docs)
+    assert [seen[k].num_rows for k in (0, 1)] == [20, 20] and seen[2].num_rows >= 10
+    assert all(t and len(t) <= sampling.MAX_TRAIN_CHARS for s in seen for t in s["text"].to_pylist())
