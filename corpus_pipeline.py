@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvine.llm import decontaminate, jaccard_join, language_id, mixing, toxicity
 from corvine.runtime import broadcast_if_small, few_rows_per_batch, materialize, table
 
-#: Language ID rejects texts without letters, and those where no language gets this probability.
+#: Language ID rejects texts without letters, and those where no language gets this probability, if any was learned.
 LEAST_LANGUAGE_SCORE = 0.5
 #: Near-duplicates: five words and a similarity of 0.8 or more.
 NEAR = jaccard_join.JoinSpec(words=5, percent=80)
@@ -32,8 +32,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where no language could be learned, only null texts and texts without letters are rejected."""
     few_rows_per_batch(spark)
-    found = language_id.predict_languages(docs, language_id.fit(docs))
+    model = language_id.fit(docs)
+    if not model.langs:
+        return _without(docs, language_id.without_letters(docs))
+    found = language_id.predict_languages(docs, model)
     return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id"))
 
 

@@ -145,6 +145,18 @@ def fit(documents: DataFrame, mod: int = 4, held: int = 2) -> LanguageModel:
     return train(list(zip(*sample.to_pydict().values(), strict=True)), inverse_frequencies(own))
 
 
+def _letterless_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        gone = pa.array([counts(t.as_py()) is None for t in batch.column("text")], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(gone)], ["doc_id"])
+
+
+def without_letters(documents: DataFrame) -> DataFrame:
+    """doc_id of every document whose text is null or has no letter."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_letterless_batches, f"doc_id {kind}")
+
+
 def _predict_batches(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

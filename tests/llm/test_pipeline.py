@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline as cp
 from corvine.llm import decontaminate, language_id, mixing, toxicity
 from tests.llm.test_jaccard_join import brute as near_groups
@@ -53,3 +55,12 @@ def test_empty_corpus(spark, tmp_path):
     for t, s in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], s).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_without_any_language_to_learn(spark):
+    texts = ["a clean text about many things", "wörter", None, "", "123 ... !!!", "x"]
+    unmarked = [(i, t, None, "src0", 1) for i, t in enumerate(texts)] + [(None, None, None, "src0", 1)]
+    held = [(i, texts[0], "en", "src0", 1) for i in range(100, 140) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = spark.createDataFrame(unmarked + held, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.drop_unidentified(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, [0, 1, 5, None, *(r[0] for r in held)])) and held
