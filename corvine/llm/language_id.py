@@ -3,8 +3,9 @@
 Texts are lower-cased, every run of non-letters becomes one space, and 1- to 3-grams of characters are
 hashed into ``BUCKETS``. Inverse document frequencies are counted over all training documents. Training
 is follow-the-regularised-leader with elastic-net penalties on a bounded sample of training documents
-(``PER_LANG`` of each language, whole texts of at most ``MAX_TRAIN_CHARS``); a fifth of the sample is kept
-apart to calibrate the softmax temperature. Prediction reads whole texts of any length.
+(``PER_LANG`` of each language, whole texts); a fifth of the sample is kept apart to calibrate the softmax
+temperature. The executors count n-grams, and of a training text only its counts (at most ``BUCKETS``) come to
+the driver. Texts of any length are read whole, in pieces that share no state but the last two characters.
 
 Defined results: null texts and texts without letters are ``und`` with score 0.0; without any training
 language everything is ``und``; equal scores go to the alphabetically first language; repeated rows are
@@ -26,37 +27,44 @@ from corvine.runtime import slices
 
 BUCKETS, PER_LANG, EPOCHS = 1 << 15, 600, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
-#: Very long texts are counted in pieces of so many characters, so memory stays bounded.
+#: Very long texts are counted in pieces of so many characters, so memory stays bounded; the counts do not depend on it.
 PIECE = 1 << 20
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+_SPACE = np.array([32], np.uint32)
 
 
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text; None if it has no letter."""
     if not text:
         return None
-    out, seen = None, False
+    text, out, tail, inside = text.lower(), None, _SPACE, False
     for at in range(0, len(text), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE].lower()
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _LETTER[np.minimum(codes, 0x2FFFF)]
-        if not letter.any():
-            continue
-        seen = True
-        codes = np.where(letter, codes, np.uint32(32))
+        codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _LETTER[codes]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # the first of a run of non-letters
-        c = codes[keep].astype(np.uint32)
-        c = np.concatenate((np.array([32], np.uint32), c, np.array([32], np.uint32)))
-        a, b, d = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA77), c * np.uint32(0xC2B2AE3D)
-        two = a[:-1] ^ (b[1:] + np.uint32(0x27D4EB2F))
-        grams = [a, two, (two[:-1] * np.uint32(5)) ^ d[2:]]
-        for g in grams:
-            g ^= g >> np.uint32(15)
-            g *= np.uint32(0x2C1B3C6D)
-            n = np.bincount(g >> np.uint32(17), minlength=BUCKETS)
-            out = n if out is None else out + n
-    return out if seen else None
+        keep[0] |= inside
+        inside = bool(letter[-1])
+        if keep.any():
+            out, tail = _add(out, tail, np.where(letter, codes, np.uint32(32))[keep])
+    if out is None:
+        return None
+    return _add(out, tail, _SPACE)[0] if inside else out
+
+
+def _add(out: np.ndarray | None, tail: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts with the n-grams that end in ``new``, and the last two characters; ``tail``: those before."""
+    if out is None:  # the space before the first word
+        out, tail = np.zeros(BUCKETS, np.int64), tail[:0]
+        new = np.concatenate((_SPACE, new))
+    c = np.concatenate((tail, new))
+    a, b, d = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA77), c * np.uint32(0xC2B2AE3D)
+    two = a[:-1] ^ (b[1:] + np.uint32(0x27D4EB2F))
+    for g, n in ((a, 1), (two, 2), ((two[:-1] * np.uint32(5)) ^ d[2:], 3)):
+        g = g[max(0, len(tail) - n + 1) :]
+        g = g ^ (g >> np.uint32(15))
+        out += np.bincount((g * np.uint32(0x2C1B3C6D)) >> np.uint32(17), minlength=BUCKETS)
+    return out, c[-2:]
 
 
 @dataclass
@@ -66,16 +74,16 @@ class LanguageModel:
     weights: np.ndarray  # BUCKETS x languages
     temperature: float = 1.0
 
-    def features(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.flatnonzero(n)
-        x = (1 + np.log(n[i])) * self.idf[i]
-        return i, x / max(np.sqrt(x @ x), 1e-12)
+    def weighted(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """TF-IDF of buckets ``i`` with counts ``n``, of length 1."""
+        x = (1 + np.log(n)) * self.idf[i]
+        return x / max(np.sqrt(x @ x), 1e-12)
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
         if not self.langs or (n := counts(text)) is None:
             return None
-        i, x = self.features(n)
-        return softmax((x @ self.weights[i]) / self.temperature)
+        i = np.flatnonzero(n)
+        return softmax((self.weighted(i, n[i]) @ self.weights[i]) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -87,10 +95,11 @@ def _ftrl_weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def train(rows: list[tuple[str, str]], idf: np.ndarray, seed: int = 5) -> LanguageModel:
-    langs = sorted({y for y, _ in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, seed: int = 5) -> LanguageModel:
+    """``rows``: language, buckets and counts of a text."""
+    langs = sorted({y for y, _, _ in rows})
     model = LanguageModel(langs, idf, np.zeros((BUCKETS, max(1, len(langs)))))
-    data = [(langs.index(y), *model.features(n)) for y, t in rows if (n := counts(t)) is not None]
+    data = [(langs.index(y), i, model.weighted(i, n)) for y, i, n in rows]
     if not data:
         return LanguageModel([], idf, model.weights)
     rng = np.random.default_rng(seed)
@@ -138,11 +147,21 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((1 + docs) / (1 + df)) + 1
 
 
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
+    for batch in slices(batches, 100):
+        n = [counts(t.as_py()) for t in batch.column("text")]
+        i = [None if c is None else np.flatnonzero(c) for c in n]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(i, kinds[0]), pa.array([None if k is None else c[k] for k, c in zip(i, n, strict=True)], kinds[1]), batch.column("_h")], ["lang", "i", "n", "_h"])
+
+
 def fit(documents: DataFrame, mod: int = 4, held: int = 2) -> LanguageModel:
     """Learn from documents with a language whose crc32(doc_id) mod ``mod`` is not ``held``."""
-    own = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
-    sample = labelled_sample(own, own.where(trainable(F.col("text"))), "lang", PER_LANG)
-    return train(list(zip(*sample.to_pydict().values(), strict=True)), inverse_frequencies(own))
+    own = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), mod) != held))
+    sample = labelled_sample(own, own.where(trainable(F.col("text"))).select("doc_id", "lang"), "lang", PER_LANG)
+    got = sample.mapInArrow(_gram_batches, "lang string, i array<int>, n array<long>, _h long").where("i is not null").toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
+    rows = [(y.as_py(), i.values.to_numpy(), n.values.to_numpy()) for y, i, n in zip(got["lang"], got["i"], got["n"], strict=True)]
+    return train(rows, inverse_frequencies(own))
 
 
 def _letterless_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,9 @@
 Ten heuristic labellers vote good, bad or abstain on every whole text. How often each vote pattern occurs
 is counted over all documents (there are at most 3^10 patterns), and expectation-maximisation over those
 counts estimates every labeller's accuracy and the posterior of each pattern, without any gold label. The
-posteriors of a bounded sample (``TRAIN_ROWS`` of likely good and of likely bad documents, whole texts of at
-most ``MAX_TRAIN_CHARS``) train a logistic scorer on hashed words and word shapes; it scores whole texts.
+posteriors of a bounded sample (``TRAIN_ROWS`` of likely good and of likely bad documents, whole texts) train a
+logistic scorer on hashed words and word shapes; it scores whole texts. Of a training text only its posterior and
+its bucket counts come to the driver.
 
 Defined results: null and empty texts, and texts without words, have score 0.0 and are not kept; if all
 documents get the same likely label, the posterior itself is the score; repeated rows are scored one by one;
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import labelled_sample, trainable
-from corvine.runtime import materialize, slices
+from corvine.runtime import drop_materialized, materialize, slices
 
 BITS, EPOCHS, RATE, PENALTY, CACHE = 18, 6, 4.0, 1e-6, 120_000
 TRAIN_ROWS = {1: 2000, 0: 2000}
@@ -120,7 +121,7 @@ class _Buckets(dict):
         for run, to in _RUNS:
             shape = run.sub(to, shape)
         top = 64 - BITS
-        out = self[w] = (xxhash.xxh3_64_intdigest("=" + shape[:12]) >> top) << BITS | xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?")) >> top
+        out = self[w] = (xxhash.xxh3_64_intdigest("=" + shape) >> top) << BITS | xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?")) >> top
         return out
 
 
@@ -146,18 +147,17 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.weights[f].mean() * 2 + self.bias, -50, 50)))) if len(f) else 0.0
 
 
-def train_scorer(labels: LabelModel, rows: Iterable[tuple[float, str]], seed: int = 3) -> QualityModel:
-    """``rows``: posterior and text."""
-    data = [(p, f) for p, t in rows if len(f := features(t))]
-    if not data or len({p >= 0.5 for p, _ in data}) < 2:
+def train_scorer(labels: LabelModel, rows: Iterable[tuple[float, np.ndarray, np.ndarray]], seed: int = 3) -> QualityModel:
+    """``rows``: posterior, and the buckets and counts of :func:`features`."""
+    data = list(rows)
+    if not data or len({p >= 0.5 for p, _, _ in data}) < 2:
         return QualityModel(labels, None)
     rng = np.random.default_rng(seed)
     w, g2, b, gb = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
     for _ in range(EPOCHS):
         for k in rng.permutation(len(data)):
-            p, f = data[k]
-            i, n = np.unique(f, return_counts=True)
-            x = n * (2 / len(f))
+            p, i, n = data[k]
+            x = n * (2 / n.sum())
             e = 1 / (1 + np.exp(-np.clip(w[i] @ x + b, -50, 50))) - p
             g = e * x + PENALTY * w[i]
             g2[i] += g * g
@@ -172,16 +172,32 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trainable"), pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "trainable", "votes"])
 
 
+def _feature_batches(labels: LabelModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            texts = [t.as_py() for t in batch.column("text")]
+            both = [np.unique(features(t), return_counts=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([labels.posterior(votes(t)) for t in texts], pa.float64()), pa.array([i for i, _ in both], pa.list_(pa.int32())),
+                pa.array([n for _, n in both], pa.list_(pa.int64())), batch.column("_h")], ["p", "i", "n", "_h"])
+
+    return run
+
+
 def fit(documents: DataFrame) -> QualityModel:
+    """The label model over all documents, and a scorer trained on its posteriors."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     voted = materialize(docs.withColumn("trainable", trainable(F.col("text"))).mapInArrow(_vote_batches, f"doc_id {kind}, trainable boolean, votes string"), "votes")
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     labels = fit_labellers(counts)
-    good = [p for p in counts if labels.posterior(p) >= 0.5]
-    marks = voted.withColumn("likely", F.col("votes").isin(good).cast("int")) if good else voted.withColumn("likely", F.lit(0))
-    sample = labelled_sample(docs, marks.where("trainable").select("doc_id", "likely"), "likely", TRAIN_ROWS)
-    return train_scorer(labels, [(labels.posterior(votes(t)), t) for t in sample["text"].to_pylist()])
+    # at most 3^10 patterns
+    likely = documents.sparkSession.createDataFrame([(p, int(labels.posterior(p) >= 0.5)) for p in counts], "votes string, likely int")
+    marks = voted.where("trainable").join(F.broadcast(likely), "votes").select("doc_id", "likely")
+    sample = labelled_sample(docs, marks, "likely", TRAIN_ROWS).mapInArrow(_feature_batches(labels), "p double, i array<int>, n array<long>, _h long")
+    got = sample.toArrow().sort_by([("_h", "ascending"), ("p", "ascending")])
+    drop_materialized(voted)
+    return train_scorer(labels, [(p.as_py(), i.values.to_numpy(), n.values.to_numpy()) for p, i, n in zip(got["p"], got["i"], got["n"], strict=True) if len(i)])
 
 
 def _score_batches(model: QualityModel):

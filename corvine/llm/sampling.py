@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A training text is a whole text of at most so many characters; longer ones are left to prediction.
-MAX_TRAIN_CHARS = 50_000
 MAX_CLASSES, SALTS = 64, 64
 
 
@@ -17,29 +14,29 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 
 
 def trainable(text: Column) -> Column:
-    """Whether a text can be trained on: it is not null, nor over-long."""
-    return F.coalesce(F.length(text.cast("string")) <= MAX_TRAIN_CHARS, F.lit(False))
+    """Whether a text can be trained on: it is not null and holds a letter. Its length does not matter."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_class: dict | int, seed: int = 7) -> pa.Table:
-    """Table (label, text) of at most ``per_class`` rows for each of at most ``MAX_CLASSES`` labels.
+def labelled_sample(documents: DataFrame, marks: DataFrame, label: str, per_class: dict | int, seed: int = 7) -> DataFrame:
+    """(label, text, _h) of at most ``per_class`` documents for each label, in no order; ``_h`` orders them repeatably.
 
     ``marks`` holds doc_id and a label that is not null, of :func:`trainable` texts only, else a winner without
-    one would leave its place empty. Only ids are ranked, by a seeded hash; then the texts of the winners are
-    fetched, whose number is bounded by the parameters.
+    one would leave its place empty. Only ids are ranked, by a seeded hash, and only their bounded number comes
+    to the driver; the texts of the winners stay with the executors. Of rows that share an id the smallest text counts.
+    With more than ``MAX_CLASSES`` labels every label keeps its place and the number of rows for each shrinks.
     """
     spark = documents.sparkSession
     most = max(per_class.values()) if isinstance(per_class, dict) else per_class
-    keyed = marks.where("doc_id is not null").select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
+    keyed = marks.where("doc_id is not null").select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).distinct().withColumn("_s", F.pmod("_h", F.lit(SALTS)))
     # a label may hold most rows: the best of each salted part first, then the best of those
     for by in ([label, "_s"], [label]):
         keyed = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= most)
     ranked = keyed.select("doc_id", label, "_r")
     if isinstance(per_class, dict):
         ranked = ranked.where(F.col("_r") <= F.coalesce(*[F.when(F.col(label) == k, v) for k, v in per_class.items()], F.lit(0)))
-    ids = ranked.orderBy("_r", label).limit(MAX_CLASSES * most).select("doc_id", label).distinct().toArrow()
+    ids = ranked.orderBy("_r", label).limit(MAX_CLASSES * most).select("doc_id", label).toArrow()
     won = spark.createDataFrame(ids, ranked.select("doc_id", label).schema)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(trainable(F.col("text")))
-    rows = rows.join(F.broadcast(won), "doc_id").select(label, "text", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
-    # repeated ids could bring more rows than were ranked
-    return rows.orderBy("_h", "text").limit(max(1, ids.num_rows)).select(label, "text").toArrow()
+    rows = rows.join(F.broadcast(won), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    return rows.select(label, "text", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))

@@ -1,23 +1,28 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the average of the vectors of its character 3- to 5-grams (with word edges), a passage of
-``WINDOW`` consecutive words is the average of its words, and a linear softmax over that average gives
-the passage's log-odds. A document scores as its most toxic passage, so a long clean text does not
-hide a toxic line. Training is multiple-instance: vectors start from how much oftener toxic documents
-hold an n-gram, and in each round every document's currently highest passage takes its document's label,
-and vectors and softmax weights are updated together. A misspelt or never seen word shares n-grams with known ones and so their vectors.
-
-Training rows are bounded: ``TRAIN_ROWS`` of each label, whole texts of at most ``MAX_TRAIN_CHARS``.
-
-Defined results: null and empty texts, and texts without words, score as the bias alone and are not
-toxic; without usable labels every score is 0.0; repeated rows are scored one by one; labels that
-repeat for a document count as 1 if any is 1; an empty table gives no rows; extra columns are ignored.
+A word is the average of the vectors of its character 3- to 5-grams (with word edges). A document's bag is the
+average of its ``TOP`` distinct words that speak most for the toxic class, and a linear softmax over the bag gives
+the score, so neither a long clean text nor much repetition hides or makes toxicity. A misspelt or never seen
+word shares n-grams with known ones and so their vectors.
+
+Vectors and softmax start at random in all ``DIM`` dimensions and are trained together by Adagrad on the
+cross-entropy. A first phase has bags of one word, drawn from each document, under the document's label. Then
+rounds follow: the executors pick every training document's bag under the model so far, reading whole texts, and
+the driver trains on the bags (earlier bags of clean documents stay as hard negatives). What comes to the driver
+is ``FIRST_WORDS`` or ``TOP`` words a document, so its memory is bounded whatever the length of the texts.
+
+Training rows are bounded: ``TRAIN_ROWS`` of each label.
+
+Defined results: null and empty texts, and texts without words, have an empty bag and score as the bias alone
+says; without usable labels of both kinds every score is 0.0; repeated rows are scored one by one; labels that
+repeat for a document count as 1 if any is 1; an empty table gives no rows; extra columns are ignored; texts of
+any length are read whole, both in training and in scoring.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import crc_mod, labelled_sample, trainable
-from corvine.runtime import slices
+from corvine.runtime import drop_materialized, materialize, slices
 
-BUCKETS, DIM, WINDOW, NGRAMS = 1 << 17, 12, 5, (3, 4, 5)
+BUCKETS, DIM, TOP, NGRAMS = 1 << 17, 16, 4, (3, 4, 5)
 TRAIN_ROWS = {1: 2000, 0: 4000}
-#: Strength of the prior on an n-gram's odds, in documents, and training rounds.
-PRIOR, ROUNDS = 3.0, 16
-CACHE, CHUNK_CHARS = 120_000, 1 << 20
+#: Words of a document in the first phase; rounds of picking bags; epochs of the first phase and of each round.
+FIRST_WORDS, ROUNDS, FIRST_EPOCHS, EPOCHS = 96, 5, 4, 8
+#: Learning rate, penalty and batch; chosen, like the start's width, on an inner fold of training rows (crc32 mod 5 = 1).
+RATE, DECAY, BATCH = 0.25, 1e-5, 4096
+CACHE = 120_000
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Distinct words of a text."""
+    return list(set(_WORD.findall(text.lower()))) if text else []
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,101 +70,188 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
 @dataclass
 class ToxicModel:
-    """``gain``: each n-gram's vector times the difference of the softmax weights, which is all that scoring needs."""
+    vectors: np.ndarray  # BUCKETS x DIM
+    weights: np.ndarray  # DIM x 2
+    bias: np.ndarray  # 2
+
+    def word_vectors(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), DIM))
+        b, o = subwords(words)
+        np.add.at(out, o, self.vectors[b])
+        return out / np.maximum(np.bincount(o, minlength=len(words)), 1)[:, None]
+
+    def probability(self, text: str | None) -> float:
+        """The score of one text, step by step as defined: word vectors, the bag of the most toxic words, softmax."""
+        words = words_of(text)
+        v = self.word_vectors(words)
+        z = v @ self.weights
+        bag = v[np.argsort(z[:, 0] - z[:, 1])[:TOP]].sum(0) / TOP
+        return float(softmax(bag @ self.weights + self.bias)[1])
+
+    def scorer(self) -> WordScorer:
+        return WordScorer((self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
+
+
+@dataclass
+class WordScorer:
+    """What scoring needs of a model: averages and softmax are linear up to the last step, so each n-gram's vector
+    enters only by its product with the difference of the two softmax columns."""
 
     gain: np.ndarray
     bias: float
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         b, o = subwords(words)
-        return np.bincount(o, self.gain[b], len(words)) / np.maximum(np.bincount(o, minlength=len(words)), 1)
+        return np.bincount(o, self.gain[b], len(words)) / np.maximum(np.bincount(o, minlength=len(words)), 1) / TOP
 
     def highest(self, scores: np.ndarray) -> float:
-        """Log-odds of the highest passage; passages shorter than the window are filled with zeros."""
-        if not len(scores):
-            return self.bias
-        c = np.concatenate(([0.0], np.cumsum(scores)))
-        sums = c[WINDOW:] - c[:-WINDOW] if len(scores) > WINDOW else c[-1:]
-        return float(sums.max()) / WINDOW + self.bias
-
-
-def train(rows: Iterable[tuple], seed: int = 11, rate: float = 1.0) -> ToxicModel | None:
-    rng = np.random.default_rng(seed)
-    vocab: dict[str, int] = {}
-    ids, ys = [], []
-    for y, t in rows:
-        w = words_of(t if isinstance(t, str) else t.as_py())
-        if w:
-            ids.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in w), np.int32, len(w)))
-            ys.append(int(y if isinstance(y, int) else y.as_py()))
-    labels = np.array(ys)
-    if not ids or labels.min() == labels.max():
+        """Log-odds of a document from the scores of its distinct words."""
+        return float((scores if len(scores) <= TOP else -np.partition(-scores, TOP)[:TOP]).sum()) + self.bias
+
+    def __call__(self, texts: list[str | None], cache: dict[str, float]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Distinct words and their scores, for each text."""
+        for t in texts:
+            words = words_of(t)
+            if len(cache) > CACHE:
+                cache.clear()
+            new = [w for w in words if w not in cache]
+            if new:
+                cache.update(zip(new, self.word_scores(new).tolist(), strict=True))
+            yield words, np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+
+
+class _Bags:
+    """Bags of words under labels, with the n-grams of each distinct word once."""
+
+    def __init__(self, bags: list[list[str]], labels: list[int], share: float):
+        vocab: dict[str, int] = {}
+        self.word = np.array([vocab.setdefault(w, len(vocab)) for b in bags for w in b], np.int32)
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        self.start = np.concatenate(([0], np.cumsum(sizes)))
+        self.label, self.share, names, parts, counts = np.array(labels, np.int64), share, list(vocab), [], []
+        for k in range(0, len(names), 20_000):  # in parts, for the hashes need room
+            b, o = subwords(names[k : k + 20_000])
+            parts.append(b[np.argsort(o, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(o, minlength=len(names[k : k + 20_000])))
+        self.buckets = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+
+    def grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, bag (position in ``rows``) and weight of every n-gram of the given bags."""
+        n = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        w, bag = self.word[at], np.repeat(np.arange(len(rows)), n)
+        c = self.count[w]
+        flat = np.repeat(self.first[w] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+        return self.buckets[flat], np.repeat(bag, c), np.repeat(self.share / np.maximum(c, 1), c).astype(np.float32)
+
+
+class Trainer:
+    def __init__(self, seed: int):
+        self.rng = np.random.default_rng(seed)
+        self.vectors = self.rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) * 2 / DIM
+        self.weights = self.rng.normal(0, 1, (DIM, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        self.sums = [np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)]
+
+    def model(self) -> ToxicModel:
+        return ToxicModel(self.vectors.copy(), self.weights.copy(), self.bias.copy())
+
+    def run(self, bags: _Bags, weight: np.ndarray, epochs: int, batch: int) -> None:
+        """Epochs of Adagrad over the bags; a vector's squared gradients are summed over its dimensions."""
+        for _ in range(epochs):
+            order = self.rng.permutation(len(bags.label))
+            for rows in np.array_split(order, max(1, -(-len(order) // batch))):
+                self._step(bags, rows, weight[rows])
+
+    def _step(self, bags: _Bags, rows: np.ndarray, weight: np.ndarray) -> None:
+        b, bag, share = bags.grams(rows)
+        mean = np.zeros((len(rows), DIM), np.float32)
+        if len(b):
+            edges = np.flatnonzero(np.diff(bag, prepend=-1))
+            mean[bag[edges]] = np.add.reduceat(self.vectors[b] * share[:, None], edges)
+        p = softmax(mean @ self.weights + self.bias)
+        p[np.arange(len(rows)), bags.label[rows]] -= 1
+        p *= weight[:, None]
+        back = p @ self.weights.T
+        grads = [(self.weights, mean.T @ p, 1), (self.bias, p.sum(0), 2)]
+        if len(b):
+            order = np.argsort(b, kind="stable")
+            edges = np.flatnonzero(np.diff(b[order], prepend=-1))
+            g = np.add.reduceat(back[bag[order]] * share[order, None], edges)
+            own = b[order][edges]
+            g += DECAY * self.vectors[own]
+            self.sums[0][own] += (g * g).mean(1)
+            self.vectors[own] -= RATE * g / np.sqrt(self.sums[0][own])[:, None]
+        for value, g, k in grads:
+            self.sums[k] += g * g
+            value -= 0.1 * RATE * g / np.sqrt(self.sums[k])
+
+
+def train(pick: Callable[[WordScorer | None], list[tuple[int, list[str]]]], seed: int = 11) -> ToxicModel | None:
+    """``pick`` gives (label, words) of every training document: a draw without a model, else the bag under it."""
+    drawn = [(y, w) for y, w in pick(None) if w]
+    labels = np.array([y for y, _ in drawn])
+    if not len(labels) or labels.min() == labels.max():
         return None
-    names, parts, sizes = list(vocab), [], []
-    for k in range(0, len(names), 20_000):  # in parts, for the hashes need room
-        b, o = subwords(names[k : k + 20_000])
-        parts.append(b[np.argsort(o, kind="stable")].astype(np.int32))
-        sizes.append(np.bincount(o, minlength=len(names[k : k + 20_000])))
-    buckets, per_word = np.concatenate(parts), np.concatenate(sizes).astype(np.int32)
-    first = np.concatenate(([0], np.cumsum(per_word)))
-    n_words = len(vocab)
-    del parts, sizes, names, vocab
-    vectors = np.zeros((BUCKETS, DIM), np.float32)
-    weights = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
-    weights[:, 1] = -weights[:, 0]
-    bias = np.zeros(2, np.float32)
-
-    def learn(bags: list[np.ndarray], ys: np.ndarray, step: float) -> None:
-        nonlocal weights, bias
-        w = np.concatenate(bags)
-        of_bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        n = per_word[w]
-        flat = np.repeat(first[w] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        rows_, share = buckets[flat], np.repeat(1.0 / (np.maximum(n, 1) * WINDOW), n).astype(np.float32)
-        bag = np.repeat(of_bag, n)
-        edges = np.flatnonzero(np.diff(bag, prepend=-1))
-        mean = np.zeros((len(bags), DIM), np.float32)
-        mean[bag[edges]] = np.add.reduceat(vectors[rows_] * share[:, None], edges)
-        z = mean @ weights + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(ys)), ys] -= 1
-        to_mean = p @ weights.T
-        np.add.at(vectors, rows_, -step * WINDOW * share[:, None] * to_mean[bag])
-        weights -= step * 0.05 * mean.T @ p / len(ys)
-        bias -= step * 0.2 * p.mean(0)
-
-    def passage(i: int, at: int) -> np.ndarray:
-        return ids[i][at : at + WINDOW]
-
-    # start from how much oftener toxic documents hold an n-gram; rare ones start near zero
-    held = np.zeros((2, BUCKETS))
-    for y, w in zip(labels, ids, strict=True):
-        u = np.unique(w)
-        n = per_word[u]
-        held[y, np.unique(buckets[np.repeat(first[u] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])] += 1
-    rate1 = labels.mean()
-    odds = np.log((held[1] + PRIOR * rate1) / (held[0] + PRIOR * (1 - rate1)) * (1 - rate1) / rate1)
-    way = weights[:, 1] - weights[:, 0]
-    vectors += (WINDOW * odds[:, None] * way / (way @ way)).astype(np.float32)
-    bias[1] = -WINDOW / 2
-    pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    for _ in range(ROUNDS):  # each document's highest passage under the model so far
-        gain = vectors @ (weights[:, 1] - weights[:, 0])
-        score = np.zeros(n_words, np.float32)
-        some = np.flatnonzero(per_word)
-        score[some] = np.add.reduceat(gain[buckets], first[some]) / per_word[some]
-        top = np.zeros(len(ids), np.int64)
-        for i, w in enumerate(ids):
-            if len(w) > WINDOW:
-                c = np.concatenate(([0.0], np.cumsum(score[w])))
-                top[i] = np.argmax(c[WINDOW:] - c[:-WINDOW])
-        each = rng.permutation(np.concatenate([rng.choice(pos, max(len(pos), len(neg) // 2)), neg]))
-        for part in np.array_split(each, max(1, len(each) // 64)):
-            learn([passage(i, top[i]) for i in part], labels[part], rate)
-    return ToxicModel((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    t = Trainer(seed)
+    # each distinct word once for each label, weighted by its documents; both labels weigh the same
+    held: list[dict[str, int]] = [{}, {}]
+    for y, ws in drawn:
+        for w in ws:
+            held[y][w] = held[y].get(w, 0) + 1
+    del drawn
+    number = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    pairs = [(y, w, n / number[y]) for y in (0, 1) for w, n in held[y].items()]
+    del held
+    weight = np.array([n for _, _, n in pairs], np.float32)
+    t.run(_Bags([[w] for _, w, _ in pairs], [y for y, _, _ in pairs], 1.0 / TOP), weight * len(weight) / weight.sum(), FIRST_EPOCHS, BATCH)
+    del pairs
+    clean: list[list[str]] = []
+    for _ in range(ROUNDS):
+        picked = pick(t.model().scorer())
+        toxic = [w for y, w in picked if y]
+        clean += [w for y, w in picked if not y]
+        clean = [list(w) for w in dict.fromkeys(map(tuple, clean))]
+        bags = _Bags(toxic + clean, [1] * len(toxic) + [0] * len(clean), 1.0 / TOP)
+        t.run(bags, np.ones(len(bags.label), np.float32), EPOCHS, 256)
+    return t.model()
+
+
+def picker(rows: list[tuple[int, str]]) -> Callable:
+    """:func:`train`'s ``pick`` over rows (label, text) at hand."""
+    def pick(scorer: WordScorer | None) -> list[tuple[int, list[str]]]:
+        texts = [t for _, t in rows]
+        return [(y, w) for (y, _), w in zip(rows, _picked(scorer, texts, range(len(rows))), strict=True)]
+
+    return pick
+
+
+def _picked(scorer: WordScorer | None, texts: list[str | None], seeds: Iterable[int]) -> Iterator[list[str]]:
+    if scorer is None:
+        for t, h in zip(texts, seeds, strict=True):
+            words = sorted(words_of(t))
+            yield words if len(words) <= FIRST_WORDS else [words[i] for i in np.random.default_rng(abs(h)).choice(len(words), FIRST_WORDS, False)]
+    else:
+        for words, scores in scorer(texts, {}):
+            yield sorted(words[i] for i in (np.argpartition(-scores, TOP)[:TOP] if len(words) > TOP else range(len(words))))
+
+
+def _pick_batches(scorer: WordScorer | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            picked = list(_picked(scorer, [t.as_py() for t in batch.column("text")], batch.column("_h").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(picked, pa.list_(pa.string())), batch.column("_h")], ["toxic", "words", "_h"])
+
+    return run
 
 
 def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> ToxicModel | None:
@@ -164,31 +259,29 @@ def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Toxic
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(crc_mod(F.col("doc_id"), held_out_mod) != 0)
     there = documents.where(trainable(F.col("text"))).select("doc_id").distinct().join(marks, "doc_id")
-    return train(zip(*labelled_sample(documents, there, "toxic", TRAIN_ROWS).columns, strict=True))
+    rows = materialize(labelled_sample(documents, there, "toxic", TRAIN_ROWS), "toxic-sample")
+
+    def pick(scorer: WordScorer | None) -> list[tuple[int, list[str]]]:
+        got = rows.mapInArrow(_pick_batches(scorer), "toxic int, words array<string>, _h long").toArrow().sort_by([("_h", "ascending"), ("toxic", "ascending")])
+        return list(zip(got["toxic"].to_pylist(), got["words"].to_pylist(), strict=True))
+
+    try:
+        return train(pick)
+    finally:
+        drop_materialized(rows)
 
 
-def _score_batches(model: ToxicModel | None):
+def _score_batches(scorer: WordScorer | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in slices(batches):
-            texts, out, at = batch.column("text"), np.zeros(batch.num_rows), 0
-            while at < batch.num_rows and model is not None:
-                group, chars = [], 0
-                while at + len(group) < batch.num_rows and chars < CHUNK_CHARS:
-                    t = texts[at + len(group)].as_py()
-                    chars += len(t or "")
-                    group.append(words_of(t))
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({w for ws in group for w in ws if w not in cache})
-                cache.update(zip(new, model.word_scores(new).tolist(), strict=True))
-                for k, ws in enumerate(group):
-                    z = model.highest(np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws)))
-                    out[at + k] = 1 / (1 + np.exp(-z))
-                at += len(group)
-            rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
+            out = np.zeros(batch.num_rows)
+            if scorer is not None:
+                texts = (t.as_py() for t in batch.column("text"))
+                for k, (_, s) in enumerate(scorer(texts, cache)):
+                    out[k] = 1 / (1 + np.exp(-scorer.highest(s)))
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(out)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], [*names, "score"])
 
     return run
 
@@ -197,5 +290,5 @@ def score_documents(documents: DataFrame, model: ToxicModel | None, held_out_mod
     """doc_id, held_out, score, predicted for every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", (crc_mod(F.col("doc_id"), held_out_mod) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(_score_batches(model), f"doc_id {kind}, held_out boolean, score double")
+    scored = docs.mapInArrow(_score_batches(model and model.scorer()), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

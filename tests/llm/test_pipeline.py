@@ -10,8 +10,7 @@ def plain(spark, rows, labels, items):
     """The stages one after another over Python rows (doc_id, text, lang, source, n_chars)."""
     frame = lambda: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     toxic = toxicity.fit(frame(), labels)
-    odds = lambda t: toxic.highest(toxic.word_scores(w)) if (w := toxicity.words_of(t)) else toxic.bias
-    rows = [r for r in rows if toxic is None or odds(r[1]) < 0]
+    rows = [r for r in rows if toxic is None or toxic.probability(r[1]) < 0.5]
     lang = language_id.fit(frame())
     rows = [r for r in rows if (p := lang.probabilities(r[1])) is not None and p.max() >= cp.LEAST_LANGUAGE_SCORE]
     root = {d: c for d, _, c in near_groups([r[:2] for r in rows], 5, 80)}
