@@ -1,25 +1,29 @@
 """Connected components of an edge table, by alternating large-star and small-star passes.
 
-Every pass is a window by node over the edges; hubs spill, and nothing but two sums per pass comes to the driver.
-Each pass is written to the shared folder, so lost executors cost at most the pass that runs.
+A node's smallest neighbour is a sum-like aggregate, which combines before the shuffle, and goes back to the
+node's edges by a join that may split a hub; no pass gathers a node's edges. Nothing but two sums per pass comes
+to the driver. Each pass is written to the shared folder, so lost executors cost at most the pass that runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.runtime import drop_materialized, materialize
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the smallest v of their u."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
-    w = Window.partitionBy("u")
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = F.least(F.col("u"), F.min("v").over(w))
-    large = both.withColumn("m", low).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = _with_least(both).withColumn("m", F.least("u", "m")).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
+    large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     # now u > v: each node points at something smaller
-    small = large.withColumn("m", F.min("v").over(w))
-    out = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+    out = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return out.where(F.col("u") != F.col("v")).distinct()
 
 

@@ -1,181 +1,228 @@
 """Embedding near-dedup: an exact metric range join over pivot cells.
 
 Vectors of one label are compared by cosine; on unit vectors that is a Euclidean range join of radius
-r = sqrt(2 - 2 c). Equal vectors collapse first, with their number, so exact copies never meet. Each
-label with more vectors than one cell takes gets pivots (the vectors that a hash puts first); a vector's home is its nearest pivot's cell. By
-the triangle inequality, a vector x can have a partner at home in the cell of q only if
-d(x, q) - d(x, home) <= 2 r and d(x, q) <= (radius of q's cell) + r; exactly those cells get a
-replica of x. Cells then join independently: every home vector of a cell meets all vectors of the cell.
-Large cells are cut into blocks and joined block by block, so no task holds more than two blocks.
+r = sqrt(2 - 2 c). Equal vectors collapse first, with their number, so exact copies never meet. Every label gets
+pivots, drawn by a hash, whose number grows with the square root of its vectors; a vector's home is its nearest
+pivot's cell. Two cells can hold a link only if their pivots are no further apart than both radii and r (triangle
+inequality). Neighbouring cells are packed into bins, and bins that are still too large are cut into parts.
 
-A block pair reports, for each vector, how many partners it has there, and a forest of the links (not the
-links), which is linear in the block; components come from the forests.
+A tile joins two parts. Inside it each home cell joins independently with its boundary replicas: those vectors of
+the other part whose distance from the cell's centre is at most the cell's radius and r, by the triangle
+inequality again. A vector is shuffled once for each tile, not once for each cell, and tiles are as large as memory
+allows, so what is shuffled grows with the vectors of a label over ``LARGEST``.
+
+A tile reports, for each vector, how many partners it has there, and a forest of the links (not the links),
+which is linear in the tile; components come from the forests.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing (n_links 0, own component, kept); vectors of other lengths are compared
-within their length; repeated rows count as other vectors; a null vec_id has a null component; an empty
-table gives no rows; extra columns are ignored.
+within their length; components of any finite size are compared without over- or underflow; repeated rows count
+as other vectors; a null vec_id has a null component; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
-from corvine.runtime import materialize
+from corvine.runtime import drop_materialized, materialize
 
-#: One pivot for so many vectors of a label, at most so many for a label, and rows of a block.
-PER_PIVOT, MAX_PIVOTS, BLOCK = 2000, 64, 2000
+#: A label's pivots are about sqrt(vectors) / PIVOTS. A bin part holds an eighth of its label's vectors, within these bounds.
+PIVOTS, SMALLEST, LARGEST = 2.0, 2048, 16384
+#: Vectors that look for their home together, and products of a tile that are held at once.
+HOMING, PRODUCTS = 4096, 1 << 20
 #: Room for rounding in the bounds; links themselves are decided by the cosine alone.
 SLACK = 1e-6
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1)
-
-
 def unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _assign_batches(pivots: dict[tuple, np.ndarray], radii: dict[tuple, np.ndarray] | None, r: float):
-    """With radii: a row for each cell a vector belongs to. Without: one row, the home cell and its distance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("grp").to_pylist()
-            take, cell, home, dist = [], [], [], []
-            by: dict = {}
-            for i, k in enumerate(keys):
-                by.setdefault(k, []).append(i)
-            for k, own in by.items():
-                if k not in pivots:  # a label of one cell
-                    take += own
-                    cell += [0] * len(own)
-                    home += [True] * len(own)
-                    dist += [0.0] * len(own)
-                    continue
-                m = unit(_matrix(batch.column("vec").take(pa.array(own))))
-                d = np.sqrt(np.maximum(2 - 2 * (m @ pivots[k].T), 0))
-                at = d.argmin(1)
-                near = d[np.arange(len(own)), at]
-                if radii is None:
-                    rows, cells = np.arange(len(own)), at
-                else:
-                    keep = (d - near[:, None] <= 2 * r + SLACK) & (d <= radii[k][None, :] + r + SLACK)
-                    keep[np.arange(len(own)), at] = True
-                    rows, cells = np.nonzero(keep)
-                take += np.array(own)[rows].tolist()
-                cell += cells.tolist()
-                home += (cells == at[rows]).tolist()
-                dist += near[rows].tolist()
-            i = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(i), batch.column("grp").take(i), batch.column("number").take(i), batch.column("vec").take(i),
-                 pa.array(cell, pa.int32()), pa.array(home, pa.bool_()), pa.array(dist, pa.float64())],
-                ["id", "grp", "number", "vec", "cell", "home", "dist"])
+    """Rows of length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
+    m = m / np.abs(m).max(1, keepdims=True)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    col = table.column("vec").combine_chunks()
+    return unit(col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
+
+
+def _home(table: pa.Table) -> pa.Table:
+    """Vectors and their label's pivots: each vector with its nearest pivot's id and distance."""
+    is_pivot = _column(table, "pivot")
+    pivots, own = table.filter(pa.array(is_pivot)).sort_by("id"), table.filter(pa.array(~is_pivot))
+    if not own.num_rows:
+        d, at = np.zeros((0, 1)), np.zeros(0, int)
+    else:
+        d = _distances(_matrix(own), _matrix(pivots))
+        at = d.argmin(1)
+    return own.drop_columns(["pivot"]).append_column("cell", pivots.column("id").combine_chunks().take(pa.array(at))).append_column("dist", pa.array(d[np.arange(len(at)), at], pa.float64()))
+
+
+def _bins(r: float):
+    def run(table: pa.Table) -> pa.Table:
+        """One label's cells, with pivot, number and radius: rows (cell, bin, parts) and rows (bin, other) of bins that may hold a link."""
+        table = table.sort_by("cell")
+        m, number, radius = _matrix(table), _column(table, "number"), _column(table, "radius")
+        room = part_size(int(number.sum()))
+        d = _distances(m, m)
+        # neighbours first: each cell is followed by the nearest one left
+        order, left = [0], np.ones(len(m), bool)
+        left[0] = False
+        while left.any():
+            order.append(int(np.where(left, d[order[-1]], np.inf).argmin()))
+            left[order[-1]] = False
+        bins, held, at = np.zeros(len(m), np.int32), 0, 0
+        for c in order:
+            if held and held + number[c] > room:
+                at, held = at + 1, 0
+            bins[c], held = at, held + number[c]
+        sizes = np.bincount(bins, number, at + 1)
+        parts = np.maximum(1, np.ceil(sizes / room)).astype(np.int32)
+        x, y = np.nonzero(d <= radius[:, None] + radius[None, :] + r + SLACK)
+        pairs = np.unique(np.stack((np.minimum(bins[x], bins[y]), np.maximum(bins[x], bins[y])), 1), axis=0)
+        grp, n, cells = table.column("grp")[0].as_py(), len(pairs), table.column("cell").combine_chunks()
+        return pa.table({
+            "grp": pa.array([grp] * (len(m) + n), pa.string()), "cell": pa.concat_arrays([cells, pa.nulls(n, cells.type)]),
+            "bin": pa.array(np.concatenate((bins, pairs[:, 0])), pa.int32()), "parts": pa.array(np.concatenate((parts[bins], parts[pairs[:, 0]])), pa.int32()),
+            "other": pa.concat_arrays([pa.nulls(len(m), pa.int32()), pa.array(pairs[:, 1], pa.int32())]),
+            "other_parts": pa.concat_arrays([pa.nulls(len(m), pa.int32()), pa.array(parts[pairs[:, 1]], pa.int32())]),
+        })
 
     return run
 
 
-def _join_blocks(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Home vectors of block ``bi`` meet the vectors of block ``bj`` of one cell."""
-        left = pdf[(pdf.block == pdf.bi) & pdf.home]
-        right = pdf[pdf.block == pdf.bj]
-        empty = pd.DataFrame({"id": pdf.id[:0], "n": np.zeros(0, np.int64), "root": pdf.id[:0]})
-        if left.empty or right.empty:
-            return empty
-        a, b = np.stack(left.vec.to_numpy()).astype(np.float64), np.stack(right.vec.to_numpy()).astype(np.float64)
-        cos = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-        x, y = np.nonzero(cos >= threshold)
-        li, ri = left.id.to_numpy(), right.id.to_numpy()
-        x, y = x[li[x] != ri[y]], y[li[x] != ri[y]]
-        if not len(x):
-            return empty
-        count = np.bincount(x, right.number.to_numpy()[y], len(li)).astype(np.int64)
-        # a forest of the links: each vector points at the root of its tree
-        ids, inverse = np.unique(np.concatenate((li, ri)), return_inverse=True)
-        u, v = inverse[x], inverse[len(li) + y]
-        root = np.arange(len(ids))
+def part_size(vectors: int) -> int:
+    return min(LARGEST, max(SMALLEST, -(-vectors // 8)))
+
+
+class _Forest:
+    """Union of links given in bulk: every node points at the smallest node of its tree."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
         while True:
-            low = np.minimum(root[u], root[v])
-            new = root.copy()
-            np.minimum.at(new, root[u], low)
-            np.minimum.at(new, root[v], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        some = np.unique(np.concatenate((u, v)))
-        out = pd.DataFrame({"id": ids[some], "n": np.zeros(len(some), np.int64), "root": ids[root[some]]})
-        at = dict(zip(li.tolist(), count.tolist(), strict=True))
-        out["n"] = [at.get(i, 0) for i in out.id.tolist()]
-        return out
+            a, b = self.root[u], self.root[v]
+            open_ = a != b
+            if not open_.any():
+                return
+            u, v, low = u[open_], v[open_], np.minimum(a, b)[open_]
+            np.minimum.at(self.root, a[open_], low)
+            np.minimum.at(self.root, b[open_], low)
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _tile(threshold: float, r: float):
+    def links(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of the links between a and b, cell by cell of a, in bounded lots. ``cell`` is sorted."""
+        edges = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            centre = a[low:high].mean(0, keepdims=True)
+            radius = _distances(a[low:high], centre).max()
+            near = np.flatnonzero(_distances(b, centre)[:, 0] <= radius + r + SLACK)
+            replicas = b[near].T
+            for at in range(low, high, step := max(1, PRODUCTS // max(1, len(near)))):
+                x, y = np.nonzero(a[at : min(at + step, high)] @ replicas >= threshold)
+                yield x + at, near[y]
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.filter(pa.array(_column(table, "side") == 0)).sort_by("cell")
+        right = table.filter(pa.array(_column(table, "side") == 1)) if table.num_rows > left.num_rows else left
+        same, n = right is left, left.num_rows
+        none = table.slice(0, 0)
+        if not n:
+            return pa.table({"id": none.column("id"), "n": pa.array([], pa.int64()), "root": none.column("id")})
+        a = _matrix(left)
+        b = a if same else _matrix(right)
+        total = n if same else n + right.num_rows
+        weight = np.concatenate((_column(left, "number"), [] if same else _column(right, "number")))
+        count, forest, shift = np.zeros(total), _Forest(total), 0 if same else n
+        cells = left.column("cell").combine_chunks().dictionary_encode().indices.to_numpy()
+        for x, y in links(a, b, cells):
+            y = y + shift
+            x, y = x[x != y], y[x != y]
+            count += np.bincount(x, weight[y], total)
+            if not same:
+                count += np.bincount(y, weight[x], total)
+            forest.add(x, y)
+        some = np.flatnonzero(count)
+        ids = pa.concat_arrays([left.column("id").combine_chunks(), *([] if same else [right.column("id").combine_chunks()])])
+        # whichever of a tree's rows comes first stands for it
+        return pa.table({"id": ids.take(pa.array(some)), "n": pa.array(count[some].astype(np.int64)), "root": ids.take(pa.array(forest.root[some]))})
 
     return run
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, per_pivot: int = PER_PIVOT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, pivots: float = PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (vec_id, embedding, label)."""
-    r = float(np.sqrt(2 - 2 * threshold))
-    vec = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    r = math.sqrt(2 - 2 * threshold)
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    vec = F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select("vec_id", "label", vec.alias("vec"))
-    usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & (F.size("vec") > 0) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists("vec", lambda x: x != 0), F.lit(False))
     grp = F.concat_ws("/", F.col("label").cast("string"), F.size("vec").cast("string"))
     rows = rows.withColumn("grp", F.when(usable, grp))
     # -0.0 and 0.0 are one value; a vector's bytes stand for it
     same = F.sha2(F.to_json(F.struct(F.transform("vec", lambda x: x + F.lit(0.0)).alias("v"))), 256)
     rows = materialize(rows.withColumn("print", F.when(F.col("grp").isNotNull(), F.concat_ws("/", "grp", same))), "vectors")
-    reps = rows.where("grp is not null").groupBy("print", "grp").agg(F.min("vec_id").alias("id"), F.count("*").alias("number"), F.first("vec").alias("vec"))
-    reps = materialize(reps, "reps")
-
-    # labels with more vectors than one cell takes; the others need no pivots
-    large = reps.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > per_pivot)
-    sizes = {x["grp"]: x["c"] for x in large.collect()}
-    ranked = reps.where(F.col("grp").isin(list(sizes))).select("grp", "vec", F.xxhash64("id").alias("h"), "id")
-    salted = Window.partitionBy("grp", F.pmod("h", F.lit(32))).orderBy("h", "id")
-    ranked = ranked.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= MAX_PIVOTS)
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("h", "id"))).where(F.col("k") <= MAX_PIVOTS)
-    pivots: dict[str, np.ndarray] = {}
-    for x in ranked.select("grp", "k", "vec").orderBy("grp", "k").collect():
-        if x["k"] <= max(1, -(-sizes[x["grp"]] // per_pivot)):
-            pivots.setdefault(x["grp"], []).append(x["vec"])
-    pivots = {k: unit(np.array(v, np.float64)) for k, v in pivots.items()}
-
-    id_kind = reps.schema["id"].dataType.simpleString()
-    schema = f"id {id_kind}, grp string, number long, vec array<double>, cell int, home boolean, dist double"
+    reps = materialize(rows.where("grp is not null").groupBy("print", "grp").agg(F.min("vec_id").alias("id"), F.count("*").alias("number"), F.first("vec").alias("vec")), "reps")
     source = reps.select("id", "grp", "number", "vec")
-    homes = source.where(F.col("grp").isin(list(sizes))).mapInArrow(_assign_batches(pivots, None, r), schema)
-    radii = {k: np.zeros(len(p)) - 3 for k, p in pivots.items()}
-    for x in homes.groupBy("grp", "cell").agg(F.max("dist").alias("d")).collect():
-        radii[x["grp"]][x["cell"]] = x["d"]
-    members = materialize(source.mapInArrow(_assign_batches(pivots, radii, r), schema).drop("dist"), "cells")
-
-    cells = members.groupBy("grp", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("blocks"))
-    cut = members.join(cells, ["grp", "cell"])
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_left = F.when(F.col("home"), F.transform(others, lambda j: F.struct(F.col("block").alias("bi"), j.alias("bj")))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>"))
-    as_right = F.transform(others, lambda i: F.struct(i.alias("bi"), F.col("block").alias("bj")))
-    dealt = cut.withColumn("pair", F.explode(F.array_union(as_left, as_right))).select("id", "number", "vec", "home", "block", "grp", "cell", "pair.bi", "pair.bj")
-    found = materialize(dealt.groupBy("grp", "cell", "bi", "bj").applyInPandas(_join_blocks(threshold), f"id {id_kind}, n long, root {id_kind}"), "found", 24)
+    id_kind, vec_kind = (source.schema[c].dataType.simpleString() for c in ("id", "vec"))
+
+    # each label's size, and its pivots: the row with the smallest id and whatever a hash draws
+    sizes = materialize(reps.groupBy("grp").agg(F.count("*").alias("size"), F.min("id").alias("least")), "sizes", 64)
+    sized = source.join(sizes, "grp")
+    parts = F.ceil(F.col("size") / HOMING).cast("int")
+    drawn = (F.pmod(F.xxhash64(F.lit("pivot"), "id"), "size") < F.sqrt("size") / pivots) | (F.col("id") == F.col("least"))
+    centres = materialize(sized.where(drawn).select("id", "grp", "number", "vec", parts.alias("parts")), "pivots")
+    seek = sized.select("id", "grp", "number", "vec", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("pivot"))
+    seek = seek.unionByName(centres.select("id", "grp", "number", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot")))
+    schema = f"id {id_kind}, grp string, number long, vec {vec_kind}, cell {id_kind}, dist double"
+    homes = seek.groupBy("grp", "part").applyInArrow(_dropping(_home, "part"), schema)
+    homes = materialize(homes, "homes")
+
+    cells = homes.groupBy("grp", "cell").agg(F.count("*").alias("number"), F.max("dist").alias("radius"))
+    cells = cells.join(centres.select("grp", F.col("id").alias("cell"), "vec"), ["grp", "cell"])
+    plan = materialize(cells.groupBy("grp").applyInArrow(_bins(r), f"grp string, cell {id_kind}, bin int, parts int, other int, other_parts int"), "bins", 48)
+    placed = homes.join(plan.where("other is null").select("grp", "cell", "bin", "parts"), ["grp", "cell"])
+    placed = placed.select("grp", "cell", "bin", F.pmod(F.xxhash64(F.lit("part"), "id"), "parts").cast("int").alias("part"), "id", "number", "vec")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tiles = plan.where("other is not null").select("grp", F.col("bin").alias("a"), F.col("other").alias("b"), every("parts").alias("i"), "other_parts")
+    tiles = tiles.select("grp", "a", "b", "i", every("other_parts").alias("j")).where("a <> b or i <= j")
+    side = lambda bin_, part, n: placed.join(tiles.select("grp", F.col(bin_).alias("bin"), F.col(part).alias("part"), "a", "b", "i", "j"), ["grp", "bin", "part"]).withColumn("side", F.lit(n))
+    dealt = side("a", "i", 0).unionByName(side("b", "j", 1).where("a <> b or i <> j")).select("grp", "a", "b", "i", "j", "side", "cell", "id", "number", "vec")
+    found = dealt.groupBy("grp", "a", "b", "i", "j").applyInArrow(_tile(threshold, r), f"id {id_kind}, n long, root {id_kind}")
+    found = materialize(found, "found", 24)
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     label = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     info = reps.select("print", "id", "number").join(counts, "id", "left").join(label, "id", "left")
     out = rows.select("vec_id", "print").join(info, "print", "left")
-    component = F.coalesce("component", "id", "vec_id")
+    for df in (sizes, centres, homes, plan):
+        drop_materialized(df)
+    component: Column = F.coalesce("component", "id", "vec_id")
     return out.select(
         "vec_id", F.coalesce(F.col("n") + F.col("number") - 1, F.col("number") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
     )
+
+
+def _dropping(f, *names: str):
+    return lambda table: f(table.drop_columns(list(names)))

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from corvine.llm import embedding_dedup as ed
 from corvine.llm.embedding_dedup import near_duplicates
 
 
@@ -31,18 +33,18 @@ def brute(rows, threshold=0.93):
     return sorted((d, links[i], low[find(i)], d == low[find(i)]) for i, d in enumerate(ids))
 
 
-def check(spark, rows, **how):
-    df = spark.createDataFrame([(*r, "g", 1) for r in rows], "vec_id long, embedding array<float>, label int, grp string, cell int")
+def check(spark, rows, kind="array<float>", **how):
+    df = spark.createDataFrame([(*r, "g", 1) for r in rows], f"vec_id long, embedding {kind}, label int, grp string, cell int")
     assert sorted(tuple(r) for r in near_duplicates(df, **how).collect()) == brute(rows)
 
 
-def test_table_in_one_and_in_many_cells(spark):
+def test_table_in_few_and_in_many_cells(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     check(spark, rows)
-    check(spark, rows, per_pivot=12, block=9)
+    check(spark, rows, pivots=0.3)
 
 
-def test_near_groups_and_odd_rows(spark):
+def test_near_groups_and_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows, n = [], 100
     for label in (1, 2):
@@ -54,7 +56,29 @@ def test_near_groups_and_odd_rows(spark):
     rows += [(n + i, rows[5][1], 1) for i in range(40)]
     rows += [(1, None, 1), (2, [], 1), (3, [0.0] * 8, 1), (4, [None] + [1.0] * 7, 1), (5, [float("nan")] * 8, 1), (6, [float("inf")] + [0.0] * 7, 1),
              (7, rows[5][1], None), (8, [1.0, 0.0], 1), (9, [2.0, -0.0], 1), (10, [1.0, 0.0], 2), (11, [3e38] * 8, 3), (12, [1e-30] * 8, 3)]
-    check(spark, rows, per_pivot=20, block=16)
+    check(spark, rows)
+    # small bins and parts, so that bins are cut, and cells of one bin and of several meet
+    for size in (11, 40):
+        monkeypatch.setattr(ed, "part_size", lambda n, size=size: size)
+        monkeypatch.setattr(ed, "HOMING", 50)
+        monkeypatch.setattr(ed, "PRODUCTS", 64)
+        check(spark, rows, pivots=0.6)
+
+
+def test_sizes_of_components_do_not_matter(spark):
+    """Squares of these over- and underflow."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [1e-200, 1e-200], 1), (4, [1e-200, 1e-200], 1), (5, [1.0, 1.0], 1), (6, [-1e308, 1e308], 1), (7, [-5e-324, 5e-324], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(i, 4, 1, i == 1) for i in range(1, 6)] + [(6, 1, 6, True), (7, 1, 6, False)]
+
+
+def test_clusters_are_pruned():
+    """Bins of cells that are far apart get no tile."""
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)[:4]
+    cells = pa.table({"grp": ["g"] * 4, "cell": [1, 2, 3, 4], "number": [3000] * 4, "radius": [0.1] * 4, "vec": pa.array([c + rng.normal(size=8) * 0.01 for c in centres], pa.list_(pa.float64()))})
+    out = ed._bins(0.37)(cells).to_pylist()
+    assert [x for x in out if x["other"] is not None and x["other"] != x["bin"]] == [] and len({x["bin"] for x in out}) == 4
 
 
 def test_empty_table(spark):
