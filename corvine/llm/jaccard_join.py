@@ -11,13 +11,24 @@ n - ceil(t n) + 1 of each. Sets are light or heavy by a size boundary that is ch
 * heavy sets scan the inverted lists of their prefix shingles (a light set stands in those lists too if a
   heavy one can still be similar to it).
 
-Within a list, sets are first compared with one center (the set that reaches the list's shingle with the
-fewest rarer ones before it). Pairs that are not yet in one component after that are then compared in full,
-so no link between components is lost while groups of near copies do not expand into all pairs.
+The cost is counted in rows, made and met: a list row for each prefix shingle and one for each other set that the
+counters expect in its lists, against a row for each subset; every size takes part, and no cost more goes to the
+larger boundary.
+
+Of two linked sets the smaller one has its first common shingle so early that it could match a set of its own size
+(its place there is ``short``). So lists without a short place are dropped, and only short places open pairs; a
+long list of texts that share most but not enough words opens none.
+
+In a list, sets are first compared with one centre, the short place with the fewest rarer shingles before it, and
+each set first with the one centre it shares most lists with. Pairs that are not in one component after
+that are then compared in full, so no link between components is lost while groups of near copies do not expand
+into all pairs.
 
 Defined results: null texts and texts without words have an empty set (n_shingles 0) and link with
-nothing; texts shorter than a shingle are one shingle; rows that repeat a doc_id are one document; a null
-doc_id links with nothing but its exact copies; an empty table gives no rows; extra columns are ignored.
+nothing; texts shorter than a shingle are one shingle; rows that repeat a doc_id with other texts are one document
+that has the links of all its texts, each with its own n_shingles; a null doc_id links with nothing but its exact
+copies; at 100 percent only equal sets link; texts of any length are read whole; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +39,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
-from corvine.runtime import broadcast_if_small, materialize, slices
+from corvine.runtime import broadcast_if_small, drop_materialized, materialize, slices
 
-#: Width of the counter table, and the largest size that may count as light.
-SLOT_BITS, MAX_LIGHT = 18, 64
+#: Width of the counter table, and partners of a set that are compared in one place.
+SLOT_BITS, PARTNERS = 18, 512
 WORD_CACHE = 120_000
 
 
@@ -48,6 +59,10 @@ class JoinSpec:
         """Smallest overlap of a set of size n with any partner."""
         return -(-self.percent * n // 100)
 
+    def least_size(self) -> int | None:
+        """The smallest set that can be similar to another one; None if only equal sets are."""
+        return -(-self.percent // (100 - self.percent)) if self.percent < 100 else None
+
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
@@ -158,14 +173,16 @@ def _set_batches(spec: JoinSpec):
 
 
 def light_boundary(spec: JoinSpec, histogram: list[tuple[int, int, float]]) -> int:
-    """The size up to which enumerating 2-subsets costs less than scanning lists, from (size, sets, list cost)."""
-    best, at, saved = 0.0, 0, 0.0
-    for n, sets, lists in sorted(histogram):
-        m = n - spec.least_own(n) + 1
-        saved += sets * m + lists - sets * (m + 1) * m / 2
-        if saved > best:
-            best, at = saved, n
-    return at
+    """The size up to which sets are light at the least cost in rows, from (size, sets, other sets in their lists)."""
+    rows = sorted(histogram)
+    n, sets = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    m = n + 1 - -(-spec.percent * n // 100)
+    sums = lambda x: np.concatenate(([0.0], np.cumsum(x)))
+    made, subsets, heavy = sums(sets * m), sums(sets * (m * (m + 1) // 2)), sums(sets * m + np.array([r[2] for r in rows]))
+    # light sets that a heavy one can be similar to stand in lists too
+    near = np.searchsorted(n, -(-spec.percent * (n + 1) // 100))
+    cost = np.append(heavy[-1], subsets[1:] + heavy[-1] - heavy[1:] + made[1:] - made[np.minimum(near, np.arange(len(n)) + 1)])
+    return [0, *n.tolist()][int(np.flatnonzero(cost <= cost.min())[-1])]
 
 
 def _need(spec: JoinSpec, a: Column, b: Column) -> Column:
@@ -191,16 +208,49 @@ def _possible(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, documents: DataFrame, sets: DataFrame, spec: JoinSpec, link_kind: str) -> DataFrame:
-    """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only."""
+    """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only.
+
+    A pair ships the set of its u; a v with many partners is copied to several places, so no place has more than
+    some ``PARTNERS`` of them.
+    """
     pairs = materialize(_possible(pairs, sets, spec), "possible", 16)
     ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids", 8)
     wanted = broadcast_if_small(ids, ids.count(), 16)
     texts = documents.join(wanted, "doc_id", "left_semi")
     whole = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
+    spread = F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int")
+    hubs = materialize(pairs.groupBy("v").agg(spread.alias("places")).where("places > 1"), "hubs", 16)
+    hubs = broadcast_if_small(hubs, hubs.count(), 24)
+    place = F.pmod(F.xxhash64("u"), F.coalesce("places", F.lit(1))).alias("place")
+    right = whole.select(F.col("id").alias("v"), F.col("items").alias("b")).join(hubs, "v", "left")
+    right = right.select("v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)).cast("long") - 1)).alias("place"))
     left = whole.select(F.col("id").alias("u"), F.col("items").alias("a"))
-    right = whole.select(F.col("id").alias("v"), F.col("items").alias("b"))
+    left = pairs.join(hubs, "v", "left").select("u", "v", place).join(left, "u")
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(left, "u").join(right, "v").where(100 * both >= spec.percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
+    links = left.join(right, ["v", "place"]).where(100 * both >= spec.percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
+    links = materialize(links, "links", 16)
+    for df in (pairs, ids, whole):
+        drop_materialized(df)
+    return links
+
+
+def _lists(sets: DataFrame, spec: JoinSpec, x: int) -> DataFrame:
+    """key, kind, id, n, pos, short of all places in lists that can hold a pair; light sizes go up to x."""
+    n = F.col("n")
+    m = n - F.ceil(F.lit(spec.percent) * n / 100.0 - 1e-9).cast("int") + 1
+    rows = sets.where(100 * n >= spec.percent * (x + 1)).select("id", "n", F.posexplode(F.slice("prefix", F.lit(1), m)).alias("pos", "key"), F.lit(0).alias("kind"))
+    if x:
+        places = F.sequence(F.lit(1), m)
+        subsets = F.flatten(F.transform(places, lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j")))))
+        light = sets.where(n <= x).select("id", "n", "prefix", F.explode(subsets).alias("s"))
+        light = light.select("id", "n", F.col("s.i").alias("pos"), F.xxhash64(F.get("prefix", F.col("s.i")), F.get("prefix", F.col("s.j"))).alias("key"), F.lit(1).alias("kind"))
+        rows = rows.unionByName(light)
+    rows = rows.withColumn("short", F.col("pos") <= n - _need(spec, n, n))
+    # nearly all keys stand alone: they are counted first, and only places in other lists move
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("key"), "keys", 8)
+    out = materialize(rows.join(broadcast_if_small(keys, keys.count(), 16), "key", "left_semi"), "lists")
+    drop_materialized(keys)
+    return out
 
 
 def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, boundary: int | None = None) -> DataFrame:
@@ -213,53 +263,59 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     counters = shingle_counters(docs.select("text"), spec)
     made = materialize(docs.mapInArrow(_prefix_batches(spec, counters), f"doc_id {kind}, n int, print binary, prefix array<bigint>, cost double"), "prefixes")
-    classes = made.where("n > 0").groupBy("print", "n").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("cost").alias("cost"))
-    classes = materialize(classes, "classes")
-    # a set of another size or content can be similar only from this size on
-    least = next(n for n in range(1, 1000) if 100 * n >= spec.percent * (n + 1))
-    sets = classes.where((F.col("n") >= least) & F.col("id").isNotNull())
+    copies = made.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("print", "rep")
+    copies = materialize(copies, "copies", 32)
+    copies = broadcast_if_small(copies, copies.count(), 48)
+    out = made.select("doc_id", "n", "print").join(copies, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    shape = lambda component: (F.col("n").cast("long").alias("n_shingles"), F.coalesce(component, "rep").alias("component_id"))
+    least, links = spec.least_size(), _several_texts(out)
+    if least is None:
+        label = connected_components(links)
+        return out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", *shape("component"))
+    sets = made.where((F.col("n") >= least) & F.col("doc_id").isNotNull()).join(copies, "print", "left").where("rep is null or rep = doc_id")
+    sets = materialize(sets.select(F.col("doc_id").alias("id"), "n", "prefix", "cost"), "classes")
     x = boundary
     if x is None:
-        histogram = sets.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.count("*").alias("c"), F.sum("cost").alias("l")).collect()
-        x = light_boundary(spec, [(r["n"], r["c"], r["l"]) for r in histogram])
+        # one row for each size that occurs
+        x = light_boundary(spec, [(r["n"], r["c"], r["l"]) for r in sets.groupBy("n").agg(F.count("*").alias("c"), F.sum("cost").alias("l")).collect()])
+    lists = _lists(sets, spec, x)
 
-    n = F.col("n")
-    m = n - F.ceil(F.lit(spec.percent) * n / 100.0 - 1e-9).cast("int") + 1
-    heavy = sets.where(100 * n >= spec.percent * (x + 1)).select("id", "n", F.posexplode(F.slice("prefix", F.lit(1), m)).alias("pos", "key"), F.lit(0).alias("kind"))
-    rows = heavy
-    if x:
-        places = F.sequence(F.lit(1), m)
-        subsets = F.flatten(F.transform(places, lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j")))))
-        light = sets.where(n <= x).select("id", "n", "prefix", F.explode(subsets).alias("s"))
-        light = light.select("id", "n", F.col("s.i").alias("pos"), F.xxhash64(F.get("prefix", F.col("s.i")), F.get("prefix", F.col("s.j"))).alias("key"), F.lit(1).alias("kind"))
-        rows = heavy.unionByName(light)
-    w = Window.partitionBy("key", "kind")
-    rows = rows.withColumn("c", F.min(F.struct("pos", "id", "n")).over(w)).withColumn("last", F.max("id").over(w)).withColumn("low", F.min("id").over(w))
-    lists = materialize(rows.where("last <> low").select("key", "kind", "id", "n", "pos", "c"), "lists")
-
-    def meets(a: Column, i: Column, b: Column, j: Column) -> Column:
-        split = F.when(F.col("kind") == 0, F.greatest(a, b) > x).otherwise(F.lit(True))
-        return split & _candidate(spec, a, i, b, j)
-
-    first = lists.where((F.col("id") != F.col("c.id")) & meets(n, F.col("pos"), F.col("c.n"), F.col("c.pos")))
-    first = materialize(first.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct(), "pairs", 16)
-    links = materialize(_verify(first, docs, classes, spec, kind), "links", 16)
+    col = F.col
+
+    def meets(a: str, b: str) -> Column:
+        split = F.when(col(f"{a}.kind") == 0, F.greatest(col(f"{a}.n"), col(f"{b}.n")) > x).otherwise(F.lit(True))
+        return split & _candidate(spec, col(f"{a}.n"), col(f"{a}.pos"), col(f"{b}.n"), col(f"{b}.pos"))
+
+    centres = lists.where("short").groupBy("key", "kind").agg(F.min(F.struct("pos", "id", "n")).alias("c")).select("key", "kind", "c.*")
+    first = lists.alias("a").join(centres.alias("b"), ["key", "kind"]).where((col("a.id") != col("b.id")) & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")) & F.when(col("kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True)))
+    first = materialize(first.groupBy(col("a.id").alias("u"), col("b.id").alias("v")).agg(F.count("*").alias("c")), "pairs", 24)
+    best = first.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+    links = links.unionByName(_verify(best, docs, sets, spec, kind))
+    label = materialize(connected_components(links), "labels", 16)
+    # the other centres of sets that are still apart from them
+    component = lambda name: label.select(col("id").alias(name), col("component").alias(f"c{name}"))
+    apart = first.join(component("u"), "u", "left").join(component("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    more = _verify(apart.join(best, ["u", "v"], "left_anti"), docs, sets, spec, kind)
+    links = links.unionByName(more)
     label = materialize(connected_components(links), "labels", 16)
 
-    own = lists.drop("c").join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    own = own.withColumn("l", F.min("comp").over(w)).withColumn("h", F.max("comp").over(w)).where("l <> h").drop("l", "h")
-    own = materialize(own, "open")
-    a, b = own.alias("a"), own.alias("b")
-    col = F.col
-    rest = a.join(b, (col("a.key") == col("b.key")) & (col("a.kind") == col("b.kind")) & (col("a.id") > col("b.id")) & (col("a.comp") != col("b.comp"))
-                  & F.when(col("a.kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True))
-                  & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")))
-    rest = rest.select(col("a.id").alias("u"), col("b.id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = _verify(materialize(rest, "pairs", 16), docs, classes, spec, kind)
+    own = lists.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    open_ = own.groupBy("key", "kind").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("key", "kind")
+    own = materialize(own.join(open_, ["key", "kind"], "left_semi"), "open")
+    a, b = own.where("short").alias("a"), own.alias("b")
+    # the shorter set has the short place; of equal ones, whichever
+    rest = a.join(b, (col("a.key") == col("b.key")) & (col("a.kind") == col("b.kind")) & (col("a.comp") != col("b.comp")) & (col("a.n") <= col("b.n")) & meets("a", "b"))
+    rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+    done = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    more = _verify(materialize(rest.join(done, ["u", "v"], "left_anti"), "pairs", 16), docs, sets, spec, kind)
     label = materialize(connected_components(links.unionByName(more)), "labels", 16)
+    for df in (first, lists, own, sets):
+        drop_materialized(df)
+    return out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", *shape("component"))
 
-    copies = classes.where("copies > 1").select("print", F.col("id").alias("rep"))
-    out = made.select("doc_id", "n", "print").join(copies, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+def _several_texts(out: DataFrame) -> DataFrame:
+    """Links (u, v) from documents that have texts of several classes to each of these."""
+    named = out.where("doc_id is not null")
+    ids = materialize(named.groupBy("doc_id").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).where("l <> h").select("doc_id"), "several", 8)
+    return materialize(named.join(broadcast_if_small(ids, ids.count(), 16), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "several-links", 16)

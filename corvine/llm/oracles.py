@@ -66,6 +66,24 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id)::BIGINT AS
   e.vec_id = least(e.vec_id, coalesce((SELECT min(r.v) FROM reach r WHERE r.u = e.vec_id), e.vec_id)) AS kept
 FROM embeddings e"""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP2 = rf"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])))) END AS s FROM cut),
+classes AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+places AS (SELECT rep, n, unnest(s) AS g FROM classes),
+linked AS (
+  SELECT a.rep AS u, b.rep AS v FROM places a JOIN places b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS v FROM reach GROUP BY u)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(least(c.rep, m.v), c.rep, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN least m ON m.u = c.rep"""
+
+
 def mixing_sql(docs: str = "documents", columns: str = "doc_id, lang, source") -> str:
     """The mixing operator without its slices: each leaf's seeded order is summed as a whole."""
     plan = MixPlan()
@@ -105,4 +123,4 @@ SELECT {columns}, (epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest
 WHERE epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest THEN 1 ELSE 0 END > 0"""
 
 
-ORACLES = {"op4_url_filters": _op4(), "op3_mixing": mixing_sql(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}
+ORACLES = {"op2_jaccard_join": _OP2, "op4_url_filters": _op4(), "op3_mixing": mixing_sql(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}

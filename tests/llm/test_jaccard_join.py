@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+from corvine.llm import jaccard_join
 from corvine.llm.jaccard_join import JoinSpec, jaccard_components, light_boundary
 
 
@@ -86,11 +87,56 @@ def test_five_words_at_eight_tenths(spark):
     assert run(spark, rows, JoinSpec(words=5, percent=80)) == brute(rows, 5, 80)
 
 
+def test_rows_that_repeat_an_id(spark):
+    """One document has the links of all its texts."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, a + " x"), (9, b + " y"), (9, ""), (2, ""), (7, "a b c d"), (8, a), (8, "q w e r t"), (1, "q w e r t"), (None, "q w e r t"), (None, a + " z")]
+    got = run(spark, [r for r in rows if r[0] is not None])
+    assert got == brute([r for r in rows if r[0] is not None]) and {c for d, _, c in got if d != 2 and d != 7} == {1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.doc_id is None for r in jaccard_components(df).collect()) == 2
+
+
+def test_at_hundred_percent_only_equal_sets_link(spark):
+    rows = [(3, "a b c d e f"), (1, "A b c d e f"), (2, "a b c d e f g"), (4, "z"), (4, "a b c d e f"), (5, None)]
+    assert run(spark, rows, JoinSpec(percent=100)) == brute(rows, percent=100) == [(1, 3, 1), (2, 4, 2), (3, 3, 1), (4, 1, 1), (4, 3, 1), (5, 0, 5)]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[2000:])), (3, " ".join(words[30_000:])), (4, "w0 w1 w2 w3")]
+    assert run(spark, rows) == [(1, 59997, 1), (2, 57997, 1), (3, 29997, 3), (4, 1, 4)]
+
+
 def test_boundary_follows_cost():
     spec = JoinSpec()
     assert light_boundary(spec, []) == 0
-    assert light_boundary(spec, [(10, 5, 0.0)]) == 0
-    assert light_boundary(spec, [(10, 5, 1e6), (30, 5, 0.0)]) == 10
+    # no prefix shingle more than a pair: nothing to lose
+    assert light_boundary(spec, [(4, 5, 0.0)]) == 4
+    assert light_boundary(spec, [(10, 5, 0.0), (300, 9, 0.0)]) == 0
+    assert light_boundary(spec, [(10, 5, 1e6), (30, 5, 0.0), (300, 9, 0.0)]) == 10
+    # sizes of every height take part
+    assert light_boundary(spec, [(10, 5, 1e6), (400, 5, 1e9)]) == 400
+
+
+def test_boundary_above_zero_is_chosen_where_lists_are_long(spark, monkeypatch):
+    """Many small sets over few shingles: the cost model itself takes the light path."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(9, 17)))) for i in range(1500)]
+    seen = []
+    monkeypatch.setattr(jaccard_join, "light_boundary", lambda *a: seen.append(light_boundary(*a)) or seen[-1])
+    assert run(spark, rows) == brute(rows) and seen[0] > 0
+
+
+def test_long_lists_of_texts_that_share_too_little_open_no_pairs(spark, monkeypatch):
+    """A common passage that is most, but not enough, of hundreds of texts."""
+    rng, spec = random.Random(3), JoinSpec()
+    common = " ".join(f"c{i}" for i in range(100))
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(14)) + " " + common) for i in range(400)]
+    met = []
+    keep = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, *a: met.append(pairs.count()) or keep(pairs, *a))
+    assert run(spark, rows) == brute(rows) and sum(met) < 800
 
 
 def test_empty_table(spark):
