@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,14 +34,32 @@ def build_session(app: str = "corvine", cpus: int | str = "*", partitions: int |
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine.
+
+    What is written there goes into a folder of the application (see :func:`clear_scratch`); a temporary folder goes with the process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(scratch_root, "own", None) or "file://" + tempfile.mkdtemp(prefix="corvine-")
-        scratch_root.own = root
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(scratch_root, "own", None)
+        if root is None:
+            own = tempfile.mkdtemp(prefix="corvine-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = scratch_root.own = "file://" + own
     return root.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; no frame made by :func:`materialize` may be read afterwards."""
+    _delete(spark, f"{scratch_root(spark)}/corvine/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str = "step", row_bytes: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -47,26 +67,31 @@ def materialize(df: DataFrame, name: str = "step", row_bytes: int | None = None)
     With ``row_bytes``, the rows are counted first and written to as few files as their size asks for; a small
     table that comes out of many tasks would else be many tiny files.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corvine/{name}-{uuid.uuid4().hex}"
+    spark, rows = df.sparkSession, None
+    path = f"{scratch_root(spark)}/corvine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if row_bytes is None:
         df.write.parquet(path)
     else:
         held = df.persist()
-        held.coalesce(max(1, -(-held.count() * row_bytes // FILE_BYTES))).write.parquet(path)
+        rows = held.count()
+        held.coalesce(max(1, -(-rows * row_bytes // FILE_BYTES))).write.parquet(path)
         held.unpersist()
     out = spark.read.schema(df.schema).parquet(path)
-    out._corvine_path = path
+    out._corvine_path, out._corvine_rows = path, rows
     return out
 
 
+def row_count(df: DataFrame) -> int:
+    """The rows of a frame made by :func:`materialize` with ``row_bytes``, which counted them; else a count."""
+    rows = getattr(df, "_corvine_rows", None)
+    return df.count() if rows is None else rows
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`; nothing may read it afterwards."""
     path = getattr(df, "_corvine_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
