@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.runtime import drop_materialized, materialize
+from corvine.runtime import drop_materialized, materialize, row_count
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,8 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_passes: int = 64) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge. ``edges`` has u and v."""
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", 16)
+    if not row_count(now):
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
     for _ in range(max_passes):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

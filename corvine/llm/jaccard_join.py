@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
-from corvine.runtime import broadcast_if_small, drop_materialized, materialize, slices
+from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
 #: Width of the counter table, and partners of a set that are compared in one place.
 SLOT_BITS, PARTNERS = 18, 512
@@ -214,13 +214,15 @@ def _verify(pairs: DataFrame, documents: DataFrame, sets: DataFrame, spec: JoinS
     some ``PARTNERS`` of them.
     """
     pairs = materialize(_possible(pairs, sets, spec), "possible", 16)
+    if not row_count(pairs):
+        return pairs
     ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids", 8)
-    wanted = broadcast_if_small(ids, ids.count(), 16)
+    wanted = broadcast_if_small(ids, row_count(ids), 16)
     texts = documents.join(wanted, "doc_id", "left_semi")
     whole = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
     spread = F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int")
     hubs = materialize(pairs.groupBy("v").agg(spread.alias("places")).where("places > 1"), "hubs", 16)
-    hubs = broadcast_if_small(hubs, hubs.count(), 24)
+    hubs = broadcast_if_small(hubs, row_count(hubs), 24)
     place = F.pmod(F.xxhash64("u"), F.coalesce("places", F.lit(1))).alias("place")
     right = whole.select(F.col("id").alias("v"), F.col("items").alias("b")).join(hubs, "v", "left")
     right = right.select("v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)).cast("long") - 1)).alias("place"))
@@ -248,7 +250,7 @@ def _lists(sets: DataFrame, spec: JoinSpec, x: int) -> DataFrame:
     rows = rows.withColumn("short", F.col("pos") <= n - _need(spec, n, n))
     # nearly all keys stand alone: they are counted first, and only places in other lists move
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("key"), "keys", 8)
-    out = materialize(rows.join(broadcast_if_small(keys, keys.count(), 16), "key", "left_semi"), "lists")
+    out = materialize(rows.join(broadcast_if_small(keys, row_count(keys), 16), "key", "left_semi"), "lists")
     drop_materialized(keys)
     return out
 
@@ -265,7 +267,7 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     made = materialize(docs.mapInArrow(_prefix_batches(spec, counters), f"doc_id {kind}, n int, print binary, prefix array<bigint>, cost double"), "prefixes")
     copies = made.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("print", "rep")
     copies = materialize(copies, "copies", 32)
-    copies = broadcast_if_small(copies, copies.count(), 48)
+    copies = broadcast_if_small(copies, row_count(copies), 48)
     out = made.select("doc_id", "n", "print").join(copies, "print", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     shape = lambda component: (F.col("n").cast("long").alias("n_shingles"), F.coalesce(component, "rep").alias("component_id"))
     least, links = spec.least_size(), _several_texts(out)
@@ -296,8 +298,9 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     component = lambda name: label.select(col("id").alias(name), col("component").alias(f"c{name}"))
     apart = first.join(component("u"), "u", "left").join(component("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     more = _verify(apart.join(best, ["u", "v"], "left_anti"), docs, sets, spec, kind)
-    links = links.unionByName(more)
-    label = materialize(connected_components(links), "labels", 16)
+    if row_count(more):
+        links = links.unionByName(more)
+        label = materialize(connected_components(links), "labels", 16)
 
     own = lists.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = own.groupBy("key", "kind").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("key", "kind")
@@ -308,7 +311,8 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     done = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     more = _verify(materialize(rest.join(done, ["u", "v"], "left_anti"), "pairs", 16), docs, sets, spec, kind)
-    label = materialize(connected_components(links.unionByName(more)), "labels", 16)
+    if row_count(more):
+        label = materialize(connected_components(links.unionByName(more)), "labels", 16)
     for df in (first, lists, own, sets):
         drop_materialized(df)
     return out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", *shape("component"))
@@ -318,4 +322,4 @@ def _several_texts(out: DataFrame) -> DataFrame:
     """Links (u, v) from documents that have texts of several classes to each of these."""
     named = out.where("doc_id is not null")
     ids = materialize(named.groupBy("doc_id").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).where("l <> h").select("doc_id"), "several", 8)
-    return materialize(named.join(broadcast_if_small(ids, ids.count(), 16), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "several-links", 16)
+    return materialize(named.join(broadcast_if_small(ids, row_count(ids), 16), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "several-links", 16)
