@@ -162,12 +162,14 @@ def _prefix_batches(spec: JoinSpec, counters: np.ndarray):
 
 
 def _set_batches(spec: JoinSpec):
+    """Column ``text`` becomes ``items``, its set; the other columns pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t.as_py(), spec.words).view(np.int64) for t in batch.column("text")]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "items"])
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*rest, "items"])
 
     return run
 
@@ -200,39 +202,57 @@ def _possible(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     Up to the smaller of their last keys both prefixes are complete, so beyond the shingles they share there
     the sets can share no more than what either has left.
     """
-    left = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("prefix").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("prefix").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("cut", F.least(F.element_at("a", -1), F.element_at("b", -1)))
-    rest = F.least(*[F.col(n) - F.size(F.filter(p, lambda x: x <= F.col("cut"))) for n, p in (("nu", "a"), ("nv", "b"))])
-    return both.where(F.size(F.array_intersect("a", "b")) + rest >= _need(spec, F.col("nu"), F.col("nv"))).select("u", "v")
+    pairs = materialize(pairs, "pairs", 16)
+    if not row_count(pairs):
+        return pairs
+    both = _meet(pairs, sets.select("id", F.struct("n", "prefix").alias("x")))
+    both = both.withColumn("cut", F.least(F.element_at("a.prefix", -1), F.element_at("b.prefix", -1)))
+    rest = F.least(*[F.col(f"{x}.n") - F.size(F.filter(f"{x}.prefix", lambda k: k <= F.col("cut"))) for x in "ab"])
+    return both.where(F.size(F.array_intersect("a.prefix", "b.prefix")) + rest >= _need(spec, F.col("a.n"), F.col("b.n"))).select("u", "v").distinct()
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, sets: DataFrame, spec: JoinSpec, link_kind: str) -> DataFrame:
-    """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only.
+def _meet(pairs: DataFrame, rows: DataFrame, build=None) -> DataFrame:
+    """u, v, a, b: written pairs with the values of both; ``rows`` has id and a value, which ``build`` may replace.
 
-    A pair ships the set of its u; a v with many partners is copied to several places, so no place has more than
-    some ``PARTNERS`` of them.
+    Only rows that a pair names are taken, and values move once: that of u, once for each pair, to where v is. A
+    name with many partners is copied to several places, so no place and no row has more than some ``PARTNERS``.
     """
-    pairs = materialize(_possible(pairs, sets, spec), "possible", 16)
+    def small(df: DataFrame, name: str, row_bytes: int) -> DataFrame:
+        df = materialize(df, name, row_bytes)
+        return broadcast_if_small(df, row_count(df), row_bytes)
+
+    for own, other, place in (("v", "u", "place"), ("u", "v", "lot")):
+        dealt = pairs if own == "v" else dealt
+        if row_count(pairs) <= PARTNERS:
+            dealt = dealt.withColumn(place, F.lit(0).cast("long"))
+            continue
+        hubs = pairs.groupBy(own).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("places")).where("places > 1")
+        dealt = dealt.join(small(hubs, "hubs", 24), own, "left")
+        dealt = dealt.withColumn(place, F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1)))).drop("places")
+    to = small(dealt.groupBy("u", "lot").agg(F.collect_list(F.struct("v", "place")).alias("to")).select("u", "to"), "from", 40)
+    at = small(dealt.select("v", "place").distinct(), "to", 24)
+    value = next(c for c in rows.columns if c != "id")
+    left, right = rows.withColumnRenamed("id", "u").join(to, "u"), rows.withColumnRenamed("id", "v").join(at, "v")
+    if build:
+        (left, value), (right, _) = build(left), build(right)
+    left = left.select("u", F.col(value).alias("a"), F.explode("to").alias("t")).select("u", "t.v", "t.place", "a")
+    return left.join(right.select("v", "place", F.col(value).alias("b")), ["v", "place"])
+
+
+def _verify(pairs: DataFrame, documents: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The pairs (u, v) that link. Whole sets are rebuilt from the texts of the documents in question only."""
+    pairs = materialize(pairs, "pairs", 16)
     if not row_count(pairs):
         return pairs
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids", 8)
-    wanted = broadcast_if_small(ids, row_count(ids), 16)
-    texts = documents.join(wanted, "doc_id", "left_semi")
-    whole = materialize(texts.mapInArrow(_set_batches(spec), f"id {link_kind}, items array<bigint>"), "sets")
-    spread = F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int")
-    hubs = materialize(pairs.groupBy("v").agg(spread.alias("places")).where("places > 1"), "hubs", 16)
-    hubs = broadcast_if_small(hubs, row_count(hubs), 24)
-    place = F.pmod(F.xxhash64("u"), F.coalesce("places", F.lit(1))).alias("place")
-    right = whole.select(F.col("id").alias("v"), F.col("items").alias("b")).join(hubs, "v", "left")
-    right = right.select("v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)).cast("long") - 1)).alias("place"))
-    left = whole.select(F.col("id").alias("u"), F.col("items").alias("a"))
-    left = pairs.join(hubs, "v", "left").select("u", "v", place).join(left, "u")
+
+    def build(rows: DataFrame) -> tuple[DataFrame, str]:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+        return rows.mapInArrow(_set_batches(spec), f"{kinds}, items array<bigint>"), "items"
+
     both = F.size(F.array_intersect("a", "b"))
-    links = left.join(right, ["v", "place"]).where(100 * both >= spec.percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
-    links = materialize(links, "links", 16)
-    for df in (pairs, ids, whole):
-        drop_materialized(df)
+    found = _meet(pairs, documents.withColumnRenamed("doc_id", "id"), build).where(100 * both >= spec.percent * (F.size("a") + F.size("b") - both))
+    links = materialize(found.select("u", "v").distinct(), "links", 16)
+    drop_materialized(pairs)
     return links
 
 
@@ -292,12 +312,13 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     first = lists.alias("a").join(centres.alias("b"), ["key", "kind"]).where((col("a.id") != col("b.id")) & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")) & F.when(col("kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True)))
     first = materialize(first.groupBy(col("a.id").alias("u"), col("b.id").alias("v")).agg(F.count("*").alias("c")), "pairs", 24)
     best = first.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
-    links = links.unionByName(_verify(best, docs, sets, spec, kind))
+    best = materialize(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "best", 16)
+    links = links.unionByName(_verify(_possible(best, sets, spec), docs, spec))
     label = materialize(connected_components(links), "labels", 16)
     # the other centres of sets that are still apart from them
     component = lambda name: label.select(col("id").alias(name), col("component").alias(f"c{name}"))
-    apart = first.join(component("u"), "u", "left").join(component("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    more = _verify(apart.join(best, ["u", "v"], "left_anti"), docs, sets, spec, kind)
+    apart = first.join(component("u"), "u", "left").join(component("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    more = _verify(_possible(apart.join(best, ["u", "v"], "left_anti"), sets, spec), docs, spec)
     if row_count(more):
         links = links.unionByName(more)
         label = materialize(connected_components(links), "labels", 16)
@@ -310,7 +331,7 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     rest = a.join(b, (col("a.key") == col("b.key")) & (col("a.kind") == col("b.kind")) & (col("a.comp") != col("b.comp")) & (col("a.n") <= col("b.n")) & meets("a", "b"))
     rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     done = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = _verify(materialize(rest.join(done, ["u", "v"], "left_anti"), "pairs", 16), docs, sets, spec, kind)
+    more = _verify(_possible(rest.join(done, ["u", "v"], "left_anti"), sets, spec), docs, spec)
     if row_count(more):
         label = materialize(connected_components(links.unionByName(more)), "labels", 16)
     for df in (first, lists, own, sets):
