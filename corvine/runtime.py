@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 #: Size of a file of a table that is written compactly.
 FILE_BYTES = 64 << 20
+#: Bytes in memory of a written byte, as a rule.
+UNPACKED = 3
 
 
 def build_session(app: str = "corvine", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -95,8 +97,16 @@ def drop_materialized(df: DataFrame) -> None:
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when ``rows * row_bytes`` is within the limit; else leave the join to a shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    """Hint a broadcast when ``rows * row_bytes`` is within the limit; else leave the join to a shuffle.
+
+    Of a frame made by :func:`materialize` the written bytes count too, ``UNPACKED`` times, whatever was assumed of its rows.
+    """
+    size = rows * row_bytes
+    path = getattr(df, "_corvine_path", None)
+    if path and size <= limit:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = max(size, UNPACKED * p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+    return F.broadcast(df) if size <= limit else df
 
 
 def few_rows_per_batch(spark: SparkSession, rows: int = 1000) -> None:
