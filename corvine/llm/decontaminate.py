@@ -1,39 +1,47 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
-Seeds are an item's pairs and triples of words that few documents hold, or no more than there may be copies of
-the item, and the rarest of every ``BLOCK`` words; document frequencies are counted over the whole corpus. So
-a seed is rare for its item, however often the item itself was copied, and an edited copy keeps some.
-A document passage in which seeds cover ``COVER`` words of an item is aligned with it word by word
+The pairs and triples of words of all items become one table of grams, by 64-bit hashes. One pass over the
+documents counts how many hold each gram. Seeds are an item's grams that few documents hold, or no more than there
+may be copies of the item, and the rarest of every ``BLOCK`` words; so a seed is rare for its item, however often the
+item itself was copied, and an edited copy keeps some. A second pass finds the seeds in the documents, and
+an equi-join by gram gives pairs of document and item with their places. Documents that hold a seed are written, and
+where seeds cover ``COVER`` words of an item in one passage, the passage is aligned with the item word by word
 (match 2, mismatch -1, gap -1). A pair is contaminated when the local alignment scores at least
 ``SHARE`` of a perfect copy, or at least ``RUN``, a dozen words in a row. For short items, where chance
-alone reaches half, at least ``SHORT`` or four fifths of a perfect copy is needed.
+alone reaches half, at least ``SHORT`` or four fifths of a perfect copy is needed. Items under ``MIN_WORDS`` words
+are matched exactly: their only gram is the whole sequence, which has to stand in the document as it is.
 
-The benchmark is the query set: items go to the executors in blocks of at most ``BLOCK_CHARS`` characters,
-one pass over the documents for each block, so what is broadcast is bounded however large it is.
-Nothing is shuffled but sums of seed counts.
+The two passes are the same for a benchmark of any size. What the executors get of it is a table of bits, a
+few for each gram and at most 2^``MOST_BITS``, which only rules grams out; the joins decide. They shuffle what matches
+and are broadcast behind a check of their size.
 
-Defined results: null and empty documents match nothing; null items and items under ``MIN_WORDS`` words are
-too short to tell and are not tested; items that repeat are tested once for each item_id; repeated
-documents are tested one by one; either table empty gives no rows; extra columns are ignored.
+Defined results: null and empty documents match nothing; null items and items without words are not tested;
+items that repeat are tested once for each item_id, and a null item_id is one of its own; repeated documents
+and rows that share a doc_id are tested one by one; texts of any length are read whole; either table empty
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from corvine.runtime import slices
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
 MIN_WORDS, BLOCK, COVER, SHARE, RUN, SHORT = 5, 4, 4, 0.5, 24, 14
 RARE, TIMES = 20, 4
 MATCH, MISS, GAP = 2, -1, -1
-BLOCK_CHARS = 400_000
-_WORD, _BITS = re.compile(r"\w+"), 20
+#: Size of the bit table, as powers of two; counts that a task holds before it passes them on; words with a known hash.
+LEAST_BITS, MOST_BITS, HELD, CACHE = 20, 28, 1 << 18, 120_000
+_WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,7 +51,7 @@ def words_of(text: str | None) -> list[str]:
 def needed(size: int) -> float:
     """The score from which an item of so many words counts as copied."""
     perfect = MATCH * size
-    return min(max(SHARE * perfect, min(0.8 * perfect, SHORT)), max(RUN, SHORT))
+    return perfect if size < MIN_WORDS else min(max(SHARE * perfect, min(0.8 * perfect, SHORT)), max(RUN, SHORT))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -62,152 +70,243 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-class Grams:
-    """Pairs and triples of item words as integers, with a bit table that rules out nearly all others."""
-
-    def __init__(self, items: list[tuple], seeds: set | None = None):
-        self.vocab: dict[str, int] = {}
-        self.items = [(i, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)) for i, w in items]
-        self.places: dict[tuple, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(self.items):
-            for n in (2, 3):
-                for p in range(len(w) - n + 1):
-                    g = tuple(w[p : p + n].tolist())
-                    if seeds is None or (k, p, n) in seeds:
-                        self.places.setdefault(g, []).append((k, p))
-        self.bits = {n: np.zeros(1 << _BITS, bool) for n in (2, 3)}
-        for g in self.places:
-            self.bits[len(g)][self._slot([np.array([x]) for x in g])] = True
-
-    @staticmethod
-    def _slot(cols: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(len(cols[0]), np.uint64)
-        for c in cols:
-            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        return (h >> np.uint64(64 - _BITS)).astype(np.int64)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter((self.vocab.get(x, 0) for x in w), np.int64, len(w))
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, tuple]]:
-        """(word position, gram) of the item grams in a document."""
-        known = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(ids) > 1 else []
-        for n in (2, 3):
-            if not len(known):
-                return
-            if n == 3:
-                known = known[known < len(ids) - 2]
-                known = known[ids[known + 2] > 0]
-            for p in known[self.bits[n][self._slot([ids[known + k] for k in range(n)])]].tolist():
-                g = tuple(ids[p : p + n].tolist())
-                if g in self.places:
-                    yield p, g
-
-
-def _count_batches(grams: Grams):
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _Hashes()
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    w = words_of(text)
+    return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+
+
+def grams_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def item_grams(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes) of an item's grams: pairs and triples, or the whole of a short one."""
+    for n in (2, 3) if len(h) >= MIN_WORDS else (len(h),):
+        if n:
+            yield n, grams_of(h, n)
+
+
+class Sieve:
+    """A bit table that lets all given hashes pass and rules most others out."""
+
+    def __init__(self, bits: np.ndarray, lengths: tuple[int, ...]):
+        self.bits, self.lengths, self.shift = bits, lengths, np.uint64(64 - (len(bits) * 8 - 1).bit_length())
+
+    @classmethod
+    def of(cls, grams: pa.Table) -> Sieve:
+        """From places in the table (column ``slot``) and the lengths of the grams (column ``n``)."""
+        power = grams["power"][0].as_py()
+        bits = np.zeros((1 << power) // 8, np.uint8)
+        slot = grams["slot"].to_numpy()
+        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        return cls(bits, tuple(sorted(set(grams["n"].to_pylist()))))
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position and hash of the grams of a document that pass."""
+        at, found = [], []
+        for n in self.lengths:
+            g = grams_of(h, n)
+            slot = g >> self.shift
+            p = np.flatnonzero(self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            at.append(p)
+            found.append(g[p])
+        return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def sieve(grams: DataFrame) -> Sieve:
+    """Of the column ``gram`` of a written table; only distinct places of bounded number come to the driver."""
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, row_count(grams))).bit_length()))
+    slot = F.shiftrightunsigned("gram", 64 - power).cast("int")
+    return Sieve.of(grams.select(slot.alias("slot"), "n", F.lit(power).alias("power")).distinct().toArrow()) if row_count(grams) else Sieve(np.zeros(1, np.uint8), ())
+
+
+def _item_batches(item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = Counter(), {g: k for k, g in enumerate(grams.places)}
         for batch in slices(batches):
-            for t in batch.column(0):
-                total.update({number[g] for _, g in grams.hits(grams.ids(t.as_py()))})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+            where, size, cols = [], [], []
+            for i, t in enumerate(batch.column("text")):
+                h = hashes_of(t.as_py())
+                for n, g in item_grams(h):
+                    where.append(np.full(len(g), i))
+                    size.append(np.full(len(g), len(h)))
+                    cols.append((np.full(len(g), n), np.arange(len(g)), g.view(np.int64)))
+            i = pa.array(np.concatenate(where) if where else np.zeros(0, np.int64))
+            n, at, g = (np.concatenate([c[k] for c in cols]) if cols else np.zeros(0, np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("item").take(i), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(g, pa.int64()),
+                pa.array(np.concatenate(size) if size else n, pa.int32())], ["item", "n", "at", "gram", "size"])
 
     return run
 
 
-def choose_seeds(grams: Grams, frequency: dict[tuple, int]) -> set[tuple[int, int, int]]:
-    """(item, position, length) of the rare pairs and triples of every item, and of each block's rarest.
+def _count_batches(of: Sieve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
 
-    Rare is what no more than ``RARE`` documents hold, or ``TIMES`` as many as the item's middle triple: that many
-    copies of the item itself there may be. What no document holds finds nothing.
-    """
-    seeds = set()
-    for k, (_, w) in enumerate(grams.items):
-        held = {n: [(f, p) for p in range(len(w) - n + 1) if (f := frequency.get(tuple(w[p : p + n].tolist()), 0))] for n in (2, 3)}
-        triples = sorted(f for f, _ in held[3])
-        most = max(RARE, TIMES * triples[len(triples) // 2] if triples else 0)
-        for n, found in held.items():
-            seeds |= {(k, p, n) for f, p in found if f <= most}
-            for b in range(0, len(w), BLOCK):
-                block = [x for x in found if b <= x[1] < b + BLOCK]
-                if block:
-                    seeds.add((k, min(block)[1], n))
-    return seeds
-
-
-def matches(grams: Grams, text: str | None) -> Iterator[tuple]:
-    """(item_id, score, share, word) of the contaminated items of one document, each once, at its best place."""
-    ids = grams.ids(text)
-    by_item: dict[int, list[tuple[int, int, int]]] = {}
-    for p, g in grams.hits(ids):
-        for k, at in grams.places[g]:
-            by_item.setdefault(k, []).append((p, at, len(g)))
-    for k, found in by_item.items():
-        item_id, w = grams.items[k]
-        size, best = len(w), (0, 0)
-        need = min(COVER, size)
-        found.sort()
-        cluster: list[tuple[int, int, int]] = []
-        for h in [*found, None]:
-            if h is not None and (not cluster or h[0] - cluster[-1][0] <= size):
-                cluster.append(h)
-                continue
-            if len({x for _, at, n in cluster for x in range(at, at + n)}) >= need:
-                low = max(0, min(p - at for p, at, _ in cluster) - size // 2)
-                high = max(p - at for p, at, _ in cluster) + size + size // 2
-                score, end = align(w, ids[low:high])
-                best = max(best, (score, low + end))
-            cluster = [h] if h is not None else []
-        if best[0] >= needed(size):
-            yield item_id, best[0], best[0] / (MATCH * size), best[1]
-
-
-def _match_batches(grams: Grams, item_type: pa.DataType):
+        def flush() -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+
+        for batch in slices(batches):
+            for t in batch.column(0):
+                parts.append(np.unique(of.hits(hashes_of(t.as_py()))[1]))
+                held += len(parts[-1])
+                if held >= HELD:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    return run
+
+
+def _hit_batches(of: Sieve):
+    """A row for each document with seeds: doc_id, text and its print, their hashes and places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            where, rows = [], []
+            where, found = [], []
             for i, t in enumerate(batch.column("text")):
-                for m in matches(grams, t.as_py()):
+                at, g = of.hits(hashes_of(t.as_py()))
+                if len(at):
                     where.append(i)
-                    rows.append(m)
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
+                    found.append((g.view(np.int64), at))
+            i = pa.array(where, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(where, pa.int64())), pa.array(cols[0], item_type), pa.array(cols[1], pa.int64()),
-                pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()),
-            ], ["doc_id", "item_id", "score", "share", "end_word"])
+                *[batch.column(c).take(i) for c in ("doc_id", "text", "print")], pa.array([g for g, _ in found], pa.list_(pa.int64())),
+                pa.array([p for _, p in found], pa.list_(pa.int32()))], ["doc_id", "text", "print", "grams", "places"])
 
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Items with their words, in blocks of bounded size; streamed, so the driver holds one block."""
-    block, chars = [], 0
-    for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text").toLocalIterator():
-        w = words_of(r["text"])
-        if len(w) >= MIN_WORDS:
-            block.append((r["item_id"], w))
-            chars += len(r["text"])
-        if chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+def choose_seeds(found: pd.DataFrame) -> pd.DataFrame:
+    """The seeds among one item's grams (columns n, at, gram, f); those that no document holds are not among them.
+
+    Rare is what no more than ``RARE`` documents hold, or ``TIMES`` as many as the item's middle triple: that many
+    copies of the item itself there may be. The rarest of every block is a seed too.
+    """
+    triples = np.sort(found.f[found.n == 3].to_numpy())
+    most = max(RARE, TIMES * triples[len(triples) // 2] if len(triples) else 0)
+    ordered = found.sort_values(["f", "at"])
+    first = ordered.groupby(["n", ordered["at"] // BLOCK]).head(1).index
+    return found[(found.f <= most) | found.index.isin(first)]
+
+
+def clusters(found: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int]]:
+    """Passages (from, to) in which seeds (place, place in the item, length) cover enough of an item."""
+    need = min(COVER, size)
+    found, cluster = sorted(found), []
+    for h in [*found, None]:
+        if h is not None and (not cluster or h[0] - cluster[-1][0] <= size):
+            cluster.append(h)
+            continue
+        if len({x for _, at, n in cluster for x in range(at, at + n)}) >= need:
+            places = [p - at for p, at, _ in cluster]
+            yield max(0, min(places) - size // 2), max(places) + size + size // 2
+        cluster = [h] if h is not None else []
+
+
+def judge(item: np.ndarray, doc: np.ndarray, passages: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Best (score, word behind its end) of the passages, if it is enough."""
+    best = (0, 0)
+    for low, high in passages:
+        score, end = align(item, doc[low:high])
+        best = max(best, (score, low + end))
+    return best if best[0] and best[0] >= needed(len(item)) else None
+
+
+def _cluster_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        where, out = [], []
+        for i, (size, hits) in enumerate(zip(batch.column("size").to_pylist(), batch.column("hits").to_pylist(), strict=True)):
+            found = list(clusters([(h["p"], h["at"], h["n"]) for h in hits], size))
+            if found:
+                where.append(i)
+                out.append([{"low": a, "high": b} for a, b in found])
+        i = pa.array(where, pa.int64())
+        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(i) for c in ("doc_id", "print", "item")], pa.array(out, kind)], ["doc_id", "print", "item", "passages"])
+
+
+def _judge_batches(item_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            where, ids, rows = [], [], []
+            for i, (t, items) in enumerate(zip(batch.column("text"), batch.column("items"), strict=True)):
+                doc = hashes_of(t.as_py())
+                for x in items.as_py():
+                    item = hashes_of(x["text"])
+                    best = judge(item, doc, [(p["low"], p["high"]) for p in x["passages"]])
+                    if best:
+                        where.append(i)
+                        ids.append(x["item_id"])
+                        rows.append((best[0], best[0] / (MATCH * len(item)), best[1]))
+            score, share, end = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(where, pa.int64())), pa.array(ids, item_type), pa.array(score, pa.int64()), pa.array(share, pa.float64()),
+                pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "share", "end_word"])
+
+    return run
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, share (of a perfect copy's score), end_word: one row per contaminated pair."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     doc_kind, item_kind = (d.schema[c].dataType for d, c in ((documents, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, score long, share double, end_word long"
+    doc, item = doc_kind.simpleString(), item_kind.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = documents.sparkSession.createDataFrame([], schema)
-    for block in _item_blocks(benchmark):
-        every = Grams(block)
-        counted = docs.select("text").mapInArrow(_count_batches(every), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        names = list(every.places)
-        grams = Grams(block, choose_seeds(every, {names[r["gram"]]: r["n"] for r in counted}))
-        out = out.unionByName(docs.mapInArrow(_match_batches(grams, to_arrow_type(item_kind)), schema))
+    # an item is its id and text
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = materialize(items.withColumn("item", F.sha2(F.to_json(F.struct("item_id", "text")), 256)), "items", 256)
+    named = items.select("item", "text")
+    grams = materialize(named.mapInArrow(_item_batches(to_arrow_type(item_kind)), "item string, n int, at int, gram long, size int"), "grams", 96)
+    counted = docs.select("text").mapInArrow(_count_batches(sieve(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("f"))
+    counted = materialize(counted, "counts", 16)
+    found = grams.join(broadcast_if_small(counted, row_count(counted), 24), "gram")
+    seeds = found.groupBy("item").applyInPandas(choose_seeds, "gram long, item string, n int, at int, size int, f long")
+    seeds = materialize(seeds, "seeds", 96)
+
+    seen = docs.withColumn("print", F.xxhash64("text")).mapInArrow(_hit_batches(sieve(seeds)), f"doc_id {doc}, text string, print long, grams array<long>, places array<int>")
+    seen = materialize(seen, "seen")
+    hits = seen.select("doc_id", "print", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("doc_id", "print", F.col("h.grams").alias("gram"), F.col("h.places").alias("p"))
+    both = hits.join(broadcast_if_small(seeds, row_count(seeds), 128), "gram").groupBy("doc_id", "print", "item").agg(
+        F.max("size").alias("size"), F.collect_set(F.struct("p", "at", "n")).alias("hits"))
+    near = both.mapInArrow(_cluster_batches, f"doc_id {doc}, print long, item string, passages array<struct<low:int,high:int>>")
+    near = materialize(near, "near", 128)
+    asked = near.join(items, "item").groupBy("doc_id", "print").agg(F.collect_list(F.struct("item_id", "text", "passages")).alias("items"))
+    asked = materialize(asked.select(F.col("doc_id").alias("d"), "print", "items"), "asked", 1024)
+    texts = seen.alias("t").join(
+        broadcast_if_small(asked, row_count(asked), 1024).alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.d")) & (F.col("t.print") == F.col("a.print")))
+    out = texts.select("t.doc_id", "t.text", "a.items").mapInArrow(
+        _judge_batches(to_arrow_type(item_kind)), f"doc_id {doc}, item_id {item}, score long, share double, end_word long")
+    for df in (grams, counted, seeds, near):
+        drop_materialized(df)
+    return out
+
+
+def leaks_of(text: str | None, items: list[tuple]) -> list[tuple]:
+    """The plain version for one text, (item_id, text) pairs, and every gram a seed: (item_id, score, word behind its end)."""
+    doc, out = hashes_of(text), []
+    for item_id, t in items:
+        item = hashes_of(t)
+        if not len(item):
+            continue
+        found = [(p, at, n) for n, g in item_grams(item) for at, x in enumerate(g.tolist()) for p in np.flatnonzero(grams_of(doc, n) == np.uint64(x)).tolist()]
+        best = judge(item, doc, list(clusters(found, len(item))))
+        if best:
+            out.append((item_id, *best))
     return out

@@ -13,6 +13,8 @@ def brute(docs, items):
         for item_id, item in items:
             q = d.words_of(item)
             if len(q) < d.MIN_WORDS:
+                if q and any(w[j : j + len(q)] == q for j in range(len(w))):
+                    out.add((doc_id, item_id, 2 * len(q)))
                 continue
             row, best = [0] * (len(w) + 1), 0
             for x in q:
@@ -44,14 +46,14 @@ def test_copies_edits_and_clean_documents(spark):
     rng = random.Random(8)
     common = "the of and to in".split()
     word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(4000)}"
-    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 50)))) for i in range(40)] + [(90, None), (91, ""), (92, "too few"), (3, "one more text under id three here")]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 50)))) for i in range(40)] + [(90, None), (91, ""), (92, "too few"), (93, "w7"), (94, "w1 w2 w3"), (95, "TOO few words here"), (3, "one more text under id three here")]
     docs = [(i, " ".join(word() for _ in range(rng.randrange(1, 300)))) for i in range(150)]
     for i in range(150, 230):
         base = [word() for _ in range(120)]
         at = rng.randrange(120)
         item = rng.choice([x for x in items if x[1] and len(x[1].split()) > 12])[1].split()
         docs.append((i, " ".join(base[:at]) + " " + edited(rng, item, rng.choice([0, 0.1, 0.2])) + " " + " ".join(base[at:])))
-    docs += [(900, None), (901, ""), (902, "x " * 5000 + items[0][1] + " y" * 5000), (903, items[1][1]), (903, items[1][1])]
+    docs += [(904, "w1 W2, w3 and too few words, here"), (905, "too, w2 w3 w1 few words here"), (900, None), (901, ""), (902, "x " * 5000 + items[0][1] + " y" * 5000), (903, items[1][1]), (903, items[1][1])]
     got = [(r.doc_id, r.item_id, r.score) for r in d.find_leaks(*frames(spark, docs, items)).collect()]
     want = brute([x for x in docs if x[0] != 902], items)
     found = {x for x in got if x[0] != 902}
@@ -62,11 +64,38 @@ def test_copies_edits_and_clean_documents(spark):
     assert (902, 0) in {x[:2] for x in got} and [x[:2] for x in got].count((903, 1)) == 2
 
 
-def test_many_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_CHARS", 300)
-    items = [(i, " ".join(f"a{i}b{j}" for j in range(10))) for i in range(30)]
+def test_plain_version_agrees(spark):
+    """Where every gram is rare, seeds are all grams."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"a{rng.randrange(300)}" for _ in range(rng.randrange(1, 30)))) for i in range(20)]
+    docs = [(i, " ".join(f"a{rng.randrange(300)}" for _ in range(30)) + " " + edited(rng, rng.choice(items)[1].split(), 0.2) + " tail") for i in range(15)]
+    got = sorted((r.doc_id, r.item_id, r.score, r.end_word) for r in d.find_leaks(*frames(spark, docs, items)).collect())
+    assert got == sorted((i, *x) for i, t in docs for x in d.leaks_of(t, items)) and len(got) > 10
+
+
+def test_two_passes_for_any_size_of_the_benchmark(spark, tmp_path):
+    """50 times the characters that one block of items once took; the documents are scanned twice, and read by no other job."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(15_000)]
     docs = [(i, f"before {items[i][1]} after") for i in range(0, 30, 3)]
-    assert {(r.doc_id, r.item_id) for r in d.find_leaks(*frames(spark, docs, items)).collect()} == {(i, i) for i in range(0, 30, 3)}
+    assert sum(len(t) for _, t in items) > 50 * 400_000
+    a, b = frames(spark, docs, items)
+    a.write.parquet(str(tmp_path / "docs"))
+    a, read = spark.read.parquet(str(tmp_path / "docs")), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(x.num_rows)
+            yield x
+
+    out = d.find_leaks(a.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string"), b)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, i) for i in range(0, 30, 3)} and read.value == 2 * len(docs)
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"q{j}" for j in range(20))
+    docs = [(1, " ".join(f"z{j}" for j in range(200_000)) + " " + item + " end"), (2, "z1 z2 z3"), (None, item), (2, item)]
+    assert sorted((str(r.doc_id), r.end_word) for r in d.find_leaks(*frames(spark, docs, [(1, item), (None, "q0 q1")])).collect()) == [
+        ("1", 200_002), ("1", 200_020), ("2", 2), ("2", 20), ("None", 2), ("None", 20)]
 
 
 def test_item_in_every_document_is_still_found(spark):

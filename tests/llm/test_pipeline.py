@@ -15,8 +15,7 @@ def plain(spark, rows, labels, items):
     rows = [r for r in rows if (p := lang.probabilities(r[1])) is not None and p.max() >= cp.LEAST_LANGUAGE_SCORE]
     root = {d: c for d, _, c in near_groups([r[:2] for r in rows], 5, 80)}
     rows = list({r[0]: r for r in rows if root[r[0]] == r[0]}.values())
-    grams = decontaminate.Grams([(i, w) for i, t in items if len(w := decontaminate.words_of(t)) >= decontaminate.MIN_WORDS])
-    rows = [r for r in rows if not list(decontaminate.matches(grams, r[1]))]
+    rows = [r for r in rows if not decontaminate.leaks_of(r[1], items)]
     copies = mixed([(r[0], r[2], r[3], r[1]) for r in rows], mixing.MixPlan())
     return sorted((*r, copies[r[0]]) for r in rows if r[0] in copies)
 
