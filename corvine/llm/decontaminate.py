@@ -29,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corvine.llm.wordhash import word_hashes
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
 MIN_WORDS, BLOCK, COVER, SHARE, RUN, SHORT = 5, 4, 4, 0.5, 24, 14
 RARE, TIMES = 20, 4
 MATCH, MISS, GAP = 2, -1, -1
-#: Size of the bit table, as powers of two; counts that a task holds before it passes them on; words with a known hash.
-LEAST_BITS, MOST_BITS, HELD, CACHE = 20, 28, 1 << 18, 120_000
+#: Size of the bit table, as powers of two; counts that a task holds before it passes them on.
+LEAST_BITS, MOST_BITS, HELD = 20, 28, 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -70,20 +70,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-class _Hashes(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
+#: What ``\w`` matches.
+_INSIDE = np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
 
 
 def hashes_of(text: str | None) -> np.ndarray:
-    w = words_of(text)
-    return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    """A hash for each of :func:`words_of`."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return word_hashes(codes, _INSIDE[codes])
 
 
 def grams_of(h: np.ndarray, n: int) -> np.ndarray:
