@@ -3,15 +3,23 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each stage's result as
 Parquet in the shared folder and reads it back for the next. All stages but the last return the columns of
 their input. Filtering stages keep every document that they have no reason to reject.
+
+Defined results: toxicity, language ID and decontamination judge rows by their text, so of rows that share a doc_id
+only those that are rejected go, and rows with a null id are judged like others. Null and empty texts are not toxic
+and match no benchmark; language ID rejects them. The join sees rows that share a doc_id as one document with the links
+of all its texts; of a group the smallest doc_id stays, in one row, the one with the smallest text (null first) and
+then the smallest other columns in their order; rows with a null id all stay. Repeated rows so become one at that
+stage; ties cannot occur after it. Null lang or source is a child of its own in mixing. Empty tables give no rows.
+Extra columns, whatever their names, are kept, but ``copies`` is replaced by the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, jaccard_join, language_id, mixing, toxicity
-from corvine.runtime import broadcast_if_small, few_rows_per_batch, materialize, table
+from corvine.runtime import broadcast_if_small, drop_materialized, few_rows_per_batch, materialize, row_count, table
 
 #: Language ID rejects texts without letters, and those where no language gets this probability, if any was learned.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -19,16 +27,26 @@ LEAST_LANGUAGE_SCORE = 0.5
 NEAR = jaccard_join.JoinSpec(words=5, percent=80)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``gone``, which is written first so that its size is known."""
-    gone = materialize(gone.where("doc_id is not null").distinct(), "gone", 8)
-    return docs.join(broadcast_if_small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+def _key(docs: DataFrame) -> Column:
+    """A row's id and text; rows that share both are judged alike."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.hex(F.xxhash64(F.col("text").cast("string"))), F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key(docs).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: Column | None = None) -> DataFrame:
+    """``docs`` but for the keys in ``gone``, which is written first so that its size is known."""
+    name = "gone" + "_" * max(map(len, docs.columns))  # longer than any name, so it clashes with none
+    gone = materialize(gone.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct(), "gone", 40)
+    return docs.join(broadcast_if_small(gone, row_count(gone), 64), (_key(docs) if key is None else key) == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     few_rows_per_batch(spark)
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+    scored = toxicity.score_documents(_keyed(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _without(docs, scored.where("predicted = 1"))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +54,30 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     few_rows_per_batch(spark)
     model = language_id.fit(docs)
     if not model.langs:
-        return _without(docs, language_id.without_letters(docs))
-    found = language_id.predict_languages(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id"))
+        return _without(docs, language_id.without_letters(_keyed(docs)))
+    found = language_id.predict_languages(_keyed(docs), model)
+    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays, once."""
     few_rows_per_batch(spark)
     groups = jaccard_join.jaccard_components(docs, NEAR)
-    kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    kept = _without(docs, groups.where("component_id <> doc_id"), F.col("doc_id"))
     again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", 8)
-    if not again.count():
+    if not row_count(again):
         return kept
     # only the rows whose id repeats move
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    again = broadcast_if_small(again, row_count(again), 16)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row"))
+    one = one.select("doc_id", *[F.col("__row").getField(c).alias(c) for c in ("text", *rest)])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     few_rows_per_batch(spark)
-    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    return _without(docs, decontaminate.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +99,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage")
+        drop_materialized(before)
     return materialize(STAGES[-1][1](spark, docs, sf_dir), "stage")
