@@ -43,11 +43,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
+from corvine.llm.wordhash import mix, word_hashes
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
 #: Width of the counter table, and partners of a set that are compared in one place.
 SLOT_BITS, PARTNERS = 18, 512
-WORD_CACHE = 120_000
 
 
 @dataclass(frozen=True)
@@ -64,34 +64,25 @@ class JoinSpec:
         return -(-self.percent // (100 - self.percent)) if self.percent < 100 else None
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_words = _Words()
+_LOWER, _INSIDE = np.arange(256, dtype=np.uint8), np.ones(256, bool)
+_LOWER[65:91] += 32
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; A-Z lower-cased, words split at ASCII blanks."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    if len(w) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
-    h = ids[: len(ids) - k + 1].copy()
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    ids = word_hashes(_LOWER[raw], _INSIDE[raw])
+    if not len(ids):
+        return ids
+    # fewer words are one shingle, of a length that no other has
+    k = min(k, len(ids))
+    h = ids[: len(ids) - k + 1] + np.uint64(k)
     for i in range(1, k):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h += ids[i : len(ids) - k + 1 + i]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return np.unique(mix(h))
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:

@@ -49,6 +49,20 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    fine = "the end of all the things that were here and many more of them"
+    rows = [(i, f"{fine} {'zzuglyzz' if i % 2 else 'w%d' % i}", "en", "src0", 1) for i in range(200)]
+    rows += [(7000, fine + " zzuglyzz", "en", "src0", 2), (7000, fine + " w2 w4 w6 w8 w10 w12", "en", "src1", 3), (7000, fine, "en", "src1", 3), (7000, fine, "en", "src1", 3), (None, fine + " zzuglyzz", "en", "src0", 2), (None, "of all " + fine, "en", "src0", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __gone long")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "w2 w4 w6 w8 w10 w12")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = lambda out: sorted((str(r.doc_id), r.text) for r in out.collect() if r.doc_id is None or r.doc_id == 7000)
+    clean = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and at(clean) == [("7000", fine)] * 2 + [("7000", fine + " w2 w4 w6 w8 w10 w12"), ("None", "of all " + fine)]
+    assert at(cp.drop_contaminated(spark, clean, str(tmp_path))) == [("7000", fine)] * 2 + [("None", "of all " + fine)]
+    assert at(cp.keep_one_of_each_group(spark, clean.where("doc_id is null or doc_id = 7000"), str(tmp_path))) == [("7000", fine), ("None", "of all " + fine)]
+
+
 def test_empty_corpus(spark, tmp_path):
     for t, s in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], s).write.parquet(str(tmp_path / f"{t}.parquet"))
