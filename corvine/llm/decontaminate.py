@@ -12,7 +12,7 @@ alone reaches half, at least ``SHORT`` or four fifths of a perfect copy is neede
 are matched exactly: their only gram is the whole sequence, which has to stand in the document as it is.
 
 The two passes are the same for a benchmark of any size. What the executors get of it is a table of bits, a
-few for each gram and at most 2^``MOST_BITS``, which only rules grams out; the joins decide. They shuffle what matches
+few for each gram and of bounded size, which only rules grams out; the joins decide. They shuffle what matches
 and are broadcast behind a check of their size.
 
 Defined results: null and empty documents match nothing; null items and items without words are not tested;
@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corvine.llm.sieve import Sieve, sieve
 from corvine.llm.wordhash import word_hashes
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
 MIN_WORDS, BLOCK, COVER, SHARE, RUN, SHORT = 5, 4, 4, 0.5, 24, 14
 RARE, TIMES = 20, 4
 MATCH, MISS, GAP = 2, -1, -1
-#: Size of the bit table, as powers of two; counts that a task holds before it passes them on.
-LEAST_BITS, MOST_BITS, HELD = 20, 28, 1 << 18
+#: Counts that a task holds before it passes them on.
+HELD = 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -96,38 +97,19 @@ def item_grams(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, grams_of(h, n)
 
 
-class Sieve:
-    """A bit table that lets all given hashes pass and rules most others out."""
+def hits(of: Sieve, lengths: tuple[int, ...], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position and hash of the grams of a document that pass the sieve."""
+    at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in lengths:
+        g = grams_of(h, n)
+        at.append(np.flatnonzero(of.passes(g)))
+        found.append(g[at[-1]])
+    return np.concatenate(at), np.concatenate(found)
 
-    def __init__(self, bits: np.ndarray, lengths: tuple[int, ...]):
-        self.bits, self.lengths, self.shift = bits, lengths, np.uint64(64 - (len(bits) * 8 - 1).bit_length())
 
-    @classmethod
-    def of(cls, grams: pa.Table) -> Sieve:
-        """From places in the table (column ``slot``) and the lengths of the grams (column ``n``)."""
-        power = grams["power"][0].as_py()
-        bits = np.zeros((1 << power) // 8, np.uint8)
-        slot = grams["slot"].to_numpy()
-        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        return cls(bits, tuple(sorted(set(grams["n"].to_pylist()))))
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position and hash of the grams of a document that pass."""
-        at, found = [], []
-        for n in self.lengths:
-            g = grams_of(h, n)
-            slot = g >> self.shift
-            p = np.flatnonzero(self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-            at.append(p)
-            found.append(g[p])
-        return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def sieve(grams: DataFrame) -> Sieve:
-    """Of the column ``gram`` of a written table; only distinct places of bounded number come to the driver."""
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, row_count(grams))).bit_length()))
-    slot = F.shiftrightunsigned("gram", 64 - power).cast("int")
-    return Sieve.of(grams.select(slot.alias("slot"), "n", F.lit(power).alias("power")).distinct().toArrow()) if row_count(grams) else Sieve(np.zeros(1, np.uint8), ())
+def _sieve(grams: DataFrame) -> tuple[Sieve, tuple[int, ...]]:
+    """Of a written table of grams, with their lengths."""
+    return sieve(grams, "gram", row_count(grams)), tuple(sorted(r[0] for r in grams.select("n").distinct().collect()))
 
 
 def _item_batches(item_type: pa.DataType):
@@ -149,7 +131,7 @@ def _item_batches(item_type: pa.DataType):
     return run
 
 
-def _count_batches(of: Sieve):
+def _count_batches(of: Sieve, lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
@@ -160,7 +142,7 @@ def _count_batches(of: Sieve):
 
         for batch in slices(batches):
             for t in batch.column(0):
-                parts.append(np.unique(of.hits(hashes_of(t.as_py()))[1]))
+                parts.append(np.unique(hits(of, lengths, hashes_of(t.as_py()))[1]))
                 held += len(parts[-1])
                 if held >= HELD:
                     yield flush()
@@ -170,13 +152,13 @@ def _count_batches(of: Sieve):
     return run
 
 
-def _hit_batches(of: Sieve):
+def _hit_batches(of: Sieve, lengths: tuple[int, ...]):
     """A row for each document with seeds: doc_id, text and its print, their hashes and places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             where, found = [], []
             for i, t in enumerate(batch.column("text")):
-                at, g = of.hits(hashes_of(t.as_py()))
+                at, g = hits(of, lengths, hashes_of(t.as_py()))
                 if len(at):
                     where.append(i)
                     found.append((g.view(np.int64), at))
@@ -268,16 +250,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items.withColumn("item", F.sha2(F.to_json(F.struct("item_id", "text")), 256)), "items", 256)
     named = items.select("item", "text")
     grams = materialize(named.mapInArrow(_item_batches(to_arrow_type(item_kind)), "item string, n int, at int, gram long, size int"), "grams", 96)
-    counted = docs.select("text").mapInArrow(_count_batches(sieve(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("f"))
+    counted = docs.select("text").mapInArrow(_count_batches(*_sieve(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("f"))
     counted = materialize(counted, "counts", 16)
     found = grams.join(broadcast_if_small(counted, row_count(counted), 24), "gram")
     seeds = found.groupBy("item").applyInPandas(choose_seeds, "gram long, item string, n int, at int, size int, f long")
     seeds = materialize(seeds, "seeds", 96)
 
-    seen = docs.withColumn("print", F.xxhash64("text")).mapInArrow(_hit_batches(sieve(seeds)), f"doc_id {doc}, text string, print long, grams array<long>, places array<int>")
+    seen = docs.withColumn("print", F.xxhash64("text")).mapInArrow(_hit_batches(*_sieve(seeds)), f"doc_id {doc}, text string, print long, grams array<long>, places array<int>")
     seen = materialize(seen, "seen")
-    hits = seen.select("doc_id", "print", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("doc_id", "print", F.col("h.grams").alias("gram"), F.col("h.places").alias("p"))
-    both = hits.join(broadcast_if_small(seeds, row_count(seeds), 128), "gram").groupBy("doc_id", "print", "item").agg(
+    places = seen.select("doc_id", "print", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("doc_id", "print", F.col("h.grams").alias("gram"), F.col("h.places").alias("p"))
+    both = places.join(broadcast_if_small(seeds, row_count(seeds), 128), "gram").groupBy("doc_id", "print", "item").agg(
         F.max("size").alias("size"), F.collect_set(F.struct("p", "at", "n")).alias("hits"))
     near = both.mapInArrow(_cluster_batches, f"doc_id {doc}, print long, item string, passages array<struct<low:int,high:int>>")
     near = materialize(near, "near", 128)

@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.components import connected_components
+from corvine.llm.sieve import Sieve, sieve
 from corvine.llm.wordhash import mix, word_hashes
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
@@ -247,21 +248,47 @@ def _verify(pairs: DataFrame, documents: DataFrame, spec: JoinSpec) -> DataFrame
     return links
 
 
+def _place_batches(spec: JoinSpec, x: int, of: Sieve | None):
+    """A row for every place of a set in a list, if the sieve lets its key pass; light sizes go up to x."""
+    def places(n: int, prefix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        m = n - spec.least_own(n) + 1
+        if 100 * n >= spec.percent * (x + 1):
+            yield 0, prefix[:m], np.arange(m)
+        if n <= x:
+            j, i = np.tril_indices(m + 1, -1)
+            low = prefix.view(np.uint64)
+            yield 1, mix((low[i] ^ (low[i] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + low[j]).view(np.int64), i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            where, cols = [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)]
+            for i, (n, prefix) in enumerate(zip(batch.column("n").to_pylist(), batch.column("prefix"), strict=True)):
+                for kind, key, pos in places(n, prefix.values.to_numpy()):
+                    if of is not None:
+                        keep = of.passes(key)
+                        key, pos = key[keep], pos[keep]
+                    where.append(np.full(len(key), i))
+                    cols.append(np.stack((key, pos, np.full(len(key), kind))))
+            at = pa.array(np.concatenate(where))
+            key, pos, kind = np.concatenate(cols, 1)
+            n = batch.column("n").take(at)
+            size = n.to_numpy().astype(np.int64)
+            short = pos <= size + (-2 * spec.percent * size // (100 + spec.percent))  # size less what a set of this size must share
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), n, pa.array(pos, pa.int32()), pa.array(key), pa.array(kind, pa.int32()), pa.array(short)],
+                                             ["id", "n", "pos", "key", "kind", "short"])
+
+    return run
+
+
 def _lists(sets: DataFrame, spec: JoinSpec, x: int) -> DataFrame:
-    """key, kind, id, n, pos, short of all places in lists that can hold a pair; light sizes go up to x."""
-    n = F.col("n")
-    m = n - F.ceil(F.lit(spec.percent) * n / 100.0 - 1e-9).cast("int") + 1
-    rows = sets.where(100 * n >= spec.percent * (x + 1)).select("id", "n", F.posexplode(F.slice("prefix", F.lit(1), m)).alias("pos", "key"), F.lit(0).alias("kind"))
-    if x:
-        places = F.sequence(F.lit(1), m)
-        subsets = F.flatten(F.transform(places, lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j")))))
-        light = sets.where(n <= x).select("id", "n", "prefix", F.explode(subsets).alias("s"))
-        light = light.select("id", "n", F.col("s.i").alias("pos"), F.xxhash64(F.get("prefix", F.col("s.i")), F.get("prefix", F.col("s.j"))).alias("key"), F.lit(1).alias("kind"))
-        rows = rows.unionByName(light)
-    rows = rows.withColumn("short", F.col("pos") <= n - _need(spec, n, n))
+    """key, kind, id, n, pos, short of all places in lists that can hold a pair."""
+    id_kind = sets.schema["id"].dataType.simpleString()
+    places = lambda of: sets.select("id", "n", "prefix").mapInArrow(_place_batches(spec, x, of), f"id {id_kind}, n int, pos int, key long, kind int, short boolean")
     # nearly all keys stand alone: they are counted first, and only places in other lists move
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("key"), "keys", 8)
-    out = materialize(rows.join(broadcast_if_small(keys, row_count(keys), 16), "key", "left_semi"), "lists")
+    keys = places(None).groupBy("key").agg(F.count("*").alias("c"), F.max("short").alias("s")).where("c > 1 and s").select("key")
+    keys = materialize(keys, "keys", 8)
+    out = places(sieve(keys, "key", row_count(keys))).join(broadcast_if_small(keys, row_count(keys), 16), "key", "left_semi")
+    out = materialize(out, "lists")
     drop_materialized(keys)
     return out
 
