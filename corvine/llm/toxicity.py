@@ -22,6 +22,7 @@ any length are read whole, both in training and in scoring.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -130,7 +131,7 @@ class WordScorer:
 class _Bags:
     """Bags of words under labels, with the n-grams of each distinct word once."""
 
-    def __init__(self, bags: list[list[str]], labels: list[int], share: float):
+    def __init__(self, bags: list[list[str]], labels: list[int] | np.ndarray, share: float):
         vocab: dict[str, int] = {}
         self.word = np.array([vocab.setdefault(w, len(vocab)) for b in bags for w in b], np.int32)
         sizes = np.fromiter(map(len, bags), np.int64, len(bags))
@@ -196,25 +197,16 @@ class Trainer:
             value -= 0.1 * RATE * g / np.sqrt(self.sums[k])
 
 
-def train(pick: Callable[[WordScorer | None], list[tuple[int, list[str]]]], seed: int = 11) -> ToxicModel | None:
-    """``pick`` gives (label, words) of every training document: a draw without a model, else the bag under it."""
-    drawn = [(y, w) for y, w in pick(None) if w]
-    labels = np.array([y for y, _ in drawn])
+def train(words: pa.Table, pick: Callable[[WordScorer], list[tuple[int, list[str]]]], seed: int = 11) -> ToxicModel | None:
+    """``words`` has toxic, word and n, the documents it was drawn from, sorted; ``pick`` gives (label, bag) of every
+    training document under the model so far."""
+    labels, n = words["toxic"].to_numpy(), words["n"].to_numpy()
     if not len(labels) or labels.min() == labels.max():
         return None
     t = Trainer(seed)
     # each distinct word once for each label, weighted by its documents; both labels weigh the same
-    held: list[dict[str, int]] = [{}, {}]
-    for y, ws in drawn:
-        for w in ws:
-            held[y][w] = held[y].get(w, 0) + 1
-    del drawn
-    number = [max(1, int((labels == y).sum())) for y in (0, 1)]
-    pairs = [(y, w, n / number[y]) for y in (0, 1) for w, n in held[y].items()]
-    del held
-    weight = np.array([n for _, _, n in pairs], np.float32)
-    t.run(_Bags([[w] for _, w, _ in pairs], [y for y, _, _ in pairs], 1.0 / TOP), weight * len(weight) / weight.sum(), FIRST_EPOCHS, BATCH)
-    del pairs
+    weight = n / np.where(labels == 1, n[labels == 1].sum(), n[labels == 0].sum())
+    t.run(_Bags([[w] for w in words["word"].to_pylist()], labels, 1.0 / TOP), (weight * len(n) / 2).astype(np.float32), FIRST_EPOCHS, BATCH)
     clean: list[list[str]] = []
     for _ in range(ROUNDS):
         picked = pick(t.model().scorer())
@@ -226,30 +218,31 @@ def train(pick: Callable[[WordScorer | None], list[tuple[int, list[str]]]], seed
     return t.model()
 
 
-def picker(rows: list[tuple[int, str]]) -> Callable:
-    """:func:`train`'s ``pick`` over rows (label, text) at hand."""
-    def pick(scorer: WordScorer | None) -> list[tuple[int, list[str]]]:
-        texts = [t for _, t in rows]
-        return [(y, w) for (y, _), w in zip(rows, _picked(scorer, texts, range(len(rows))), strict=True)]
+def train_on(rows: list[tuple[int, str]]) -> ToxicModel | None:
+    """:func:`train` on rows (label, text) at hand."""
+    held: Counter = Counter()
+    for k, (y, t) in enumerate(rows):
+        held.update((y, w) for w in drawn(t, k))
+    table = pa.table({"toxic": pa.array([y for y, _ in held], pa.int32()), "word": pa.array([w for _, w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+    return train(table.sort_by([("word", "ascending"), ("toxic", "ascending")]), lambda scorer: [(y, w) for (y, _), w in zip(rows, picked(scorer, [t for _, t in rows]), strict=True)])
 
-    return pick
 
+def drawn(text: str | None, seed: int) -> list[str]:
+    """At most ``FIRST_WORDS`` of a text's distinct words."""
+    words = sorted(words_of(text))
+    return words if len(words) <= FIRST_WORDS else [words[i] for i in np.random.default_rng(abs(seed)).choice(len(words), FIRST_WORDS, False)]
 
-def _picked(scorer: WordScorer | None, texts: list[str | None], seeds: Iterable[int]) -> Iterator[list[str]]:
-    if scorer is None:
-        for t, h in zip(texts, seeds, strict=True):
-            words = sorted(words_of(t))
-            yield words if len(words) <= FIRST_WORDS else [words[i] for i in np.random.default_rng(abs(h)).choice(len(words), FIRST_WORDS, False)]
-    else:
-        for words, scores in scorer(texts, {}):
-            yield sorted(words[i] for i in (np.argpartition(-scores, TOP)[:TOP] if len(words) > TOP else range(len(words))))
 
+def picked(scorer: WordScorer, texts: list[str | None]) -> Iterator[list[str]]:
+    """Each text's bag: its ``TOP`` most toxic words."""
+    for words, scores in scorer(texts, {}):
+        yield sorted(words[i] for i in (np.argpartition(-scores, TOP)[:TOP] if len(words) > TOP else range(len(words))))
 
-def _pick_batches(scorer: WordScorer | None):
+
+def _word_batches(choose: Callable[[pa.RecordBatch], Iterable[list[str]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            picked = list(_picked(scorer, [t.as_py() for t in batch.column("text")], batch.column("_h").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(picked, pa.list_(pa.string())), batch.column("_h")], ["toxic", "words", "_h"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(choose(batch)), pa.list_(pa.string())), batch.column("_h")], ["toxic", "words", "_h"])
 
     return run
 
@@ -260,13 +253,17 @@ def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Toxic
     marks = marks.where(crc_mod(F.col("doc_id"), held_out_mod) != 0)
     there = documents.where(trainable(F.col("text"))).select("doc_id").distinct().join(marks, "doc_id")
     rows = materialize(labelled_sample(documents, there, "toxic", TRAIN_ROWS), "toxic-sample")
+    schema = "toxic int, words array<string>, _h long"
+    texts = lambda batch: [t.as_py() for t in batch.column("text")]
+    first = rows.mapInArrow(_word_batches(lambda b: map(drawn, texts(b), b.column("_h").to_pylist())), schema)
+    first = first.select("toxic", F.explode("words").alias("word")).groupBy("toxic", "word").agg(F.count("*").alias("n")).toArrow()
 
-    def pick(scorer: WordScorer | None) -> list[tuple[int, list[str]]]:
-        got = rows.mapInArrow(_pick_batches(scorer), "toxic int, words array<string>, _h long").toArrow().sort_by([("_h", "ascending"), ("toxic", "ascending")])
+    def pick(scorer: WordScorer) -> list[tuple[int, list[str]]]:
+        got = rows.mapInArrow(_word_batches(lambda b: picked(scorer, texts(b))), schema).toArrow().sort_by([("_h", "ascending"), ("toxic", "ascending")])
         return list(zip(got["toxic"].to_pylist(), got["words"].to_pylist(), strict=True))
 
     try:
-        return train(pick)
+        return train(first.sort_by([("word", "ascending"), ("toxic", "ascending")]), pick)
     finally:
         drop_materialized(rows)
 

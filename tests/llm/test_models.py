@@ -39,7 +39,7 @@ def test_toxicity_hides_in_no_length(spark):
     toxic, clean = ["zzuglyzz"], [f"w{i}" for i in range(50)]
     rng = np.random.default_rng(1)
     rows = [(i % 2, " ".join(list(rng.choice(clean, 40)) + (toxic if i % 2 else []) + list(rng.choice(clean, 40)))) for i in range(400)]
-    m = toxicity.train(toxicity.picker(rows))
+    m = toxicity.train_on(rows)
     assert m.probability(" ".join(clean * 200 + ["xzuglyzz"] + clean * 200)) > 0.5 > m.probability(" ".join(clean * 400))
 
 
