@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,17 +169,21 @@ def _hit_batches(of: Sieve, lengths: tuple[int, ...]):
     return run
 
 
-def choose_seeds(found: pd.DataFrame) -> pd.DataFrame:
+def choose_seeds(found: pa.Table) -> pa.Table:
     """The seeds among one item's grams (columns n, at, gram, f); those that no document holds are not among them.
 
     Rare is what no more than ``RARE`` documents hold, or ``TIMES`` as many as the item's middle triple: that many
     copies of the item itself there may be. The rarest of every block is a seed too.
     """
-    triples = np.sort(found.f[found.n == 3].to_numpy())
+    n, at, f = (found.column(c).to_numpy() for c in ("n", "at", "f"))
+    triples = np.sort(f[n == 3])
     most = max(RARE, TIMES * triples[len(triples) // 2] if len(triples) else 0)
-    ordered = found.sort_values(["f", "at"])
-    first = ordered.groupby(["n", ordered["at"] // BLOCK]).head(1).index
-    return found[(found.f <= most) | found.index.isin(first)]
+    keep = f <= most
+    order = np.lexsort((at, f, at // BLOCK, n))
+    first = np.ones(len(order), bool)
+    first[1:] = (n[order][1:] != n[order][:-1]) | (at[order][1:] // BLOCK != at[order][:-1] // BLOCK)
+    keep[order[first]] = True
+    return found.filter(pa.array(keep))
 
 
 def clusters(found: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int]]:
@@ -253,7 +256,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted = docs.select("text").mapInArrow(_count_batches(*_sieve(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("f"))
     counted = materialize(counted, "counts", 16)
     found = grams.join(broadcast_if_small(counted, row_count(counted), 24), "gram")
-    seeds = found.groupBy("item").applyInPandas(choose_seeds, "gram long, item string, n int, at int, size int, f long")
+    seeds = found.groupBy("item").applyInArrow(choose_seeds, "gram long, item string, n int, at int, size int, f long")
     seeds = materialize(seeds, "seeds", 96)
 
     seen = docs.withColumn("print", F.xxhash64("text")).mapInArrow(_hit_batches(*_sieve(seeds)), f"doc_id {doc}, text string, print long, grams array<long>, places array<int>")

@@ -131,20 +131,22 @@ class WordScorer:
 class _Bags:
     """Bags of words under labels, with the n-grams of each distinct word once."""
 
-    def __init__(self, bags: list[list[str]], labels: list[int] | np.ndarray, share: float):
-        vocab: dict[str, int] = {}
-        self.word = np.array([vocab.setdefault(w, len(vocab)) for b in bags for w in b], np.int32)
-        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-        self.start = np.concatenate(([0], np.cumsum(sizes)))
-        self.label, self.share, names, parts, counts = np.array(labels, np.int64), share, list(vocab), [], []
-        for k in range(0, len(names), 20_000):  # in parts, for the hashes need room
-            b, o = subwords(names[k : k + 20_000])
+    def __init__(self, labels: np.ndarray, word: np.ndarray, sizes: np.ndarray, names: pa.Array, share: float):
+        self.label, self.word, self.share = labels, word, share
+        self.start, parts, counts = np.concatenate(([0], np.cumsum(sizes))), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(names), 10_000):  # in parts, for names and hashes need room
+            some = names.slice(k, 10_000).to_pylist()
+            b, o = subwords(some)
             parts.append(b[np.argsort(o, kind="stable")].astype(np.int32))
-            counts.append(np.bincount(o, minlength=len(names[k : k + 20_000])))
-        self.buckets = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            counts.append(np.bincount(o, minlength=len(some)))
+        self.buckets, self.count = np.concatenate(parts), np.concatenate(counts)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
 
+    @classmethod
+    def of(cls, bags: list[list[str]], labels: list[int], share: float) -> _Bags:
+        words = pa.array([w for b in bags for w in b], pa.string()).dictionary_encode()
+        return cls(np.array(labels, np.int64), words.indices.to_numpy(), np.fromiter(map(len, bags), np.int64, len(bags)), words.dictionary, share)
+
     def grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucket, bag (position in ``rows``) and weight of every n-gram of the given bags."""
         n = self.start[rows + 1] - self.start[rows]
@@ -206,14 +208,15 @@ def train(words: pa.Table, pick: Callable[[WordScorer], list[tuple[int, list[str
     t = Trainer(seed)
     # each distinct word once for each label, weighted by its documents; both labels weigh the same
     weight = n / np.where(labels == 1, n[labels == 1].sum(), n[labels == 0].sum())
-    t.run(_Bags([[w] for w in words["word"].to_pylist()], labels, 1.0 / TOP), (weight * len(n) / 2).astype(np.float32), FIRST_EPOCHS, BATCH)
+    single = np.arange(len(n))
+    t.run(_Bags(labels, single, np.ones(len(n), np.int64), words["word"].combine_chunks(), 1.0 / TOP), (weight * len(n) / 2).astype(np.float32), FIRST_EPOCHS, BATCH)
     clean: list[list[str]] = []
     for _ in range(ROUNDS):
         picked = pick(t.model().scorer())
         toxic = [w for y, w in picked if y]
         clean += [w for y, w in picked if not y]
         clean = [list(w) for w in dict.fromkeys(map(tuple, clean))]
-        bags = _Bags(toxic + clean, [1] * len(toxic) + [0] * len(clean), 1.0 / TOP)
+        bags = _Bags.of(toxic + clean, [1] * len(toxic) + [0] * len(clean), 1.0 / TOP)
         t.run(bags, np.ones(len(bags.label), np.float32), EPOCHS, 256)
     return t.model()
 

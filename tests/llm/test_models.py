@@ -56,7 +56,7 @@ def test_a_step_follows_the_gradient():
             out -= np.log(toxicity.softmax(v @ m.weights.astype(float) + m.bias)[y])
         return out
 
-    t.run(toxicity._Bags(bags, labels, 1 / toxicity.TOP), np.ones(3, np.float32), 1, 99)
+    t.run(toxicity._Bags.of(bags, labels, 1 / toxicity.TOP), np.ones(3, np.float32), 1, 99)
     after = t.model()
     assert loss(after) < loss(before)
     for name, at in (("bias", (1,)), ("weights", (3, 0)), ("vectors", (int(toxicity.subwords(["xyz"])[0][0]), 2))):

@@ -75,4 +75,4 @@ def test_language_stage_without_any_language_to_learn(spark):
     held = [(i, texts[0], "en", "src0", 1) for i in range(100, 140) if zlib.crc32(str(i).encode()) % 4 == 2]
     docs = spark.createDataFrame(unmarked + held, "doc_id long, text string, lang string, source string, n_chars long")
     out = cp.drop_unidentified(spark, docs, "")
-    assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, [0, 1, 5, None, *(r[0] for r in held)])) and held
+    assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, [0, 1, 5, *(r[0] for r in held)])) and held
