@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from corvine.functions.text import normal_path
 
 #: The URL namespace of name-based UUIDs, index mask, default dimension and names.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -18,13 +23,24 @@ def _bytes(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Canonical composition, for which there is no built-in; texts that are composed pass as they are."""
+    return pa.array([x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
+
+
 def sha256_text(c: Column) -> Column:
-    """Hex digest of the text, which must be NFC-normalised already (see :func:`corvine.sources.corpus.nfc`)."""
-    return F.sha2(c, 256)
+    """Hex digest of the composed text."""
+    return F.sha2(nfc(c), 256)
+
+
+def _path(path: Column) -> Column:
+    return nfc(normal_path(path))
 
 
 def doc_id(path: Column) -> Column:
-    return F.substring(F.sha2(path, 256), 1, 16)
+    """From the normalised path, so one document has one id however its path is spelt."""
+    return F.substring(F.sha2(_path(path), 256), 1, 16)
 
 
 def chunk_id(doc: Column, index: Column) -> Column:
@@ -40,7 +56,7 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 
 def point_id(path: Column, index: Column, content_sha256: Column) -> Column:
-    return uuid5(F.concat_ws("::", path, index.cast("string"), content_sha256))
+    return uuid5(F.concat_ws("::", _path(path), index.cast("string"), content_sha256))
 
 
 def term_index(term: Column) -> Column:

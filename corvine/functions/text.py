@@ -39,9 +39,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
+#: Lower-case characters whose caseless form is or holds ASCII letters; only those matter for terms.
+CASELESS = {
+    "ß": "ss", "\u017f": "s", "\u0149": "\u02bcn", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308", "\u1e98": "w\u030a", "\u1e99": "y\u030a", "\u1e9a": "a\u02be",
+    "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
+}
+
+
 def fold(c: Column) -> Column:
-    """Lower case with the sharp s written out, as caseless matching has it."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Lower case with characters that stand for others written out, as caseless matching has it, where it matters for terms."""
+    out = low = F.lower(c)
+    for x, to in CASELESS.items():
+        out = F.replace(out, F.lit(x), F.lit(to))
+    return F.when(low.rlike(f"[{''.join(CASELESS)}]"), out).otherwise(low)
 
 
 def _find(c: Column, pattern: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -42,17 +42,17 @@ def resolve(answer: Column, known: Column) -> tuple[Column, Column]:
     return F.filter(found, lambda m: F.array_contains(known, m)), F.filter(found, lambda m: ~F.array_contains(known, m))
 
 
-@F.pandas_udf(StringType())
-def clean_markers(answer: pd.Series, known: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def clean_markers(answer: pa.Array, known: pa.Array) -> pa.Array:
     """Rewrite every group to its valid numbers. Replacing by a computed text has no built-in."""
     out = []
-    for a, k in zip(answer, known, strict=True):
+    for a, k in zip(answer.to_pylist(), known.to_pylist(), strict=True):
         if a is None:
             out.append(None)
             continue
         valid = set() if k is None else set(k)
         out.append(_GROUP.sub(lambda m: "".join(f"[{n}]" for n in map(int, re.split("[,;]", m[1])) if n in valid), a))  # noqa: B023
-    return pd.Series(out)
+    return pa.array(out, pa.string())
 
 
 def cited(answers: DataFrame, answer: str = "answer", blocks: str = "blocks") -> DataFrame:

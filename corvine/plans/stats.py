@@ -12,7 +12,6 @@ import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +79,9 @@ def bootstrap(outcomes: DataFrame, scope: Sequence[str], order: str, resamples:
     """ci_low and ci_high of each scope; cases are taken in ``order``. A scope's differences are one byte a case."""
     kinds = ", ".join(f"`{c}` {outcomes.schema[c].dataType.simpleString()}" for c in scope)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
+        import pandas as pd
+
         own = pdf.sort_values("o")
         low, high = bootstrap_interval((own.a.astype(int) - own.b.astype(int)).to_numpy(), resamples, seed)
         return pd.DataFrame([[*key, low, high]], columns=[*scope, "ci_low", "ci_high"])
@@ -112,6 +113,8 @@ def minimum_detectable_effect(spark: SparkSession, n: int, base: float, power: f
     steps = math.floor(room / width + 1e-12)
 
     def run(frames):
+        import pandas as pd
+
         for pdf in frames:
             yield pd.DataFrame({"step": pdf.id, "power": [power_at(n, base, int(i), width, simulations, seed) for i in pdf.id]})
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -71,22 +70,16 @@ def _plain_header(lines: list[str]) -> dict:
     return out
 
 
-@F.pandas_udf(StructType([StructField("title", StringType()), StructField("tags", ArrayType(StringType())), StructField("body", StringType())]))
-def parse_page(raw: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("title", StringType()), StructField("tags", ArrayType(StringType())), StructField("body", StringType())]))
+def parse_page(raw: pa.Array) -> pa.Array:
     rows = []
-    for r in raw:
+    for r in raw.to_pylist():
         meta, body = front_matter(r or "")
         title, tags = meta.get("title"), meta.get("tags")
         named = str(title).strip() if title else None
         parts = tags.split(",") if isinstance(tags, str) else tags if isinstance(tags, list | tuple) else []
-        rows.append((named or None, [t for x in parts if (t := str(x).strip())], body))
-    return pd.DataFrame(rows, columns=["title", "tags", "body"])
-
-
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition, for which there is no built-in; only needed where texts are not composed yet."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+        rows.append({"title": named or None, "tags": [t for x in parts if (t := str(x).strip())], "body": body})
+    return pa.array(rows, pa.struct([("title", pa.string()), ("tags", pa.list_(pa.string())), ("body", pa.string())]))
 
 
 def documents_from_files(files: DataFrame) -> DataFrame:

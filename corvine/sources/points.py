@@ -85,6 +85,10 @@ class PointsTable:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with their key. Rows have no order, so of new ones that share a key
+    the one with the greatest other columns, in their order, stays."""
+    rest = [c for c in old.columns if c != key]
+    new = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("__row")).select(key, *[F.col("__row").getField(c).alias(c) for c in rest])
     return old.join(new, key, "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 

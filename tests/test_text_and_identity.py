@@ -95,3 +95,30 @@ def test_corpus_hash(spark):
 
 def test_stopword_sizes():
     assert len(tx.SEARCH_STOPWORDS) == len(set(tx.SEARCH_STOPWORDS)) and re.fullmatch(tx.TERM, "bm25-k1")
+
+
+def test_ids_do_not_depend_on_how_a_path_or_text_is_spelt(spark):
+    rows = [("src/caf\u00e9.md", "na\u00efve"), ("./src\\cafe\u0301.md", "nai\u0308ve"), ("/src/caf\u00e9.md", "na\u00efve"), ("src/cafe.md", None)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    sha = ident.sha256_text(F.col("text"))
+    got = df.select(ident.doc_id(F.col("path")).alias("d"), sha.alias("s"), ident.point_id(F.col("path"), F.lit(0), sha).alias("p")).collect()
+    assert got[0] == got[1] == got[2] and got[0].d != got[3].d and got[3].s is None
+    assert got[0].d == hashlib.sha256("src/caf\u00e9.md".encode()).hexdigest()[:16] and got[0].s == hashlib.sha256("na\u00efve".encode()).hexdigest()
+    assert got[0].p == str(uuid.uuid5(uuid.NAMESPACE_URL, f"src/caf\u00e9.md::0::{got[0].s}"))
+
+
+def test_terms_follow_casefold(spark):
+    """Every character of the basic plane, against Python's own caseless form."""
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(i, f"x{c}y") for i, c in enumerate(chars)], "i int, text string")
+    got = dict(df.select("i", tx.search_terms(F.col("text"), ()).alias("t")).rdd.map(tuple).collect())
+    bad = [hex(ord(c)) for i, c in enumerate(chars) if got[i] != re.findall(tx.TERM, f"x{c}y".casefold())]
+    assert not bad
+
+
+def test_an_upsert_keeps_one_row_for_each_id(spark):
+    from corvine.sources.points import upserted
+
+    old = spark.createDataFrame([("a", "old", 1), ("b", "old", 1)], "point_id string, text string, n int")
+    new = spark.createDataFrame([("a", "new", 2), ("a", "new", 3), ("c", "x", 1), ("c", "x", 1)], "point_id string, text string, n int")
+    assert sorted(map(tuple, upserted(old, new).collect())) == [("a", "new", 3), ("b", "old", 1), ("c", "x", 1)]
