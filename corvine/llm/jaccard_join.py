@@ -20,7 +20,7 @@ Of two linked sets the smaller one has its first common shingle so early that it
 long list of texts that share most but not enough words opens none.
 
 In a list, sets are first compared with one centre, the short place with the fewest rarer shingles before it, and
-each set first with the one centre it shares most lists with. Pairs that are not in one component after
+each set with the ``CENTRES`` centres it shares most lists with. Pairs that are not in one component after
 that are then compared in full, so no link between components is lost while groups of near copies do not expand
 into all pairs.
 
@@ -47,8 +47,8 @@ from corvine.llm.sieve import Sieve, sieve
 from corvine.llm.wordhash import mix, word_hashes
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count, slices
 
-#: Width of the counter table, and partners of a set that are compared in one place.
-SLOT_BITS, PARTNERS = 18, 512
+#: Width of the counter table, partners of a set that are compared in one place, and centres a set is first compared with.
+SLOT_BITS, PARTNERS, CENTRES = 18, 512, 3
 
 
 @dataclass(frozen=True)
@@ -209,20 +209,17 @@ def _meet(pairs: DataFrame, rows: DataFrame, build=None) -> DataFrame:
     Only rows that a pair names are taken, and values move once: that of u, once for each pair, to where v is. A
     name with many partners is copied to several places, so no place and no row has more than some ``PARTNERS``.
     """
-    def small(df: DataFrame, name: str, row_bytes: int) -> DataFrame:
-        df = materialize(df, name, row_bytes)
-        return broadcast_if_small(df, row_count(df), row_bytes)
-
+    number = row_count(pairs)  # what is broadcast here has no more rows
+    dealt = pairs
     for own, other, place in (("v", "u", "place"), ("u", "v", "lot")):
-        dealt = pairs if own == "v" else dealt
-        if row_count(pairs) <= PARTNERS:
+        if number <= PARTNERS:
             dealt = dealt.withColumn(place, F.lit(0).cast("long"))
             continue
         hubs = pairs.groupBy(own).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("places")).where("places > 1")
-        dealt = dealt.join(small(hubs, "hubs", 24), own, "left")
+        dealt = dealt.join(broadcast_if_small(hubs, number // PARTNERS, 32), own, "left")
         dealt = dealt.withColumn(place, F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1)))).drop("places")
-    to = small(dealt.groupBy("u", "lot").agg(F.collect_list(F.struct("v", "place")).alias("to")).select("u", "to"), "from", 40)
-    at = small(dealt.select("v", "place").distinct(), "to", 24)
+    to = broadcast_if_small(dealt.groupBy("u", "lot").agg(F.collect_list(F.struct("v", "place")).alias("to")).select("u", "to"), number, 40)
+    at = broadcast_if_small(dealt.select("v", "place").distinct(), number, 24)
     value = next(c for c in rows.columns if c != "id")
     left, right = rows.withColumnRenamed("id", "u").join(to, "u"), rows.withColumnRenamed("id", "v").join(at, "v")
     if build:
@@ -328,18 +325,12 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
 
     centres = lists.where("short").groupBy("key", "kind").agg(F.min(F.struct("pos", "id", "n")).alias("c")).select("key", "kind", "c.*")
     first = lists.alias("a").join(centres.alias("b"), ["key", "kind"]).where((col("a.id") != col("b.id")) & _candidate(spec, col("a.n"), col("a.pos"), col("b.n"), col("b.pos")) & F.when(col("kind") == 0, F.greatest(col("a.n"), col("b.n")) > x).otherwise(F.lit(True)))
-    first = materialize(first.groupBy(col("a.id").alias("u"), col("b.id").alias("v")).agg(F.count("*").alias("c")), "pairs", 24)
-    best = first.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+    first = first.groupBy(col("a.id").alias("u"), col("b.id").alias("v")).agg(F.count("*").alias("c"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("c", "v")), False), 1, CENTRES)
+    best = first.groupBy("u").agg(best.alias("b")).select("u", F.explode("b.v").alias("v"))
     best = materialize(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "best", 16)
     links = links.unionByName(_verify(_possible(best, sets, spec), docs, spec))
     label = materialize(connected_components(links), "labels", 16)
-    # the other centres of sets that are still apart from them
-    component = lambda name: label.select(col("id").alias(name), col("component").alias(f"c{name}"))
-    apart = first.join(component("u"), "u", "left").join(component("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = _verify(_possible(apart.join(best, ["u", "v"], "left_anti"), sets, spec), docs, spec)
-    if row_count(more):
-        links = links.unionByName(more)
-        label = materialize(connected_components(links), "labels", 16)
 
     own = lists.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = own.groupBy("key", "kind").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("key", "kind")
@@ -348,11 +339,10 @@ def jaccard_components(documents: DataFrame, spec: JoinSpec | None = None, bound
     # the shorter set has the short place; of equal ones, whichever
     rest = a.join(b, (col("a.key") == col("b.key")) & (col("a.kind") == col("b.kind")) & (col("a.comp") != col("b.comp")) & (col("a.n") <= col("b.n")) & meets("a", "b"))
     rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    done = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = _verify(_possible(rest.join(done, ["u", "v"], "left_anti"), sets, spec), docs, spec)
+    more = _verify(_possible(rest.join(best, ["u", "v"], "left_anti"), sets, spec), docs, spec)
     if row_count(more):
         label = materialize(connected_components(links.unionByName(more)), "labels", 16)
-    for df in (first, lists, own, sets):
+    for df in (best, lists, own, sets):
         drop_materialized(df)
     return out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", *shape("component"))
 
