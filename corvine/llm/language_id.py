@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import crc_mod, labelled_sample, trainable
-from corvine.runtime import slices
+from corvine.runtime import give_back, slices
 
 BUCKETS, PER_LANG, EPOCHS = 1 << 15, 600, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
@@ -161,7 +161,10 @@ def fit(documents: DataFrame, mod: int = 4, held: int = 2) -> LanguageModel:
     sample = labelled_sample(own, own.where(trainable(F.col("text"))).select("doc_id", "lang"), "lang", PER_LANG)
     got = sample.mapInArrow(_gram_batches, "lang string, i array<int>, n array<long>, _h long").where("i is not null").toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
     rows = [(y.as_py(), i.values.to_numpy(), n.values.to_numpy()) for y, i, n in zip(got["lang"], got["i"], got["n"], strict=True)]
-    return train(rows, inverse_frequencies(own))
+    model = train(rows, inverse_frequencies(own))
+    del got, rows
+    give_back()
+    return model
 
 
 def _letterless_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import labelled_sample, trainable
-from corvine.runtime import drop_materialized, materialize, slices
+from corvine.runtime import drop_materialized, give_back, materialize, slices
 
 BITS, EPOCHS, RATE, PENALTY, CACHE = 18, 6, 4.0, 1e-6, 120_000
 TRAIN_ROWS = {1: 2000, 0: 2000}
@@ -197,7 +197,10 @@ def fit(documents: DataFrame) -> QualityModel:
     sample = labelled_sample(docs, marks, "likely", TRAIN_ROWS).mapInArrow(_feature_batches(labels), "p double, i array<int>, n array<long>, _h long")
     got = sample.toArrow().sort_by([("_h", "ascending"), ("p", "ascending")])
     drop_materialized(voted)
-    return train_scorer(labels, [(p.as_py(), i.values.to_numpy(), n.values.to_numpy()) for p, i, n in zip(got["p"], got["i"], got["n"], strict=True) if len(i)])
+    model = train_scorer(labels, [(p.as_py(), i.values.to_numpy(), n.values.to_numpy()) for p, i, n in zip(got["p"], got["i"], got["n"], strict=True) if len(i)])
+    del got
+    give_back()
+    return model
 
 
 def _score_batches(model: QualityModel):

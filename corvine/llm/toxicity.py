@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.sampling import crc_mod, labelled_sample, trainable
-from corvine.runtime import drop_materialized, materialize, slices
+from corvine.runtime import drop_materialized, give_back, materialize, slices
 
 BUCKETS, DIM, TOP, NGRAMS = 1 << 17, 16, 4, (3, 4, 5)
 TRAIN_ROWS = {1: 2000, 0: 4000}
@@ -269,6 +269,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out_mod: int = 5) -> Toxic
         return train(first.sort_by([("word", "ascending"), ("toxic", "ascending")]), pick)
     finally:
         drop_materialized(rows)
+        give_back()
 
 
 def _score_batches(scorer: WordScorer | None):
