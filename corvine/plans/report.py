@@ -19,8 +19,8 @@ from corvine.operators.filters import FilterError
 from corvine.plans.checks import RATES, CostError
 from corvine.sources.points import CollectionMismatch
 
-UNBILLED = "unbilled: every provider in this run is fake, so nothing is priced"
-HIDDEN_CAUSE = "The query could not be completed because a service dependency failed."
+UNBILLED = "stand-in models only, no bill"
+HIDDEN_CAUSE = "Something this answer relies on is not working; nothing more is told here."
 MARKER = re.compile(r"\[(\d+)\]")
 
 
@@ -118,18 +118,18 @@ def build_report(case_ids: Sequence[Any], total: int, about: Mapping[str, Any],
 
 
 def preflight(calls: Any, expected: float, bound: float, billed: bool) -> list[str]:
-    ops = f"chunks to embed={calls.document_embeddings}; query embeddings={calls.query_embeddings}; generations={calls.generations}; judge calls={calls.judge_calls}"
+    ops = f"vectors of chunks {calls.document_embeddings}, of questions {calls.query_embeddings}; answers {calls.generations}; judgements {calls.judge_calls}"
     if not billed:
-        return [f"Cost preflight: $0.00 ({UNBILLED}).", f"  local operations: {ops}"]
-    return ["Cost preflight (USD; rate assumptions per 1M tokens):", *[f"  {m}: ${r:.4f}" for m, r in RATES.items()], f"  {ops}; expected=${expected:.4f}; upper bound=${bound:.4f}"]
+        return [f"Planned spend: 0 USD, {UNBILLED}", f"  work on this machine: {ops}"]
+    return ["Planned spend, by assumed USD for a million tokens:", *[f"  {m} {r:.4f}" for m, r in RATES.items()], f"  {ops}", f"  about {expected:.4f} USD, no more than {bound:.4f}"]
 
 
 def spend_summary(expected: float, bound: float, actual: float, billed: bool) -> str:
     if billed:
-        return f"Cost summary: bound=${bound:.6f}; expected=${expected:.6f}; actual=${actual:.6f}"
+        return f"Spent {actual:.6f} USD; planned {expected:.6f}, allowed {bound:.6f}"
     if actual:
         raise CostError(f"a run that nothing was priced for spent ${actual:.6f}")
-    return f"Cost summary: $0.00 ({UNBILLED})."
+    return f"Spent 0 USD, {UNBILLED}"
 
 
 def answer_segments(answer: str, valid: Sequence[int]) -> list[dict[str, Any]]:

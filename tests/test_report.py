@@ -39,8 +39,8 @@ def test_errors():
 
 def test_texts():
     calls = checks.Calls(1, 2, 3, 0)
-    assert report.preflight(calls, 0, 0, False)[0].startswith("Cost preflight: $0.00") and len(report.preflight(calls, 1, 2, True)) == 5
-    assert report.spend_summary(0, 0, 0.0, False).startswith("Cost summary: $0.00")
+    assert report.preflight(calls, 0, 0, False)[0].startswith("Planned spend: 0 USD") and len(report.preflight(calls, 1, 2, True)) == 6
+    assert report.spend_summary(0, 0, 0.0, False).startswith("Spent 0 USD")
     with pytest.raises(checks.CostError):
         report.spend_summary(0, 0, 0.1, False)
     r = report.build_report(["a"], 5, {"embedder": "hash", "llm": "real"}, tier2={"x": 1})
