@@ -35,8 +35,8 @@ SHORT_WORDS = rf"(?<!{WORD})(?:[al]?gplv?[0-9]?|gfdl|bsd|mpl|epl|cddl|eupl|asl|o
 
 KEYWORDS = tuple(dict.fromkeys(r.keyword for r in RULES))
 
-#: Detections are ordered by where they start, and each is compared with so many before and after it;
-#: intervals are a few dozen words long, so those that overlap lie within that.
+#: Detections are ordered by where they start, and each is compared with so many before and after it.
+#: Where one further off may overlap it, as the text's longest detection tells, it is compared with all.
 NEAR = 256
 
 
@@ -94,11 +94,14 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
         lambda d: F.struct(d["label"].alias("label"), d["p"].alias("p"), d["s"].alias("s"), d["e"].alias("e")))
 
     def beaten(d: Column, i: Column) -> Column:
+        before, after = F.get("all", i - NEAR - 1)["s"], F.get("all", i + NEAR + 1)["s"]
+        enough = F.coalesce(before + F.col("longest") <= d["s"], F.lit(True)) & F.coalesce(after >= d["e"], F.lit(True))
         near = F.slice("all", F.greatest(i + 1 - NEAR, F.lit(1)), F.lit(2 * NEAR + 1))
-        return F.exists(near, lambda e: (e["label"] != d["label"]) & (
+        return F.exists(F.when(enough, near).otherwise(F.col("all")), lambda e: (e["label"] != d["label"]) & (
             ((e["s"] <= d["s"]) & (e["e"] >= d["e"]) & (e["e"] - e["s"] > d["e"] - d["s"])) | ((e["s"] < d["e"]) & (d["s"] < e["e"]) & (e["p"] > d["p"]))))
 
-    run = run.withColumn("all", everything).withColumn("kept", F.filter("all", lambda d, i: (d["p"] == 99) | ~beaten(d, i)))
+    run = run.withColumn("all", everything).withColumn("longest", F.array_max(F.transform("all", lambda d: d["e"] - d["s"])))
+    run = run.withColumn("kept", F.filter("all", lambda d, i: (d["p"] == 99) | ~beaten(d, i)))
     label_list = lambda c: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda d: d["label"]))), ","), F.lit(""))
     starts = F.transform("base", lambda d: d["s"])
     strength = F.array_max(F.transform("kept", lambda d: F.least(d["p"], F.lit(10)) / F.lit(10.0)))

@@ -2,6 +2,7 @@ import re
 from itertools import product
 from re import _parser
 
+from corvine.llm import license_scan
 from corvine.llm.license_rules import BASE, RULES
 from corvine.llm.license_scan import SHORT, SHORT_WORDS, STEMS, scan_licenses
 
@@ -39,6 +40,15 @@ def test_matches_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(CASES)}
 
 
+def test_suppression_beyond_near_detections(spark, monkeypatch):
+    texts = [t for t in CASES if t] + ["GNU General Public License version 3 " * 50 + "Creative Commons Attribution NonCommercial 4.0 International License " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for near in (0, 1):
+        monkeypatch.setattr(license_scan, "NEAR", near)
+        got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in scan_licenses(df).collect()}
+        assert got == {i: brute(t)[4:] for i, t in enumerate(texts)}
+
+
 def test_documents_and_repeats(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(docs.limit(3))
