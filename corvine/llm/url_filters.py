@@ -47,7 +47,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("login page", "block", r"://[^?#]*/(?:user/)?login(?:[/?#.]|$)", ("login",)),
     Pattern("sign-up page", "block", r"://[^?#]*/signup(?:[/?#.]|$)", ("signup",)),
     Pattern("cart", "block", r"://[^?#]*/cart/(?:add|checkout)(?:[/?#]|$)", ("cart",)),
-    Pattern("ad server", "block", r"://(?:ads|adserver|doubleclick)\.[^/]*/", ()),
+    *(Pattern("ad server", "block", rf"://{w}\.[^/]*/", (w,)) for w in ("ads", "adserver", "doubleclick")),
     Pattern("feed click", "block", r"[?&]utm_source=ads(?:&|#|$)", ("utm", "source", "ads")),
     Pattern("session in query", "block", r"[?&]phpsessid=[0-9a-f]{16,}", ("phpsessid",)),
     Pattern("calendar trap", "block", r"/calendar/[0-9]{4}/[0-9]{1,2}(?:[/?#]|$)", ("calendar",)),

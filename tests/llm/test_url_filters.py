@@ -43,6 +43,17 @@ def test_whole_table_and_few_candidates(spark):
     assert sum(r.n_candidates for r in out) < 6 * len(out)
 
 
+def test_ad_servers_are_fetched_by_token(spark):
+    urls = ["https://ads.x.io/p", "http://adserver.a/", "http://doubleclick.net.io/x", "http://loads.x.io/", "http://x.io/ads.html"]
+    got = [(r.pattern, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == [("ad server", "block")] * 3 + [(None, "allow")] * 2 == [brute(u)[:2:-1] for u in urls]
+
+
+def test_urls_without_tokens_of_rules_fetch_none(spark):
+    assert all(p.tokens for p in PATTERNS)
+    assert judge_urls(spark.createDataFrame([(1, "http://x.io/y"), (2, None)], "page_id long, url string")).where("n_candidates > 0").count() == 0
+
+
 def test_patterns_hold_their_tokens():
     for u in filter(None, URLS):
         for p in PATTERNS:
