@@ -36,8 +36,10 @@ class PointsTable:
         out = self._fs.create(self._p("table.json.new"), True)
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._p("table.json"), False)
-        self._fs.rename(self._p("table.json.new"), self._p("table.json"))
+        over = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
+        over[0] = self._hadoop.Options.Rename.OVERWRITE
+        files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        files.rename(self._p("table.json.new"), self._p("table.json"), over)
 
     def ensure(self, dim: int, sparse: bool = True, distance: str = "cosine", recreate: bool = False) -> bool:
         """True if the table was made; an existing one must have this shape."""
