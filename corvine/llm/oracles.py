@@ -123,4 +123,54 @@ SELECT {columns}, (epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest
 WHERE epochs + CASE WHEN epochs < {plan.max_epochs} AND cum <= rest THEN 1 ELSE 0 END > 0"""
 
 
-ORACLES = {"op2_jaccard_join": _OP2, "op4_url_filters": _op4(), "op3_mixing": mixing_sql(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10}
+_OP11 = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT k, xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda h, i: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM named)),
+marred AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM named JOIN summed USING (k) WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM marred),
+rows_ AS MATERIALIZED (
+  SELECT conv_id, pos, turn, role, text, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM ordered),
+grammar(state, initial, role, next) AS (VALUES (0, 's', '', 1), (0, 'u', 'user:', 2), (1, 'u', 'user:', 2), (2, 'a', 'assistant:', 3), (3, 'u', 'user:', 2)),
+states(state) AS (VALUES (0), (1), (2), (3)),
+inserts AS (
+  SELECT state, '' AS edits, []::VARCHAR[] AS lines, state AS next FROM states
+  UNION ALL SELECT state, 'I', [role], next FROM grammar WHERE role <> ''
+  UNION ALL SELECT a.state, 'II', [a.role, b.role], b.next FROM grammar a JOIN grammar b ON a.next = b.state WHERE a.role <> '' AND b.role <> ''),
+moves AS MATERIALIZED (
+  SELECT state, edits || 'D' AS edits, lines, NULL::VARCHAR AS initial, NULL::VARCHAR AS role, next, 3 * length(edits) + 4 AS cost FROM inserts
+  UNION ALL SELECT i.state, i.edits || 'K', i.lines, g.initial, NULL, g.next, 3 * length(i.edits) FROM inserts i JOIN grammar g ON g.state = i.next
+  UNION ALL SELECT i.state, i.edits || 'R', i.lines, NULL, g.role, g.next, 3 * length(i.edits) + 3 FROM inserts i JOIN grammar g ON g.state = i.next WHERE g.role <> ''),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM rows_
+  UNION ALL
+  SELECT d.conv_id, d.pos + 1, m.next, min({'cost': d.best.cost + m.cost + CASE WHEN r.fault = 'truncated' AND NOT ends_with(m.edits, 'D') THEN 3 ELSE 0 END, 'audit': d.best.audit || m.edits,
+    'lines': d.best.lines || m.lines || CASE WHEN ends_with(m.edits, 'D') THEN [] WHEN m.role IS NULL THEN [r.role || ':' || r.text] ELSE [m.role || r.text] END})
+  FROM dp d JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.pos = d.pos
+    JOIN moves m ON m.state = d.state AND (m.initial IS NULL OR m.initial = r.initial) AND (ends_with(m.edits, 'D') OR r.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY d.conv_id, d.pos, m.next),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+ended AS (
+  SELECT c.conv_id, min({'cost': d.best.cost + 3 * length(i.edits), 'audit': d.best.audit || i.edits, 'lines': d.best.lines || i.lines}) AS best
+  FROM counted c JOIN dp d ON d.conv_id IS NOT DISTINCT FROM c.conv_id AND d.pos = c.n JOIN inserts i ON i.state = d.state WHERE i.next = 3 OR (i.next = 0 AND i.edits = '')
+  GROUP BY c.conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+ORACLES = {"op2_jaccard_join": _OP2, "op4_url_filters": _op4(), "op3_mixing": mixing_sql(), "op5_embedding_dedup": _OP5, "op10_chat_formatting": _OP10, "op11_conversation_repair": _OP11}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, quality, toxicity, url_filters
-from corvine.runtime import few_rows_per_batch, table
+from corvine.llm import chat_format, conversation_repair, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, mixing, quality, token_output, toxicity, url_filters
+from corvine.runtime import few_rows_per_batch, scratch_root, table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,36 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """Rows with one of five kinds of damage, chosen by the checksum of conversation and turn; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), (F.crc32(F.concat_ws(":", text("conv_id"), text("turn"))) % 20).alias("kind")).where("kind <> 0")
+    marred = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": marred, "role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))).drop("copy", "kind")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_per_batch(spark)
+    rows = table(spark, sf_dir, "conversations")
+    out = conversation_repair.repair_conversations(damaged_turns(rows))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    out = out.select(F.col("conv_id").alias("_id"), *conversation_repair.COUNTS, "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+    every = rows.select("conv_id").distinct()
+    out = every.join(out, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversation_repair.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files stay in a folder of their own under the shared one."""
+    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
+    token_output.write_token_blocks(_texts(spark, sf_dir), path)
+    return token_output.read_token_blocks(spark, path, digest_only=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_jaccard_join, op3_mixing, op4_url_filters, op5_embedding_dedup, op6_license_scan, op7_quality, op8_language_id, op9_toxicity, op10_chat_formatting,
+    op11_conversation_repair, op12_token_output,
 )}

@@ -13,12 +13,13 @@ PROMISED = {
     "op6_license_scan": ("documents", "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"),
     "op7_quality": ("documents", "doc_id bigint, score double, kept boolean"),
     "op8_language_id": ("documents", "doc_id bigint, held_out boolean, lang_pred string, score double"),
+    "op12_token_output": ("documents", "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"),
     "op9_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13)) and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", PROMISED)
@@ -30,6 +31,13 @@ def test_rows_and_columns(spark, sf_dir, name):
     assert out.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
+def test_repair_returns_every_conversation(spark, sf_dir):
+    out = QUERIES["op11_conversation_repair"](spark, sf_dir)
+    kinds = dict(out.dtypes)
+    assert all(kinds[c] == "bigint" for c in ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")) and kinds["audit"] == kinds["repaired_sha256"] == "string"
+    assert out.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+
+
 def test_contaminated_pairs_hold_their_items(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
