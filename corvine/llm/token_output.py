@@ -7,8 +7,8 @@ table: ``part`` and ``block`` are its place, ``doc_ids`` and ``sizes`` its docum
 blocks independently; where a document's ids start among all ids comes from sums over the ranges, then over the blocks
 of a range.
 
-A piece of text between blanks is tokenised once in a worker and remembered, up to ``REMEMBERED`` pieces: neither the
-vocabulary's normaliser nor its splitting looks across a space or a line break.
+Neither the vocabulary's normaliser nor its splitting looks across a space or a line break, so the distinct pieces between
+those are tokenised once for many texts, and words of Latin letters are remembered by a worker, up to ``REMEMBERED``.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; rows that share a doc_id are
 ordered by a hash of their texts, and those that are equal in both are alike, so their order does not matter; each row is a
@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +32,18 @@ from pyspark.sql import functions as F
 from corvine.llm.token_codec import BlockError, decode_block, encode_block
 from corvine.runtime import broadcast_if_small, slices
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 END_ID = 1
-REMEMBERED = 600_000
-#: Pieces that go through the library in one text, between separators that none of them holds.
-JOINED = 1000
-#: An ASCII letter and one final mark: the vocabulary's pattern always cuts between them.
-_MARKED = re.compile(r"[A-Za-z][.,;:!?]", re.A)
+#: Words that a worker remembers; beyond them it forgets the older half.
+REMEMBERED = 800_000
+#: Bytes of text that are tokenised at a time.
+TURN_BYTES = 16 << 20
+#: A word of Latin letters, and at most one final mark. The vocabulary's normaliser only lower-cases it, and its pattern
+#: always cuts between letters and mark, so the model's own ids of both are those of the piece.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: The model's spelling of bytes: those that print stand for themselves, the others for characters from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: b for b in _PRINT} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PRINT))}
 
 
 def default_vocabulary() -> str:
@@ -47,51 +53,53 @@ def default_vocabulary() -> str:
 
 
 class PieceTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes, by way of their pieces."""
+    """Ids of whole texts by way of their distinct pieces between blanks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
-
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        """The library's ids of each piece; many go in one text, cut at the separator's id."""
-        plain = [p for p in pieces if "|" not in p] if len(self.bar) == 1 else []
-        if plain:
-            found = iter(self._cut(plain))
+        self.known: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in ",.;:!?"} | {"": b""}
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Of a lower-case word of Latin letters: the model alone, in its spelling of bytes."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each piece."""
+        if len(self.known) > REMEMBERED:
+            self.known = dict(list(self.known.items())[len(self.known) // 2 :])
+        out, known = [], self.known
         for p in pieces:
-            if plain and "|" not in p:
-                yield next(found)
-            else:
-                yield np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _cut(self, plain: list[str]) -> Iterator[bytes]:
-        texts = [" | ".join([*plain[k : k + JOINED], ""]) for k in range(0, len(plain), JOINED)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            ends, raw, start = np.flatnonzero(ids == self.bar[0]).tolist(), ids.tobytes(), 0
-            for end in ends:
-                yield raw[4 * start : 4 * end]
-                start = end + 1
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = [p for p in pieces if p]
-        marked = {p: (p[:-1], p[-1]) for p in new if _MARKED.fullmatch(p[-2:])}
-        asked = {x for pair in marked.values() for x in pair} | {p for p in new if p not in marked}
-        asked = [x for x in asked if x not in self.known]
-        self.known.update(zip(asked, self._encode(asked), strict=True))
-        self.known.update((p, self.known[a] + self.known[b]) for p, (a, b) in marked.items())
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        for pieces in split:
-            yield b"".join(map(self.known.__getitem__, pieces))
+            plain = _PLAIN.fullmatch(p)
+            word = plain[1].lower() if plain else p
+            found = known.get(word)
+            if found is None:
+                found = known[word] = self._word(word) if plain else self._whole(p)
+            out.append(found + self.marks[plain[2]] if plain else found)
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; nulls count as empty."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        raw = self.ids_of(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = sizes.take(at)
+        ends = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes).take(at)
+        first -= ends - n
+        where = np.repeat(first, n)
+        where += np.arange(len(where))
+        ids = np.frombuffer(b"".join(raw), "<u4").take(where)
+        cuts = np.concatenate(([0], ends)).take(split.offsets.to_numpy() - split.offsets[0].as_py())
+        return ids, np.diff(cuts)
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
@@ -104,34 +112,35 @@ def _tokenizer(path: str) -> PieceTokenizer:
     return _tokenizers[path]
 
 
-#: Texts of so many characters, or fewer rows, are tokenised at a time.
-_TURN_CHARS = 4 << 20
-
-
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts, of ``TURN_BYTES`` or one text more at a time."""
     ids: list = []
-    texts: list = []
+    texts: list[pa.Array] = []
     held = 0
     for batch in slices(batches):
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = t.as_py() or ""
-            ids.append(i)
-            texts.append(text)
-            held += len(text)
-            if held >= _TURN_CHARS:
-                yield ids, texts
+        column = batch.column(1)
+        size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            to = min(int(np.searchsorted(size, before + TURN_BYTES - held)) + 1, batch.num_rows)
+            ids += batch.column(0).slice(at, to - at).to_pylist()
+            texts.append(column.slice(at, to - at))
+            held, at = held + int(size[to - 1]) - before, to
+            if held >= TURN_BYTES:
+                yield ids, pa.concat_arrays(texts)
                 ids, texts, held = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, pa.concat_arrays(texts)
 
 
 def _pack(path: str, block_ids: int, end_id: int, kind: pa.DataType):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     names = ["part", "block", "doc_ids", "sizes", "n_tokens", "payload"]
 
-    def block(part: int, number: int, docs: list, parts: list[bytes]) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        sizes = [len(p) // 4 for p in parts]
+    def block(part: int, number: int, docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        sizes = [len(p) + 1 for p in parts[::2]]
         return pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())),
             pa.array([len(ids)], pa.int64()), pa.array([encode_block(ids)], pa.binary())], names)
@@ -139,13 +148,15 @@ def _pack(path: str, block_ids: int, end_id: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, number = _tokenizer(path), TaskContext.get().partitionId(), 0
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []  # ids and the end id of each document
         held = 0
-        for ids, texts in _turns(batches):
-            for i, raw in zip(ids, tokens(texts), strict=True):
-                docs.append(i)
-                parts.append(raw + end)
-                held += len(raw) // 4 + 1
+        for keys, texts in _turns(batches):
+            ids, counts = tokens(texts)
+            at = 0
+            for key, n in zip(keys, counts.tolist(), strict=True):
+                docs.append(key)
+                parts += (ids[at : at + n], end)
+                at, held = at + n, held + n + 1
                 if held >= block_ids:
                     yield block(part, number, docs, parts)
                     docs, parts, held, number = [], [], 0, number + 1
