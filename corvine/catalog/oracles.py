@@ -145,7 +145,7 @@ FINAL = f"CASE WHEN reason IS NULL THEN answer ELSE '{REFUSAL}' END"
 SAID = "said_ AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
 # the split that keeps a trailing marker with its sentence: a mark behind each end that no "[digit" follows
 CLAIMS = r"list_filter(list_transform(string_split(regexp_replace(trim(text, BLANKS), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, BLANKS)), lambda s: length(s) >= 24 AND NOT regexp_matches(s, '\[\d+\]'))".replace("BLANKS", BLANKS)
-HALVES = "points AS (SELECT doc_id AS point_id, source, sha256(coalesce(text, '')) AS content FROM documents), old AS (SELECT * FROM points WHERE point_id % 3 <> 0), new AS (SELECT point_id, source, content || '-new' AS content FROM points WHERE point_id % 2 = 0)"
+VERSIONS = "old AS (SELECT doc_id AS point_id, source, sha256(coalesce(text, '')) AS content FROM documents), new AS (SELECT 2 * point_id AS point_id, source, content || '-new' AS content FROM old)"
 PAIRS = "pairs AS (SELECT doc_id, lang, quality = 1 AS a, toxic = 0 AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
 GOLDEN = f"""golden AS (
   SELECT 'q' || (item_id - CASE WHEN item_id % 9 = 8 THEN 1 ELSE 0 END) AS id, CASE WHEN item_id % 10 = 9 THEN 'same question' ELSE text END AS question,
@@ -183,6 +183,8 @@ ORACLES: dict[str, str] = {
   0.0::DOUBLE AS invalid_marker_rate, round(avg((refused = unanswerable)::INT), 4) AS refusal_accuracy, round(avg(faithfulness), 4) AS faithfulness, round(avg(relevance), 4) AS relevance FROM tier2""",
     "tokenize_terms": f"WITH {DOCS}, {TOK} SELECT doc_id, len(terms)::INT AS n_terms, len(list_distinct(terms))::INT AS n_distinct, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM tok",
     "term_hash": f"WITH {ASKED} SELECT DISTINCT term, {INDEX}::INT AS term_idx FROM (SELECT unnest({terms('text')}) AS term FROM questions)",
+    "posting_search_topk": f"WITH {DOCS}, {ASKED}, {TOK}, {WEIGHTS}, {SPARSE} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 10",
+    "posting_statistics": f"WITH {DOCS}, {TOK} SELECT term, count(*)::BIGINT AS df FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM tok) GROUP BY term UNION ALL SELECT NULL, count(*)::BIGINT FROM tok",
     "bm25_corpus_stats": f"WITH {DOCS}, {TOK} SELECT count(*)::BIGINT AS document_count, round(sum(len(terms)) / count(*), 6) AS average_length, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM tok))::BIGINT AS vocabulary_size FROM tok",
     "bm25_document_weights": f"WITH {DOCS}, {TOK}, {WEIGHTS} SELECT doc_id, term, round(w, 6) AS weight FROM weights",
     "sparse_vectors": f"WITH docs AS (SELECT item_id AS doc_id, text FROM benchmark), {TOK}, {WEIGHTS} SELECT doc_id AS item_id, list({INDEX}::INT ORDER BY {INDEX}) AS indices, list(round(w, 6) ORDER BY {INDEX}) AS weights FROM weights GROUP BY doc_id",
@@ -204,7 +206,7 @@ prompts AS (SELECT q.query_id, 'Context blocks:' || chr(10) || chr(10) || coales
   FROM questions q LEFT JOIN (SELECT * RENAME (text AS body) FROM picked) p ON p.query_id = q.query_id GROUP BY q.query_id, q.text)
 SELECT query_id, length(p)::INT AS prompt_chars, sha256(p) AS prompt_sha256 FROM prompts""".replace("|| chr(10) || text,", "|| chr(10) || body,"),
     "extractive_answer": ONE.replace("WITH ", "WITH RECURSIVE ", 1) + "," + answers("one") + f" SELECT query_id, {FINAL} AS answer, reason IS NOT NULL AS refused, CASE WHEN reason IS NULL THEN n_blocks ELSE 0 END::INT AS hits_used FROM answered",
-    "refusal_reasons": f"WITH RECURSIVE {DOCS}, {ASKED}, {DENSE}, near AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score, rank FROM dense WHERE query_id % 7 <> 0)," + answers("near", 2) + " SELECT coalesce(reason, 'answered') AS reason, count(*)::BIGINT AS questions FROM answered GROUP BY 1",
+    "refusal_reasons": f"WITH RECURSIVE {DOCS}, {ASKED}, {DENSE}, near AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score, rank FROM dense JOIN docs USING (doc_id) WHERE source IN ('src0', 'src1') AND rank <= 12)," + answers("near", 2) + " SELECT coalesce(reason, 'answered') AS reason, count(*)::BIGINT AS questions FROM answered GROUP BY 1",
     "citation_markers": r"""
 WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text, (turn % 5)::INT AS m FROM conversations WHERE role = 'assistant'),
 found AS (SELECT *, list_filter([m, 2, 9, 1], lambda x: x BETWEEN 1 AND 3) AS good, list_filter([m, 2, 9, 1], lambda x: x NOT BETWEEN 1 AND 3) AS bad FROM said),
@@ -238,9 +240,9 @@ SELECT page_id, heads[1] AS h1, array_to_string(tags, '|') AS tags FROM h""",
     "stream_pieces": f"WITH {SAID} SELECT conv_id, turn, (len(string_split(text, ' ')) - CASE WHEN text = '' OR ends_with(text, ' ') THEN 1 ELSE 0 END)::INT AS pieces, sha256(text) AS text_sha256 FROM said_",
     "first_cited_sentences": f"WITH {DOCS}, f AS (SELECT doc_id, {first_sentence('text')} AS s FROM docs) SELECT doc_id, CASE WHEN s <> '' THEN {cite('s', '3')} END AS cited FROM f",
     "filter_predicates": "SELECT doc_id, source, lang FROM documents WHERE source IN ('src3', 'src4') AND (lang = 'de' OR source = 'de')",
-    "incremental_anti_join": f"WITH {HALVES} SELECT * FROM new WHERE point_id NOT IN (SELECT point_id FROM old)",
-    "upsert_merge": f"WITH {HALVES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE point_id NOT IN (SELECT point_id FROM new)",
-    "existing_point_ids": f"WITH {HALVES} SELECT point_id FROM new WHERE point_id IN (SELECT point_id FROM old)",
+    "incremental_anti_join": f"WITH {VERSIONS} SELECT * FROM new WHERE point_id NOT IN (SELECT point_id FROM old)",
+    "upsert_merge": f"WITH {VERSIONS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE point_id NOT IN (SELECT point_id FROM new)",
+    "existing_point_ids": f"WITH {VERSIONS} SELECT point_id FROM new WHERE point_id IN (SELECT point_id FROM old)",
     "point_count": "SELECT count(*)::BIGINT AS points FROM documents",
     "embedder_models": "SELECT DISTINCT 'model-' || lang AS embedded_model FROM documents WHERE doc_id % 5 BETWEEN 1 AND 3",
     "corpus_identity_hash": f"WITH {DOCS} SELECT sha256(string_agg(source_path || chr(0) || sha256(text) || chr(0), '' ORDER BY source_path, sha256(text))) AS corpus_hash, count(*)::BIGINT AS doc_count FROM docs",

@@ -6,18 +6,21 @@ the questions; a question expects the documents that hold it verbatim, and is un
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.config import PromptSettings, RetrievalSettings
 from corvine.functions import identity
 from corvine.functions import text as tx
-from corvine.operators import answer, bm25, chunking, context, dense, fusion, rerank
+from corvine.operators import answer, bm25, chunking, containment, context, dense, fusion
 from corvine.operators.filters import build_filter
 from corvine.plans import checks, evaluate, ingest, stats
 from corvine.plans.retrieve import Corpus, answer_batch, branches, reranked, retrieve, with_payload
-from corvine.runtime import broadcast_if_small, materialize, table
+from corvine.runtime import materialize, scratch_root, table
 from corvine.sources import points as pt
+from corvine.sources.postings import PostingIndex
 
 PAYLOAD = ["source_path", "title", "heading_path", "text"]
 #: Languages for which an effect is simulated; more raise an error.
@@ -70,6 +73,26 @@ def sparse_search_topk(spark, sf):
     return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _index(spark, sf):
+    """The documents in a posting index, added in two batches."""
+    index = PostingIndex(spark, f"{scratch_root(spark)}/postings-{uuid.uuid4().hex}")
+    early = F.coalesce(F.col("source") < "src5", F.lit(False))
+    for number, part in enumerate((early, ~early)):
+        index.add(docs(spark, sf).where(part), number)
+    return index
+
+
+def posting_search_topk(spark, sf):
+    hits = _index(spark, sf).search(questions(spark, sf), "query_id", 10)
+    return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def posting_statistics(spark, sf):
+    """Document frequency of every term, and the document count under a null term, from stored batches."""
+    index = _index(spark, sf)
+    return index.document_frequencies().unionByName(index.corpus_stats().select(F.lit(None).cast("string").alias("term"), F.col("document_count").alias("df")))
+
+
 def fake_embedding_vectors(spark, sf):
     v = docs(spark, sf).select("doc_id", F.posexplode(identity.hash_vector(F.col("text"))).alias("dim", "x"))
     return v.select("doc_id", "dim", F.round("x", 6).alias("x"))
@@ -158,7 +181,7 @@ def extractive_answer(spark, sf):
 
 def refusal_reasons(spark, sf):
     h, q = _prompt_hits(spark, sf, "dense")
-    r = answer_batch(h.where("query_id % 7 <> 0"), q, "query_id", PromptSettings(max_blocks=2))
+    r = answer_batch(h.where("split_part(source_path, '/', 1) in ('src0', 'src1')"), q, "query_id", PromptSettings(max_blocks=2))
     return r.groupBy(F.coalesce("refusal_reason", F.lit("answered")).alias("reason")).agg(F.count("*").alias("questions"))
 
 
@@ -194,11 +217,9 @@ def judge_reply_scores(spark, sf):
 
 
 def _cases(spark, sf):
-    """Items with the documents that hold them verbatim. Items go out in one bounded broadcast; documents stay where they are."""
+    """Items with the documents that hold them verbatim."""
     q = questions(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
-    d = docs(spark, sf).select("doc_id", F.col("text").alias("body"))
-    q = materialize(q, "questions")
-    pairs = d.join(broadcast_if_small(q.where("text <> ''"), q.count(), 1024), F.contains("body", "text"))
+    pairs = containment.holding(docs(spark, sf).select("doc_id", F.col("text").alias("body")), "doc_id", "body", q, "query_id", "text")
     expected = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
     c = q.join(expected, "query_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<bigint>")))
     n = F.size("expected")
@@ -253,20 +274,17 @@ def _ablation(spark, sf, k=5):
     c, q = corpus(spark, sf), questions(spark, sf)
     cases = materialize(_cases(spark, sf), "cases")
     found = {b: materialize(r, b) for b, r in branches(c, q, "query_id", RetrievalSettings()).items()}
+    fused = {m: fusion.fuse({b: r for b, r in found.items() if m in (b, "hybrid")}, "query_id", "doc_id") for m in ("sparse", "dense", "hybrid")}
+    fused["hybrid"] = materialize(fused["hybrid"], "hybrid")
     parts = None
     for name, (mode, rerank_kind) in evaluate.CONFIGURATIONS.items():
-        fused = fusion.fuse({b: r for b, r in found.items() if mode in (b, "hybrid")}, "query_id", "doc_id")
-        hits = fused.withColumn("rank", F.col("fused_rank"))
+        hits = fused[mode].withColumn("rank", F.col("fused_rank"))
         if rerank_kind != "off":
             hits = reranked(with_payload(hits.where("rank <= 40"), c, ["text"]), q, "query_id", rerank_kind, k)
         part = hits.where(F.col("rank") <= k).select(F.col("query_id").alias("id"), "doc_id", "rank", F.lit(name).alias("config"))
         parts = part if parts is None else parts.unionByName(part)
     grid = cases.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in evaluate.CONFIGURATIONS], "config string")))
-    rows = None
-    for name in evaluate.CONFIGURATIONS:
-        one = evaluate.tier1_cases(grid.where(F.col("config") == name), parts.where(F.col("config") == name).drop("config"), "doc_id")
-        rows = one if rows is None else rows.unionByName(one)
-    return materialize(rows, "ablation")
+    return materialize(evaluate.tier1_cases(grid, parts, "doc_id", ["config"]), "ablation")
 
 
 def ablation_modes(spark, sf):
@@ -357,22 +375,28 @@ def filter_predicates(spark, sf):
     return flt.apply(docs(spark, sf)).select("doc_id", "source", "lang")
 
 
-def _halves(spark, sf):
-    d = docs(spark, sf).select(F.col("doc_id").alias("point_id"), "source", F.sha2("text", 256).alias("content"))
-    return d.where("point_id % 3 <> 0"), d.where("point_id % 2 = 0").withColumn("content", F.concat("content", F.lit("-new")))
+def _versions(spark, sf):
+    """Points of all documents, and all of them again under other ids, half of which are known, with other contents."""
+    old = docs(spark, sf).select(F.col("doc_id").alias("point_id"), "source", F.sha2("text", 256).alias("content"))
+    return old, old.select((F.col("point_id") * 2).alias("point_id"), "source", F.concat("content", F.lit("-new")).alias("content"))
 
 
 def incremental_anti_join(spark, sf):
-    old, new = _halves(spark, sf)
+    old, new = _versions(spark, sf)
     return pt.fresh_points(old, new)
 
 
 def upsert_merge(spark, sf):
-    return pt.upserted(*_halves(spark, sf))
+    """Through a stored table: both writes touch only the buckets of their ids."""
+    t = pt.PointsTable(spark, f"{scratch_root(spark)}/points-{uuid.uuid4().hex}")
+    t.ensure(1, sparse=False, buckets=8)
+    for points in _versions(spark, sf):
+        t.upsert(points.withColumn("vector", F.array(F.lit(1.0))))
+    return t.read().drop("vector")
 
 
 def existing_point_ids(spark, sf):
-    old, new = _halves(spark, sf)
+    old, new = _versions(spark, sf)
     return pt.existing_ids(old, new)
 
 
@@ -494,7 +518,7 @@ def ingest_points(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    sparse_search_topk, tokenize_terms, term_hash, bm25_corpus_stats, bm25_document_weights, sparse_vectors, fake_embedding_vectors, dense_knn_cosine,
+    sparse_search_topk, posting_search_topk, posting_statistics, tokenize_terms, term_hash, bm25_corpus_stats, bm25_document_weights, sparse_vectors, fake_embedding_vectors, dense_knn_cosine,
     dense_knn_label_recall, hybrid_rrf_fusion, hybrid_filtered, hybrid_zero_weight_branch, score_threshold_dropped, branch_contribution, rerank_term_coverage,
     context_budget_blocks, prompt_render, extractive_answer, refusal_reasons, citation_markers, uncited_sentences, judge_overlap, judge_reply_scores,
     golden_labels, case_predicates, tier1_per_case, tier1_by_category, hit_at_several_k, tier2_per_case, tier2_aggregates, ablation_modes,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corvine.functions.text import normal_path
+from corvine.functions.text import is_ascii, let, normal_path
 
 #: The URL namespace of name-based UUIDs, index mask, default dimension and names.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -24,11 +23,16 @@ def _bytes(c: Column) -> Column:
 
 
 @F.arrow_udf(StringType())
-def nfc(texts: pa.Array) -> pa.Array:
+def _composed(texts: pa.Array) -> pa.Array:
     """Canonical composition, for which there is no built-in; texts that are composed pass as they are."""
     return pa.array([x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
 
+def nfc(c: Column) -> Column:
+    """The composed text. ASCII is composed already, so only other texts go to a Python worker."""
+    return F.coalesce(_composed(F.when(~is_ascii(c), c)), c)
+
+
 def sha256_text(c: Column) -> Column:
     """Hex digest of the composed text."""
     return F.sha2(nfc(c), 256)
@@ -72,11 +76,6 @@ def hash_vector(text: Column, dim: int = HASH_DIM) -> Column:
     return unit(let(F.concat(*blocks), lambda digits: F.transform(words, lambda i: word(digits, i))))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, though ``body`` may use it for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +49,33 @@ CASELESS = {
 }
 
 
+#: First bytes in UTF-8 of the characters above, in groups; a text without any of them has none of those.
+CASELESS_BYTES = ("C39F", "C5BF", "C589", "C7B0", "E1BA", "EFAC")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though ``body`` may use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def fold(c: Column) -> Column:
-    """Lower case with characters that stand for others written out, as caseless matching has it, where it matters for terms."""
-    out = low = F.lower(c)
-    for x, to in CASELESS.items():
-        out = F.replace(out, F.lit(x), F.lit(to))
-    return F.when(low.rlike(f"[{''.join(CASELESS)}]"), out).otherwise(low)
+    """Lower case with characters that stand for others written out, as caseless matching has it, where it matters for terms.
+
+    ASCII texts, and those in which plain byte searches find none of these characters, are only lower-cased.
+    """
+    def written_out(low: Column) -> Column:
+        out = low
+        for x, to in CASELESS.items():
+            out = F.replace(out, F.lit(x), F.lit(to))
+        raw = low.cast("binary")
+        some = reduce(lambda a, b: a | b, (F.contains(raw, F.unhex(F.lit(h))) for h in CASELESS_BYTES))
+        return F.when(~is_ascii(low) & some, out).otherwise(low)
+
+    return let(F.lower(c), written_out)
 
 
 def _find(c: Column, pattern: str) -> Column:

@@ -24,6 +24,10 @@ class Bm25:
     k1: float = 1.2
     b: float = 0.75
 
+    def __post_init__(self) -> None:
+        if not self.k1 >= 0 or not 0 <= self.b <= 1:
+            raise ValueError("k1 must not be negative and b must lie between 0 and 1")
+
 
 def with_terms(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, terms, length of every document; documents without terms stay, with length 0."""
@@ -48,7 +52,8 @@ def term_counts(tokenised: DataFrame, key: str, wanted: DataFrame | None = None)
     return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def _weight(model: Bm25) -> Column:
+def weight(model: Bm25) -> Column:
+    """Of columns document_count, average_length, df, tf and length."""
     n, df, tf = F.col("document_count"), F.col("df"), F.col("tf")
     idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
     # without any terms in the corpus, a document stands for the average
@@ -62,7 +67,7 @@ def document_weights(tokenised: DataFrame, key: str, model: Bm25 | None = None,
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     rows = counts.join(df, "term")
     rows = rows.crossJoin(F.broadcast(corpus_stats(tokenised)))
-    return rows.select(key, "term", _weight(model or Bm25()).alias("weight"))
+    return rows.select(key, "term", weight(model or Bm25()).alias("weight"))
 
 
 def query_terms(queries: DataFrame, query_key: str, text: str = "text") -> DataFrame:
@@ -91,13 +96,17 @@ def sparse_search(tokenised: DataFrame, key: str, queries: DataFrame, query_key:
         # dealt by key once: counts within documents and sums by query and document need no other exchange
         counts = term_counts(matched.where(F.size("terms") > 0).repartition(key), key)
         rows = counts.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_stats(matched)))
-        weights = rows.select(key, "term", _weight(model).alias("weight"))
+        weights = rows.select(key, "term", weight(model).alias("weight"))
     if restrict is not None:
         weights = weights.join(restrict, key, "left_semi")
     pairs = weights.join(broadcast_if_small(asked, asked.count(), 96), "term")
-    # whole multiples of 2^-40 add up to the same sum in any order
+    return top_k(summed(pairs, query_key, key), query_key, key, k)
+
+
+def summed(weights: DataFrame, query_key: str, key: str) -> DataFrame:
+    """Scores above 0: sums of whole multiples of 2^-40, which are the same in any order."""
     exact = F.sum(F.round(F.col("weight") * F.lit(float(1 << 40))).cast("long")) / F.lit(float(1 << 40))
-    return top_k(pairs.groupBy(query_key, key).agg(exact.alias("score")).where("score > 0"), query_key, key, k)
+    return weights.groupBy(query_key, key).agg(exact.alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, k: int) -> DataFrame:

@@ -37,12 +37,12 @@ def _gain(position: Column) -> Column:
 def tier1_cases(cases: DataFrame, hits: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
     """Per case: scored, hit, hit_rank, recall, reciprocal_rank, ndcg, retrieved.
 
-    ``hits``: id, key, rank (and the columns ``by``, which multiply the cases). The reciprocal rank looks at the raw
+    ``hits``: id, key, rank (and the columns ``by``, which multiply the cases, or are columns of the cases too). The reciprocal rank looks at the raw
     list, nDCG at the list without repeats; the ideal counts all expected sources.
     """
     by = by or []
     lists = hits.groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("k")))).alias("h"))
-    rows = cases.join(lists, "id", "left").withColumn("retrieved", F.coalesce(F.transform("h", lambda x: x["k"]), F.array().cast(f"array<{hits.schema[key].dataType.simpleString()}>")))
+    rows = cases.join(lists, ["id", *[b for b in by if b in cases.columns]], "left").withColumn("retrieved", F.coalesce(F.transform("h", lambda x: x["k"]), F.array().cast(f"array<{hits.schema[key].dataType.simpleString()}>")))
     seen = F.array_distinct("retrieved")
     want = F.array_distinct("expected")
     first = F.array_min(F.filter(F.transform("h", lambda x: F.when(F.array_contains("expected", x["k"]), x["rank"])), lambda r: r.isNotNull()))
@@ -52,7 +52,7 @@ def tier1_cases(cases: DataFrame, hits: DataFrame, key: str, by: list[str] | Non
     on = scorable()
     zero = lambda c: F.when(on, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
     return rows.select(
-        *cases.columns, *by, on.alias("scored"), (on & first.isNotNull()).alias("hit"), F.when(on, first).alias("hit_rank"),
+        *cases.columns, *[b for b in by if b not in cases.columns], on.alias("scored"), (on & first.isNotNull()).alias("hit"), F.when(on, first).alias("hit_rank"),
         zero(F.size(F.array_intersect(seen, want)) / F.size(want)).alias("recall"), zero(F.lit(1.0) / first).alias("reciprocal_rank"),
         zero(gains / ideal).alias("ndcg"), "retrieved")
 
