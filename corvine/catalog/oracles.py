@@ -206,7 +206,7 @@ prompts AS (SELECT q.query_id, 'Context blocks:' || chr(10) || chr(10) || coales
   FROM questions q LEFT JOIN (SELECT * RENAME (text AS body) FROM picked) p ON p.query_id = q.query_id GROUP BY q.query_id, q.text)
 SELECT query_id, length(p)::INT AS prompt_chars, sha256(p) AS prompt_sha256 FROM prompts""".replace("|| chr(10) || text,", "|| chr(10) || body,"),
     "extractive_answer": ONE.replace("WITH ", "WITH RECURSIVE ", 1) + "," + answers("one") + f" SELECT query_id, {FINAL} AS answer, reason IS NOT NULL AS refused, CASE WHEN reason IS NULL THEN n_blocks ELSE 0 END::INT AS hits_used FROM answered",
-    "refusal_reasons": f"WITH RECURSIVE {DOCS}, {ASKED}, {DENSE}, near AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score, rank FROM dense JOIN docs USING (doc_id) WHERE source IN ('src0', 'src1') AND rank <= 12)," + answers("near", 2) + " SELECT coalesce(reason, 'answered') AS reason, count(*)::BIGINT AS questions FROM answered GROUP BY 1",
+    "refusal_reasons": f"WITH RECURSIVE {DOCS}, {ASKED}, {DENSE}, near AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dense JOIN docs USING (doc_id) WHERE source IN ('src0', 'src1') AND rank <= 12)," + answers("near", 2) + " SELECT coalesce(reason, 'answered') AS reason, count(*)::BIGINT AS questions FROM answered GROUP BY 1",
     "citation_markers": r"""
 WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text, (turn % 5)::INT AS m FROM conversations WHERE role = 'assistant'),
 found AS (SELECT *, list_filter([m, 2, 9, 1], lambda x: x BETWEEN 1 AND 3) AS good, list_filter([m, 2, 9, 1], lambda x: x NOT BETWEEN 1 AND 3) AS bad FROM said),
