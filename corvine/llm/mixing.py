@@ -14,7 +14,7 @@ What comes out of that is one cutoff per leaf; the documents are then decided ro
 Defined results: null text has no tokens and is taken wherever its leaf's cutoff takes its place; null
 lang or source is a child named "" of its own; rows that repeat a doc_id share a place, and are taken or
 left together; an empty table gives no rows; weights must be positive; extra columns are kept in
-:func:`mix` and do not matter.
+:func:`mix`, whatever their names, but ``copies``, in any case of letters, is replaced.
 """
 
 from __future__ import annotations
@@ -129,11 +129,16 @@ def leaf_cutoffs(documents: DataFrame, plan: MixPlan) -> DataFrame:
     return materialize(out.select(*TREE, "tokens", "budget", "epochs", F.coalesce(cutoff, F.lit("")).alias("cutoff")), "cutoffs", 200)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def mix(documents: DataFrame, plan: MixPlan | None = None) -> DataFrame:
     """The documents taken at least once, with all their columns and ``copies``, the number of epochs that take them."""
     plan = plan or MixPlan()
     leaves = leaf_cutoffs(documents, plan).select(*[F.col(c).alias(OWN + c) for c in TREE], F.col("epochs").alias(OWN + "epochs"), F.col("cutoff").alias(OWN + "cutoff"))
-    names = [c for c in documents.columns if c != "copies"]
+    names = [quoted(c) for c in documents.columns if c.lower() != "copies"]
     keyed = documents.select(*names, *[k.alias(OWN + c) for k, c in zip(plan.keys(), TREE, strict=True)])
     joined = keyed.join(broadcast_if_small(leaves, leaves.count(), 120), [OWN + c for c in TREE])
     copies = F.col(OWN + "epochs") + (plan.order(F.col(OWN + "epochs") + 1) <= F.col(OWN + "cutoff")).cast("int")
