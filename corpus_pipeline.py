@@ -8,9 +8,9 @@ Defined results: toxicity, language ID and decontamination judge rows by their t
 only those that are rejected go, and rows with a null id are judged like others. Null and empty texts are not toxic
 and match no benchmark; language ID rejects them. The join sees rows that share a doc_id as one document with the links
 of all its texts; of a group the smallest doc_id stays, in one row, the one with the smallest text (null first) and
-then the smallest other columns in their order; rows with a null id all stay. Repeated rows so become one at that
+then the smallest other columns in their order (maps by their JSON); rows with a null id all stay. Repeated rows so become one at that
 stage; ties cannot occur after it. Null lang or source is a child of its own in mixing. Empty tables give no rows.
-Extra columns, whatever their names, are kept, but ``copies`` is replaced by the last stage.
+Extra columns, whatever their names, are kept, but ``copies``, in any case of letters, is replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontaminate, jaccard_join, language_id, mixing, toxicity
+from corvine.llm.mixing import quoted
 from corvine.runtime import broadcast_if_small, drop_materialized, few_rows_per_batch, materialize, row_count, table
 
 #: Language ID rejects texts without letters, and those where no language gets this probability, if any was learned.
@@ -69,10 +70,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         return kept
     # only the rows whose id repeats move
     again = broadcast_if_small(again, row_count(again), 16)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row"))
-    one = one.select("doc_id", *[F.col("__row").getField(c).alias(c) for c in ("text", *rest)])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    # what cannot be ordered, like a map, is ordered by its JSON
+    order = [F.to_json(F.struct(quoted(f.name))) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else quoted(f.name) for f in rest]
+    row = F.struct(*[quoted(c) for c in docs.columns])
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", *order)).alias("__row")).select("__row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns]).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
