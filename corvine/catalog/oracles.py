@@ -281,3 +281,5 @@ SELECT event_type, count(*)::BIGINT AS n, round(max(value) FILTER (i = round_eve
   round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.975), 6) AS type7_975 FROM e GROUP BY event_type""",
     "payload_projection": ONE + """ SELECT query_id, rank::INT AS rank, '{"doc_id":' || doc_id || ',"source_path":"' || source_path || '","score":"' || round(score, 6)::DECIMAL(20, 6) || '","rank":' || rank || '}' AS payload FROM one JOIN docs USING (doc_id) WHERE rank <= 12""",
 }
+
+ORACLES["cached_answers"] = ORACLES["extractive_answer"]

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from corvine.config import PromptSettings, RetrievalSettings
 from corvine.functions import identity
 from corvine.functions import text as tx
-from corvine.operators import answer, bm25, chunking, containment, context, dense, fusion
+from corvine.operators import answer, bm25, chunking, containment, context, dense, fusion, ranks
 from corvine.operators.filters import build_filter
 from corvine.plans import checks, evaluate, ingest, stats
+from corvine.plans.results import ResultTable
 from corvine.plans.retrieve import Corpus, answer_batch, branches, reranked, retrieve, with_payload
 from corvine.runtime import materialize, scratch_root, table
 from corvine.sources import points as pt
@@ -179,6 +180,21 @@ def extractive_answer(spark, sf):
     return answer_batch(h, q, "query_id").select("query_id", "answer", "refused", "hits_used")
 
 
+def cached_answers(spark, sf):
+    """Answers by way of a result table: the second pass over the same questions reads results alone."""
+    t = ResultTable(spark, f"{scratch_root(spark)}/results-{uuid.uuid4().hex}", "answer string, refused boolean, hits_used int")
+    digest = identity.cache_digest(F.col("text"), F.lit(checks.retrieval_fingerprint(mode="sparse", top_k=12)))
+
+    def answer(new):
+        c, q = corpus(spark, sf), new.withColumnRenamed("digest", "query_id")
+        h = with_payload(retrieve(c, q, settings=RetrievalSettings(mode="sparse")), c, PAYLOAD).withColumn("key", F.col("doc_id"))
+        return answer_batch(h, q, "query_id").withColumnRenamed("query_id", "digest")
+
+    q = questions(spark, sf)
+    t.answered(q, "query_id", digest, answer)
+    return t.answered(q, "query_id", digest, answer)
+
+
 def refusal_reasons(spark, sf):
     h, q = _prompt_hits(spark, sf, "dense")
     r = answer_batch(h.where("split_part(source_path, '/', 1) in ('src0', 'src1')"), q, "query_id", PromptSettings(max_blocks=2))
@@ -477,15 +493,14 @@ def cost_preflight(spark, sf):
 
 def load_percentiles(spark, sf):
     """Nearest-rank percentiles by event type: the value at round(p (n - 1)), halves to the even; and an interpolated one."""
-    from pyspark.sql import Window
-
     e = table(spark, sf, "events").where("value is not null")
-    w = Window.partitionBy("event_type")
-    e = e.withColumns({"i": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count("*").over(w)})
-    at = lambda p: F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * p, 0), F.col("value"))), 6)
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"),
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.975), 6).alias("type7_975"))
+    nearest = lambda p: lambda n: F.bround((n - 1) * p, 0)
+    place = lambda n: (n - 1) * 0.975
+    found = ranks.values_at(e, ["event_type"], "value", {"p50": nearest(0.5), "p95": nearest(0.95), "below": lambda n: F.floor(place(n)), "above": lambda n: F.ceil(place(n))})
+    mean = e.groupBy(F.col("event_type").alias("kind")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    between = F.col("below") + (F.col("above") - F.col("below")) * (place(F.col("n")) - F.floor(place(F.col("n"))))
+    return found.join(mean, F.col("event_type").eqNullSafe(F.col("kind"))).select(
+        "event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "least", "most")], "mean", F.round(between, 6).alias("type7_975"))
 
 
 def payload_projection(spark, sf):
@@ -520,7 +535,7 @@ def ingest_points(spark, sf):
 QUERIES = {f.__name__: f for f in (
     sparse_search_topk, posting_search_topk, posting_statistics, tokenize_terms, term_hash, bm25_corpus_stats, bm25_document_weights, sparse_vectors, fake_embedding_vectors, dense_knn_cosine,
     dense_knn_label_recall, hybrid_rrf_fusion, hybrid_filtered, hybrid_zero_weight_branch, score_threshold_dropped, branch_contribution, rerank_term_coverage,
-    context_budget_blocks, prompt_render, extractive_answer, refusal_reasons, citation_markers, uncited_sentences, judge_overlap, judge_reply_scores,
+    context_budget_blocks, prompt_render, extractive_answer, cached_answers, refusal_reasons, citation_markers, uncited_sentences, judge_overlap, judge_reply_scores,
     golden_labels, case_predicates, tier1_per_case, tier1_by_category, hit_at_several_k, tier2_per_case, tier2_aggregates, ablation_modes,
     paired_delta_mcnemar, reportability, bootstrap_ci, scorecard_comparisons, mde, doc_chunk_point_ids, embed_text, token_estimates, path_functions,
     headings_and_tags, comments_stripped, stream_pieces, first_cited_sentences, filter_predicates, incremental_anti_join, upsert_merge, existing_point_ids,

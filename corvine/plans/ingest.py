@@ -2,7 +2,7 @@
 
 Chunks are cut in one narrow stage and written once; statistics and vectors read that. Counters come from one
 aggregate over it. Sparse weights are not stored: search computes them from current statistics, so an
-incremental run cannot leave stale weights behind.
+incremental run cannot leave stale weights behind; a posting index keeps the statistics themselves current.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from corvine.operators import bm25
 from corvine.operators.chunking import ChunkRules, chunk_documents
 from corvine.runtime import materialize
 from corvine.sources.points import PointsTable
+from corvine.sources.postings import PostingIndex
 
 
 def points_of(chunks: DataFrame, run_id: str, dim: int = identity.HASH_DIM, model: str = identity.HASH_MODEL) -> DataFrame:
@@ -34,7 +35,8 @@ class IngestResult:
     stats: dict[str, Any]
 
 
-def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rules: ChunkRules | None = None, incremental: bool = True, dry_run: bool = False) -> IngestResult:
+def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rules: ChunkRules | None = None, incremental: bool = True, dry_run: bool = False, index: PostingIndex | None = None) -> IngestResult:
+    """Points into ``table`` and, if given, their postings into ``index`` (keyed by point_id) as its next batch."""
     rules = rules or ChunkRules()
     chunks = materialize(chunk_documents(documents, rules), "chunks")
     kept = chunks.where("kept")
@@ -54,6 +56,8 @@ def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rul
         else:
             table.upsert(points)
             totals["points_upserted"] = totals["chunks_built"]
+        if index is not None:
+            index.add(kept.select(index.key, F.col("embed_text").alias("text")), max(index.batches(), default=-1) + 1)
     return IngestResult(totals, kept.groupBy("source_path").agg(F.count("*").alias("chunks")), stats)
 
 

@@ -15,6 +15,7 @@ from corvine.config import PromptSettings, RetrievalSettings
 from corvine.functions import identity, text
 from corvine.operators import answer, bm25, context, dense, fusion, rerank
 from corvine.operators.filters import Filter
+from corvine.sources.postings import PostingIndex
 
 MODES = ("dense", "sparse", "hybrid")
 
@@ -25,12 +26,13 @@ class RetrievalError(ValueError):
 
 @dataclass(frozen=True)
 class Corpus:
-    """What is searched: ``points`` has the key, text and payload columns; vectors are computed or given."""
+    """What is searched: ``points`` has the key, text and payload columns; vectors are computed or given, and so are posting lists."""
 
     points: DataFrame
     key: str = "point_id"
     text: str = "text"
     vector: str | None = None
+    postings: PostingIndex | None = None
 
     def tokenised(self) -> DataFrame:
         return bm25.with_terms(self.points, self.key, self.text)
@@ -62,7 +64,10 @@ def branches(corpus: Corpus, queries: DataFrame, query_key: str, s: RetrievalSet
         out["dense"] = dense.dense_search(replace(corpus, points=visible).vectors(), corpus.key, asked, query_key, s.dense_top_k)
     if s.mode != "dense":
         restrict = None if predicate is None else visible.select(corpus.key)
-        out["sparse"] = bm25.sparse_search(corpus.tokenised(), corpus.key, queries, query_key, s.sparse_top_k, restrict=restrict)
+        if corpus.postings is not None:
+            out["sparse"] = corpus.postings.search(queries, query_key, s.sparse_top_k, restrict=restrict)
+        else:
+            out["sparse"] = bm25.sparse_search(corpus.tokenised(), corpus.key, queries, query_key, s.sparse_top_k, restrict=restrict)
     return out
 
 

@@ -1,4 +1,4 @@
-"""Streamed incremental ingest: a file source of documents, new points appended by micro-batch. Inventory 160.
+"""Streamed incremental ingest: a file source of documents, new points appended by micro-batch. Inventory 62, 160.
 
 Appending only unknown point ids makes a batch that is run again add nothing, so the sink is exactly-once in effect.
 """
@@ -6,11 +6,13 @@ Appending only unknown point ids makes a batch that is run again add nothing, so
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvine.operators.chunking import ChunkRules, chunk_documents
 from corvine.plans.ingest import points_of
 from corvine.sources.points import PointsTable
+from corvine.sources.postings import PostingIndex
 
 DOCUMENTS = "source_path string, text string, title string, source string, tags array<string>"
 
@@ -19,12 +21,14 @@ def document_stream(spark: SparkSession, path: str, max_files: int = 64) -> Data
     return spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def ingest_stream(stream: DataFrame, table: PointsTable, checkpoint: str, rules: ChunkRules | None = None, once: bool = True) -> StreamingQuery:
+def ingest_stream(stream: DataFrame, table: PointsTable, checkpoint: str, rules: ChunkRules | None = None, once: bool = True, index: PostingIndex | None = None) -> StreamingQuery:
     """Chunks are cut inside the stream; each micro-batch is joined against the points that are there."""
     chunks = chunk_documents(stream, rules)
 
     def add(batch: DataFrame, number: int) -> None:
         table.append_new(points_of(batch, f"batch-{number}"))
+        if index is not None:  # a batch that is run again replaces its postings
+            index.add(batch.where("kept").select(index.key, F.col("embed_text").alias("text")), number)
 
     writer = chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
