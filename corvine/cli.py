@@ -56,6 +56,9 @@ def run(argv: list[str] | None = None) -> tuple[int, dict]:
     if points is None:
         raise CollectionMismatch(f"the points table at {args.points} is empty")
     assert_embedder(points, identity.HASH_MODEL)
+    tags = [c for c in flt.conditions if c.field == "tags"] if flt else []
+    if tags:  # statistics come from the posting index, so no other file is needed
+        points = table.read_tagged(list(tags[0].values))
     corpus = Corpus(points, vector="vector", text="embed_text", postings=index)
     dim = identity.HASH_DIM
     how = RetrievalSettings(**{**settings.retrieval.__dict__, "mode": args.mode, "top_k": args.k})

@@ -4,12 +4,15 @@ Points are dealt to buckets by a hash of their id. A write makes a new version f
 touches, and then moves the pointer (``table.json``: for each bucket the versions that make it up) in one rename. So an
 upsert rewrites its buckets and no others, an append adds to them, a reader sees the table as it was when it began, and
 a write that broke off leaves the table as it was. A bucket of more than ``MOST_PARTS`` versions is written together.
-Within a bucket points are partitioned by source. One writer at a time.
+Within a bucket points are partitioned by source. Beside each version lies which of its files hold which tags, so a filter
+on tags opens those files only. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,11 @@ MOST_PARTS = 8
 OWN = ("_version", "_bucket")
 
 
+def _stored(schema: StructType) -> dict:
+    """A schema as JSON in which everything may be null, as what comes later may be."""
+    return json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)"\s*:\s*)false', r"\1true", schema.json()))
+
+
 class CollectionMismatch(ValueError):
     """A table or its vectors do not have the expected shape."""
 
@@ -103,10 +111,39 @@ class PointsTable:
         for b in written:
             before = [] if b in replaced else meta["parts"].get(str(b), [])
             meta["parts"][str(b)] = [*before, meta["version"]]
-        meta["schema"] = meta["schema"] or json.loads(StructType([StructField(f.name, f.dataType) for f in points.schema]).json())
+        self._index_tags(points, meta)
+        meta["schema"] = meta["schema"] or _stored(points.schema)
         self._save(meta)
         return written
 
+    def _index_tags(self, points: DataFrame, meta: dict) -> None:
+        """Which files of the version just written hold which tags: a row for each pair, as a folder of its own."""
+        if "tags" not in points.columns:
+            return
+        folder = f"{self.path}/_version={meta['version']}"
+        schema = StructType([points.schema["tags"], StructField(OWN[1], IntegerType())])
+        rows = self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
+        pairs = rows.select(F.explode("tags").alias("tag"), F.col("_metadata.file_path").alias("file"), OWN[1]).distinct()
+        pairs.coalesce(1 + meta["buckets"] // 256).write.mode("overwrite").parquet(f"{self.path}/_tags/{OWN[0]}={meta['version']}")
+
+    def read_tagged(self, tags: list[str]) -> DataFrame | None:
+        """The points that have any of ``tags``, read from the files that hold one of them and from no others."""
+        meta = self._meta()
+        if meta["schema"] is None:
+            return None
+        schema = StructType.fromJson(meta["schema"])
+        live = {(v, int(b)) for b, versions in meta["parts"].items() for v in versions}
+        files: list[str] = []
+        if live and "tags" in schema.names:
+            pairs = self.spark.read.schema(f"tag string, file string, {OWN[1]} int, {OWN[0]} bigint").option("basePath", f"{self.path}/_tags").parquet(*[f"{self.path}/_tags/{OWN[0]}={v}" for v in sorted({v for v, _ in live})])
+            found = pairs.where(F.col("tag").isin(list(tags))).select("file", OWN[0], OWN[1]).distinct().collect()
+            files = sorted(unquote(r["file"]) for r in found if (r[OWN[0]], r[OWN[1]]) in live)
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        whole = StructType([*schema, StructField(OWN[0], LongType()), StructField(OWN[1], IntegerType())])
+        points = self.spark.read.schema(whole).option("basePath", self.path).parquet(*files).select(*[F.col(f"`{f.name}`") for f in schema])
+        return points.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+
     def _checked(self, points: DataFrame, column: str) -> tuple[DataFrame, dict]:
         meta = self._meta()
         validate_points(points, meta["dim"], column)

@@ -100,3 +100,17 @@ def test_one_percent_reads_and_writes_one_percent(spark, n):
     written = t.upsert(many(spark, n, "changed", 100))
     assert len(written) <= n // 100 and len(set(t.read().inputFiles()) - set(before)) <= 4 * len(written)
     assert t.read().where("note = 'changed'").count() == n // 100 and t.count() == n
+
+
+def test_a_tag_is_read_from_its_files_alone(spark, points_table):
+    t = points_table
+    tagged = many(spark, 300).withColumn("tags", F.when(F.col("point_id").isin("p7", "p130"), F.array(F.lit("rare"), F.lit("x"))).when(F.col("point_id") == "p8", F.lit(None)).otherwise(F.array(F.lit("x"))))
+    t.upsert(tagged.withColumn("source", F.when(F.col("source") == "2", "a/b c%d").otherwise(F.col("source"))))
+    ids = lambda df: sorted(r.point_id for r in df.collect())
+    rare = t.read_tagged(["rare"])
+    assert ids(rare) == ["p130", "p7"] and len(rare.inputFiles()) <= 2 < len(t.read().inputFiles())
+    assert len(ids(t.read_tagged(["x"]))) == 299 and ids(t.read_tagged(["none"])) == [] and t.read_tagged(["rare", "none"]).count() == 2
+    t.upsert(points(spark, [("p7", "1")], "changed"))  # its tags are now x alone
+    t.append_new(points(spark, [("q", "1")]).withColumn("tags", F.array(F.lit("rare"))))
+    rare = t.read_tagged(["rare"])
+    assert ids(rare) == ["p130", "q"] and len(rare.inputFiles()) <= 2
