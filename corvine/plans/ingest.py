@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from corvine.functions import identity
 from corvine.operators import bm25
 from corvine.operators.chunking import ChunkRules, chunk_documents
+from corvine.plans.providers import Embedder, build_embedder
 from corvine.runtime import materialize
 from corvine.sources.points import PointsTable
 from corvine.sources.postings import PostingIndex
 
 
-def points_of(chunks: DataFrame, run_id: str, dim: int = identity.HASH_DIM, model: str = identity.HASH_MODEL) -> DataFrame:
+def points_of(chunks: DataFrame, run_id: str, embedder: Embedder | None = None) -> DataFrame:
     """Chunk columns with the vector of the embed text and where it came from."""
+    made = embedder or build_embedder()
     return chunks.where("kept").drop("kept").withColumns({
-        "vector": identity.hash_vector(F.col("embed_text"), dim), "embedded_model": F.lit(model), "ingest_run_id": F.lit(run_id)})
+        "vector": made.vector(F.col("embed_text")), "embedded_model": F.lit(made.model), "ingest_run_id": F.lit(run_id)})
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class IngestResult:
     stats: dict[str, Any]
 
 
-def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rules: ChunkRules | None = None, incremental: bool = True, dry_run: bool = False, index: PostingIndex | None = None) -> IngestResult:
+def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rules: ChunkRules | None = None, incremental: bool = True, dry_run: bool = False, index: PostingIndex | None = None, embedder: Embedder | None = None) -> IngestResult:
     """Points into ``table`` and, if given, their postings into ``index`` (keyed by point_id) as its next batch."""
     rules = rules or ChunkRules()
     chunks = materialize(chunk_documents(documents, rules), "chunks")
@@ -47,8 +49,9 @@ def run_ingest(documents: DataFrame, table: PointsTable | None, run_id: str, rul
     stats = bm25.corpus_stats(tokenised).crossJoin(bm25.vocabulary_size(tokenised)).first().asDict()
     totals |= {"chunks_skipped_unchanged": 0, "points_upserted": 0}
     if table is not None and not dry_run:
-        table.ensure(identity.HASH_DIM)
-        points, before = points_of(chunks, run_id), table.count()
+        embedder = embedder or build_embedder()
+        table.ensure(embedder.dim)
+        points, before = points_of(chunks, run_id, embedder), table.count()
         if incremental:
             table.append_new(points)
             totals["points_upserted"] = table.count() - before
