@@ -1,8 +1,9 @@
 """Exact cosine search of query batches. Inventory 50, 102.
 
-Queries go to the executors in blocks of bounded size; each block meets every vector once, as a matrix
-product per Arrow batch, and a partition keeps no more than k candidates of a query, so what is shuffled is
-k rows for each query and partition. Scores are rounded to nine decimals before they are ranked, so equal
+Queries that fit one block of ``BLOCK_BYTES`` go to the executors as they are; each Arrow batch of vectors is one matrix
+product, and a partition keeps no more than k candidates of a query, so what is shuffled is k rows for each query and
+partition. More queries stay a table: they are dealt to tiles and the vectors to parts, both of at most about a block, and
+every tile meets every part in a task of its own, from one scan of each. Scores are rounded to nine decimals before they are ranked, so equal
 vectors tie whatever the order of summation.
 """
 
@@ -25,9 +26,11 @@ class DimensionError(ValueError):
     """Vectors and queries differ in width."""
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks)
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
@@ -68,14 +71,33 @@ def dense_search(vectors: DataFrame, key: str, queries: DataFrame, query_key: st
     q_kind, kind = queries.schema[query_key].dataType, vectors.schema[key].dataType
     schema = f"`{query_key}` {q_kind.simpleString()}, `{key}` {kind.simpleString()}, score double"
     source = vectors.where(F.col(column).isNotNull()).select(key, column)
-    asked = queries.where(F.col(column).isNotNull()).select(query_key, column).toArrow()
-    out = None
-    width = len(asked[column][0]) if asked.num_rows else 1
-    step = max(1, BLOCK_BYTES // (8 * max(1, width)))
-    for at in range(0, max(1, asked.num_rows), step):
-        part = asked.slice(at, step)
-        run, key_type = _scan(part[query_key].combine_chunks(), _unit(_matrix(part[column])), k, [query_key, key, "score"])
-        key_type[0] = to_arrow_type(kind)
-        found = source.mapInArrow(run, schema) if part.num_rows else source.sparkSession.createDataFrame([], schema)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, query_key, key, k)
+    asked = queries.where(F.col(column).isNotNull()).select(query_key, column)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("width")).first()
+    if not size["n"]:
+        return top_k(source.sparkSession.createDataFrame([], schema), query_key, key, k)
+    names, kinds = [query_key, key, "score"], (to_arrow_type(q_kind), to_arrow_type(kind))
+    row_bytes = 8 * max(1, size["width"])
+    tiles = -(-size["n"] * row_bytes // BLOCK_BYTES)
+    if tiles == 1:
+        held = asked.toArrow()
+        run, key_type = _scan(held[query_key].combine_chunks(), _unit(_matrix(held[column])), k, names)
+        key_type[0] = kinds[1]
+        return top_k(source.mapInArrow(run, schema), query_key, key, k)
+    parts = max(1, -(-source.count() * row_bytes // BLOCK_BYTES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = source.withColumn("_p", deal(key, parts)).withColumn("_t", every(tiles)).groupBy("_p", "_t")
+    right = asked.withColumn("_t", deal(query_key, tiles)).withColumn("_p", every(parts)).groupBy("_p", "_t")
+    return top_k(left.cogroup(right).applyInArrow(_tile(k, names, kinds), schema), query_key, key, k)
+
+
+def _tile(k: int, names: list[str], kinds: tuple[pa.DataType, pa.DataType]):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        ids = queries.column(0).combine_chunks().cast(kinds[0])
+        if not vectors.num_rows or not queries.num_rows:
+            return pa.Table.from_arrays([ids.slice(0, 0), pa.array([], kinds[1]), pa.array([], pa.float64())], names)
+        scan, key_type = _scan(ids, _unit(_matrix(queries.column(1))), k, names)
+        key_type[0] = kinds[1]
+        return pa.Table.from_batches(list(scan(iter(vectors.combine_chunks().to_batches()))))
+
+    return run

@@ -178,3 +178,24 @@ def test_answers_and_refusals(spark, points):
     assert not out[0].refused and out[0].cited == [1, 2] and "[1]." in out[0].answer and out[0].hits_used == 2
     assert out[1].refusal_reason == "no_evidence" and out[1].cited == [] and out[1].hits_used == 0
     assert out[2].refusal_reason == "model_abstained"
+
+
+@pytest.mark.parametrize("block", [64, 640, 32 << 20])
+def test_tiles_of_queries_give_what_one_block_gives(spark, monkeypatch, block):
+    """However many tiles and parts: ties by key, zero vectors, nulls, and no query in the driver beyond one block."""
+    monkeypatch.setattr(dense, "BLOCK_BYTES", block)
+    vectors = [(f"k{i:03}", [float(i % 5), float(i % 3), 1.0 - i % 2] if i % 11 else [0.0, 0.0, 0.0]) for i in range(70)] + [("null", None)]
+    queries = [(i, [1.0, float(i % 4), 0.5] if i % 9 else None if i else [0.0, 0.0, 0.0]) for i in range(25)]
+    v = spark.createDataFrame(vectors, "key string, vector array<double>")
+    q = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    got = dense.dense_search(v, "key", q, "query_id", 4)
+    unit = lambda x: [a / (math.sqrt(sum(b * b for b in x)) or 1.0) for a in x]
+    want = set()
+    for i, x in queries:
+        if x is not None:
+            scored = sorted((-round(sum(a * b for a, b in zip(unit(x), unit(y), strict=True)), 9) + 0.0, k) for k, y in vectors if y is not None)
+            want |= {(i, k, r + 1, abs(round(s, 8))) for r, (s, k) in enumerate(scored[:4])}
+    assert {(r.query_id, r.key, r["rank"], abs(round(r.score, 8))) for r in got.collect()} == want
+    assert dense.dense_search(v, "key", q.limit(0), "query_id", 4).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        dense.dense_search(v, "key", q.where("query_id = 1").withColumn("vector", F.array(F.lit(1.0))), "query_id", 4).collect()
