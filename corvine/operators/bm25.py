@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.functions.identity import term_index
-from corvine.functions.text import search_terms
-from corvine.runtime import broadcast_if_small, materialize
+from corvine.functions.text import let, search_terms
+from corvine.runtime import broadcast_if_small, materialize, row_count
 
 INLINE_TERMS = 20_000
+#: Most frequent terms whose document frequencies are broadcast; only the other terms' counts are shuffled.
+HOT_TERMS = 60_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,16 @@ def term_counts(tokenised: DataFrame, key: str, wanted: DataFrame | None = None)
     return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+def counted(terms: Column) -> Column:
+    """Each distinct term once with how often it is there, from the array alone: (term, tf) in order of terms."""
+    def runs(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)))
+        ends = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(ordered))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(ordered, i).alias("term"), (ends(at, j) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(terms), runs)
+
+
 def weight(model: Bm25) -> Column:
     """Of columns document_count, average_length, df, tf and length."""
     n, df, tf = F.col("document_count"), F.col("df"), F.col("tf")
@@ -62,14 +74,36 @@ def weight(model: Bm25) -> Column:
 
 
 def document_weights(tokenised: DataFrame, key: str, model: Bm25 | None = None, wanted: DataFrame | None = None) -> DataFrame:
-    """key, term, weight of every (wanted) term of every document."""
-    counts = term_counts(tokenised, key, wanted)
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(df, "term")
-    rows = rows.crossJoin(F.broadcast(corpus_stats(tokenised)))
+    """key, term, weight of every (wanted) term of every document.
+
+    Terms are counted within their document and written; only counts of terms beyond the ``HOT_TERMS`` most frequent are shuffled.
+    """
+    held = materialize(tokenised.select(key, "length", counted(F.col("terms")).alias("counts")), "counts")
+    counts = _merged(held, key)
+    if wanted is not None:
+        counts = counts.join(wanted, "term", "left_semi")
+    df = materialize(counts.groupBy("term").agg(F.count("*").alias("df")), "df")
+    hot = materialize(df.orderBy(F.desc("df"), "term").limit(HOT_TERMS), "hot", 64)
+    rows = counts.join(F.broadcast(hot), "term")
+    if row_count(hot) == HOT_TERMS:
+        rare = df.join(F.broadcast(hot.select("term")), "term", "left_anti")
+        rows = rows.unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
+    rows = rows.crossJoin(F.broadcast(corpus_stats(held)))
     return rows.select(key, "term", weight(model or Bm25()).alias("weight"))
 
 
+def _merged(held: DataFrame, key: str) -> DataFrame:
+    """key, length, term, tf of written counts; rows with one key and length count as one, and only they are dealt by key."""
+    each = lambda d: d.select(key, "length", F.inline("counts"))
+    again = held.groupBy(key, "length").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.col("length").alias("_length"), F.lit(True).alias("_again"))
+    again = materialize(again, "again", 32)
+    if not row_count(again):
+        return each(held)
+    marked = held.join(broadcast_if_small(again, row_count(again), 32), F.col(key).eqNullSafe(F.col("_key")) & (F.col("length") == F.col("_length")), "left")
+    once, more = each(marked.where("_again is null")), each(marked.where("_again"))
+    return once.unionByName(more.groupBy(key, "length", "term").agg(F.sum("tf").alias("tf")))
+
+
 def query_terms(queries: DataFrame, query_key: str, text: str = "text") -> DataFrame:
     """query key, term, index: each distinct term once with weight 1; queries without terms have no row."""
     rows = queries.select(query_key, F.explode(F.array_distinct(search_terms(F.col(text)))).alias("term"))
@@ -103,10 +137,10 @@ def sparse_search(tokenised: DataFrame, key: str, queries: DataFrame, query_key:
     return top_k(summed(pairs, query_key, key), query_key, key, k)
 
 
-def summed(weights: DataFrame, query_key: str, key: str) -> DataFrame:
-    """Scores above 0: sums of whole multiples of 2^-40, which are the same in any order."""
+def summed(weights: DataFrame, query_key: str, key: str, place: list[str] | None = None) -> DataFrame:
+    """Scores above 0: sums of whole multiples of 2^-40, which are the same in any order. ``place``: columns that a key fixes."""
     exact = F.sum(F.round(F.col("weight") * F.lit(float(1 << 40))).cast("long")) / F.lit(float(1 << 40))
-    return weights.groupBy(query_key, key).agg(exact.alias("score")).where("score > 0")
+    return weights.groupBy(query_key, *(place or []), key).agg(exact.alias("score")).where("score > 0").select(query_key, key, "score")
 
 
 def top_k(scores: DataFrame, query_key: str, key: str, k: int) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvine.operators import bm25
+from corvine.operators.keys import one_per_key
 from corvine.runtime import broadcast_if_small, drop_materialized, materialize, row_count
 
 RANGE_DOCS = 512
@@ -30,6 +31,10 @@ FIRST_RANGES = 4
 SLACK = 1e-9
 #: Ranges that a scan may be asked for by name.
 INLINE_RANGES = 2000
+#: Entries of a file of postings, as a rule.
+PART_ENTRIES = 4_000_000
+#: Estimated bytes of query and range pairs that a search may broadcast; beyond them they are joined by a shuffle.
+PAIR_BYTES = 64 << 20
 
 
 class PostingError(ValueError):
@@ -62,19 +67,29 @@ class PostingIndex:
             raise PostingError("batches are numbered from 0")
         key = self.key
         docs = documents.select(F.col(key).cast(self.key_type).alias(key), F.col(text).alias("text"))
-        known = self._whole("lengths").where(F.col("batch") < batch).select(F.col(key).alias("_known"), F.lit(True).alias("_there"))
-        docs = docs.groupBy(key).agg(F.max("text").alias("text"))
-        docs = docs.join(known, F.col(key).eqNullSafe(F.col("_known")), "left").where("_there is null")
-        rows = materialize(bm25.with_terms(docs, key), "terms")
-        total = rows.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length")).first()
+        docs = one_per_key(docs, key, self._whole("lengths").where(F.col("batch") < batch).select(key))
+        tokenised = bm25.with_terms(docs, key)
+        # terms hold no blanks, so one string of them is the least that is written and moved
+        tokenised = tokenised.select(key, "length", bm25.counted(F.col("terms")).alias("c"))
+        rows = materialize(tokenised.select(key, "length", F.array_join("c.term", " ").alias("terms"), F.col("c.tf").cast("array<int>").alias("tfs")), "terms")
+        total = rows.agg(
+            F.count("*").alias("document_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"), F.coalesce(F.sum(F.size("tfs")), F.lit(0)).alias("entries")).first()
         ranges = max(1, -(-total["document_count"] // RANGE_DOCS))
-        placed = rows.withColumn("range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int"))
-        counts = placed.select("range", key, "length", F.explode("terms").alias("term")).groupBy("range", key, "length", "term").agg(F.count("*").alias("tf"))
-        blocks = counts.groupBy("term", "range").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"),
-            F.array_sort(F.collect_list(F.struct(key, "tf", "length"))).alias("entries"))
-        blocks = blocks.withColumn("bucket", _bucket(F.col("term")))
-        blocks = blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        # dealt by range once; a term's entries of a range need no other exchange, and move as plain arrays
+        placed = rows.withColumn("range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int")).repartition("range")
+        counts = placed.select("range", key, "length", F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), "tfs"))).where("tfs is not null").toDF("range", key, "length", "term", "tf")
+        blocks = counts.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct(key, "tf", "length"))).alias("e"))
+        both = F.transform("e", lambda x: F.shiftleft(x["tf"].cast("long"), 32).bitwiseOR(x["length"].cast("long")))
+        parts = max(1, -(-total["entries"] // (BUCKETS * PART_ENTRIES)))
+        part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(parts)).cast("int")
+        blocks = blocks.select("term", "range", F.col("e")[key].alias("keys"), both.alias("both"))
+        blocks = blocks.repartitionById(BUCKETS * parts, _bucket(F.col("term")) * parts + part)
+        blocks = blocks.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "range")
+        entry = self._schemas["postings"]["entries"].dataType
+        tf, length = F.transform("both", lambda x: F.shiftright(x, 32)), F.transform("both", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+        blocks = blocks.select(
+            "term", "range", F.size("keys").alias("n"), F.array_max(tf).alias("most_tf"), F.array_min(length).alias("least_length"),
+            F.arrays_zip("keys", tf, length).cast(entry).alias("entries"), "bucket")
         at = lambda name: f"{self.path}/{name}/batch={batch}"
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         rows.select(key, "length").write.mode("overwrite").parquet(at("lengths"))
@@ -164,16 +179,24 @@ class PostingIndex:
     def _scores(self, pairs: DataFrame, found: _Bounds, query_key: str, model: bm25.Bm25 | None, restrict: DataFrame | None) -> DataFrame:
         """Scores of all documents in the given ranges for the given queries."""
         pairs = materialize(pairs.select(query_key, "batch", "range"), "pairs", 24)
-        wanted = pairs.join(broadcast_if_small(found.terms, row_count(found.terms), 120), query_key)
         rows = self._of_terms(found.terms)
         named = pairs.select("batch", "range").distinct().limit(INLINE_RANGES + 1).collect()
         if len(named) <= INLINE_RANGES:
             rows = rows.where(F.col("batch").isin(sorted({r["batch"] for r in named})) & F.col("range").isin(sorted({r["range"] for r in named})))
-        rows = rows.select("batch", "range", "term", "entries").join(wanted, ["batch", "range", "term"])
-        entry = rows.select(query_key, "df", "document_count", "average_length", F.inline("entries"))
+        rows = rows.select("batch", "range", "term", "entries")
+        few = broadcast_if_small(pairs, row_count(pairs), 24, PAIR_BYTES)
+        if few is not pairs:
+            # dealt by range once: sums over a document's terms need no other exchange
+            rows = rows.select("batch", "range", "term", *[F.col("entries")[c].alias(f"_{i}") for i, c in enumerate((self.key, "tf", "length"))]).withColumn("_1", F.col("_1").cast("array<int>"))
+            entries = F.arrays_zip("_0", "_1", "_2").cast(self._schemas["postings"]["entries"].dataType).alias("entries")
+            wanted = rows.repartition("batch", "range").select("batch", "range", "term", entries).join(broadcast_if_small(found.terms, row_count(found.terms), 120), "term")
+            rows = wanted.join(few, [query_key, "batch", "range"], "left_semi")
+        else:
+            rows = rows.join(pairs.join(broadcast_if_small(found.terms, row_count(found.terms), 120), query_key), ["batch", "range", "term"])
+        entry = rows.select(query_key, "batch", "range", "df", "document_count", "average_length", F.inline("entries"))
         if restrict is not None:
             entry = entry.join(restrict.select(self.key), self.key, "left_semi")
-        return bm25.summed(entry.select(query_key, self.key, bm25.weight(model or bm25.Bm25()).alias("weight")), query_key, self.key)
+        return bm25.summed(entry.select(query_key, "batch", "range", self.key, bm25.weight(model or bm25.Bm25()).alias("weight")), query_key, self.key, ["batch", "range"])
 
 
 class _Bounds:
