@@ -19,6 +19,7 @@ a block in memory, so a text of any length that fits a row is coded whole.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,9 +39,13 @@ END_ID = 1
 REMEMBERED = 800_000
 #: Bytes of text that are tokenised at a time.
 TURN_BYTES = 16 << 20
-#: A word of Latin letters, and at most one final mark. The vocabulary's normaliser only lower-cases it, and its pattern
-#: always cuts between letters and mark, so the model's own ids of both are those of the piece.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: A word of Latin letters, and a run of ASCII marks after it. The vocabulary's normaliser only lower-cases it, and its pattern
+#: always cuts between letters and marks and nowhere else, so the ids of both are those of the piece.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@[-`{-~]*)")
+#: Runs of marks that a worker remembers.
+MARKS = 10_000
+#: Little-endian 32-bit words of few ids.
+_FEW = [struct.Struct(f"<{n}I").pack for n in range(9)]
 #: The model's spelling of bytes: those that print stand for themselves, the others for characters from 256 on.
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELT = {b: b for b in _PRINT} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_PRINT))}
@@ -60,46 +65,60 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ",.;:!?"} | {"": b""}
+        self.model = self.tokenizer.model
+        self.marks = {"": b""}
 
     def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return _FEW[len(ids)](*ids) if len(ids) < len(_FEW) else np.array(ids, "<u4").tobytes()
+
+    def _marks(self, run: str) -> bytes:
+        if len(self.marks) > MARKS:
+            self.marks = {"": b""}
+        found = self.marks[run] = self._whole(run)
+        return found
 
     def _word(self, word: str) -> bytes:
         """Of a lower-case word of Latin letters: the model alone, in its spelling of bytes."""
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return _FEW[len(ids)](*ids) if len(ids) < len(_FEW) else np.array(ids, "<u4").tobytes()
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
         if len(self.known) > REMEMBERED:
             self.known = dict(list(self.known.items())[len(self.known) // 2 :])
-        out, known = [], self.known
+        out, known, plain_of = [], self.known, _PLAIN.fullmatch
         for p in pieces:
-            plain = _PLAIN.fullmatch(p)
-            word = plain[1].lower() if plain else p
-            found = known.get(word)
-            if found is None:
-                found = known[word] = self._word(word) if plain else self._whole(p)
-            out.append(found + self.marks[plain[2]] if plain else found)
+            plain = plain_of(p)
+            if plain is None:
+                found = known.get(p)
+                if found is None:
+                    found = known[p] = self._whole(p)
+            else:
+                word, run = plain.groups()
+                word = word.lower()
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = self._word(word)
+                if run:
+                    marks = self.marks.get(run)
+                    found += self._marks(run) if marks is None else marks
+            out.append(found)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has; nulls count as empty."""
         split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        raw = self.ids_of(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        at = words.indices.to_numpy(zero_copy_only=False)
-        n = sizes.take(at)
-        ends = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes).take(at)
-        first -= ends - n
-        where = np.repeat(first, n)
-        where += np.arange(len(where))
-        ids = np.frombuffer(b"".join(raw), "<u4").take(where)
-        cuts = np.concatenate(([0], ends)).take(split.offsets.to_numpy() - split.offsets[0].as_py())
-        return ids, np.diff(cuts)
+        raw = self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        starts = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, raw), np.int32, len(raw)) // 4, out=starts[1:])
+        pieces = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(raw), "<u4")))
+        found = pieces.take(words.indices)
+        ends = found.offsets.to_numpy()
+        cuts = ends.take(split.offsets.to_numpy() - split.offsets[0].as_py())
+        return found.values.to_numpy()[ends[0] : ends[-1]], np.diff(cuts)
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
