@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions import identity, text
+from corvine.runtime import slices
 
 #: Heading and fence forms and the version name of these rules.
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s{0,3}(?:```|~~~)")
+#: Documents that are cut at a time.
+ROWS = 200
 VERSION = "structural-markdown-v1"
 PIECES = pa.list_(pa.struct([("text", pa.string()), ("heading", pa.string()), ("heading_path", pa.list_(pa.string())), ("kept", pa.bool_())]))
 
@@ -132,7 +135,8 @@ def chunk_text(body: str | None, rules: ChunkRules) -> list[dict]:
 
 def _chunk_batches(rules: ChunkRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a batch of long texts and its pieces would be many times its size at once
+        for batch in slices(batches, ROWS):
             pieces = pa.array([chunk_text(t.as_py(), rules) for t in batch.column("text")], PIECES)
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pieces], [*keep, "pieces"])
