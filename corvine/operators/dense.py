@@ -45,6 +45,7 @@ def _scan(ids: pa.Array, q: np.ndarray, k: int, names: list[str]):
         keys: list[list] = [[] for _ in range(len(q))]
         best = [np.zeros(0) for _ in range(len(q))]
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             m = _matrix(batch.column(1))
             if len(m) and m.shape[1] != q.shape[1]:
                 raise DimensionError(f"vectors have {m.shape[1]} dimensions, queries {q.shape[1]}")
@@ -70,7 +71,8 @@ def dense_search(vectors: DataFrame, key: str, queries: DataFrame, query_key: st
 
     q_kind, kind = queries.schema[query_key].dataType, vectors.schema[key].dataType
     schema = f"`{query_key}` {q_kind.simpleString()}, `{key}` {kind.simpleString()}, score double"
-    source = vectors.where(F.col(column).isNotNull()).select(key, column)
+    # a test for null in the plan would make each vector twice; the scan passes over null ones
+    source = vectors.select(key, column)
     asked = queries.where(F.col(column).isNotNull()).select(query_key, column)
     size = asked.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("width")).first()
     if not size["n"]:
