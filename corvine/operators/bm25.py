@@ -91,18 +91,19 @@ def weight(model: Bm25) -> Column:
 def document_weights(tokenised: DataFrame, key: str, model: Bm25 | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """key, term, weight of every (wanted) term of every document.
 
-    Terms are counted within their document and written; only counts of terms beyond the ``HOT_TERMS`` most frequent are shuffled.
+    Terms are counted within their document and written; only counts of terms beyond the ``HOT_TERMS`` most frequent are shuffled,
+    once and whatever their number, and meet their document frequency there.
     """
     held = materialize(tokenised.select(key, "length", counted(F.col("terms")).alias("counts")), "counts")
     counts = _merged(held, key)
     if wanted is not None:
         counts = counts.join(wanted, "term", "left_semi")
-    df = materialize(counts.groupBy("term").agg(F.count("*").alias("df")), "df")
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     hot = materialize(df.orderBy(F.desc("df"), "term").limit(HOT_TERMS), "hot", 64)
     rows = counts.join(F.broadcast(hot), "term")
     if row_count(hot) == HOT_TERMS:
-        rare = df.join(F.broadcast(hot.select("term")), "term", "left_anti")
-        rows = rows.unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
+        rare = counts.join(F.broadcast(hot.select("term")), "term", "left_anti")
+        rows = rows.unionByName(rare.withColumn("df", F.count("*").over(Window.partitionBy("term"))))
     rows = rows.crossJoin(F.broadcast(corpus_stats(held)))
     return rows.select(key, "term", weight(model or Bm25()).alias("weight"))
 

@@ -47,6 +47,27 @@ def test_counts_of_frequent_terms_are_not_moved(spark):
     assert shuffled(spark) - before < 4 * rows
 
 
+def test_counts_of_rare_terms_move_as_much_more_as_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "HOT_TERMS", 100)
+    least = "spark.sql.autoBroadcastJoinThreshold"
+
+    def moved(n):
+        rng = random.Random(3)
+        texts = [(i, " ".join(f"{rng.getrandbits(40):010x}" for _ in range(500))) for i in range(n)]
+        docs = bm25.with_terms(corpus(spark, texts), "doc_id")
+        before = shuffled(spark)
+        bm25.document_weights(docs, "doc_id").write.format("noop").mode("overwrite").save()
+        return shuffled(spark) - before
+
+    held = spark.conf.get(least)
+    spark.conf.set(least, 200_000)  # between the sizes of both tables of document frequencies
+    try:
+        few, many = moved(20), moved(100)
+    finally:
+        spark.conf.set(least, held)
+    assert many < 5.5 * few
+
+
 def test_weights_of_frequent_and_rare_terms_and_repeated_rows(spark, monkeypatch):
     rows = [(1, "a1 b1 b1 c1"), (1, "a1 d1 c1 c1"), (None, "a1"), (None, "a1"), (2, "a1 the b1"), (3, ""), (4, "x1 y1 a1")]
     docs = bm25.with_terms(corpus(spark, rows), "doc_id")
