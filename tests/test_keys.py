@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from corvine.operators import bm25
 from corvine.operators.keys import one_per_key
+from corvine.runtime import materialize
 from tests.test_postings import corpus, fresh
 
 
@@ -39,6 +42,18 @@ def test_an_index_moves_terms_twice_at_most_and_no_texts(spark):
     assert index.postings().count() == bm25.term_counts(bm25.with_terms(docs, "doc_id"), "doc_id").count()
 
 
+def test_postings_are_moved_once_and_packed(spark):
+    """A row is moved for each bucket of a range's terms, not one for each term; terms and keys are not repeated for each posting."""
+    words = F.concat_ws(" ", *[F.concat(F.lit("word"), F.floor(F.pow(F.rand(i), F.lit(3)) * 4000)) for i in range(100)])
+    docs = materialize(spark.range(4000).select(F.col("id").alias("doc_id"), words.alias("text")))
+    index, before = fresh(spark), shuffled(spark)
+    index.add(docs, 0)
+    moved = shuffled(spark) - before
+    entries = index.entry_count()
+    assert entries == index.postings().count() > 300_000
+    assert moved < 9 * entries
+
+
 def test_counts_of_frequent_terms_are_not_moved(spark):
     rng = random.Random(2)
     docs = bm25.with_terms(corpus(spark, [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(3000))) for i in range(80)]), "doc_id")
